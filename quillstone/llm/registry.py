@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import media_audio
+from quillstone.llm import html_text, media_audio
 
-QUERIES: dict = {"op2_mpeg_audio": media_audio.query}
+QUERIES: dict = {"op2_mpeg_audio": media_audio.query, "op7_line_blocks": html_text.query}
 ORACLE_SQL: dict = {}
