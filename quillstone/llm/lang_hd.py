@@ -158,13 +158,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is recognised: those without a letter, or unlike every profile, go.
-
-    The rest keep all their columns. ``MIN_SCORE`` is far under the cosine of any ordinary text.
-    """
+    """Keeps the documents in which a language is recognised, with all their columns; those without a letter go."""
     model = train(docs)
     scored = predict(docs, model, keep=docs.columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
-
-
-MIN_SCORE = 0.05
+    return scored.where(F.col("lang_pred") != "und").select(*docs.columns)

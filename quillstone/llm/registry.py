@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import html_text, lang_hd, media_audio, packing
+from quillstone.llm import html_text, lang_hd, media_audio, near_dup, packing
 
-QUERIES: dict = {"op2_mpeg_audio": media_audio.query, "op4_hd_profiles": lang_hd.query, "op6_hilbert_packing": packing.query, "op7_line_blocks": html_text.query}
+QUERIES: dict = {"op2_mpeg_audio": media_audio.query, "op4_hd_profiles": lang_hd.query, "op6_hilbert_packing": packing.query, "op7_line_blocks": html_text.query, "op10_setsketch": near_dup.query}
 ORACLE_SQL: dict = {}
