@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, html_text, lang_hd, line_dedup, media_audio, near_dup, packing
+from quillstone.llm import decontaminate, html_text, lang_hd, line_dedup, media_audio, near_dup, packing, quality_cnn
 
 QUERIES: dict = {
     "op1_prefix_join": decontaminate.query,
     "op2_mpeg_audio": media_audio.query,
     "op3_site_spread": line_dedup.query,
     "op4_hd_profiles": lang_hd.query,
+    "op5_byte_cnn": quality_cnn.query,
     "op6_hilbert_packing": packing.query,
     "op7_line_blocks": html_text.query,
     "op10_setsketch": near_dup.query,
