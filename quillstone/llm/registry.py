@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, html_text, lang_hd, line_dedup, media_audio, near_dup, packing, quality_cnn
+from quillstone.llm import decontaminate, html_text, lang_hd, line_dedup, media_audio, near_dup, packing, quality_cnn, suffix_dedup
 
 QUERIES: dict = {
     "op1_prefix_join": decontaminate.query,
@@ -12,6 +12,7 @@ QUERIES: dict = {
     "op5_byte_cnn": quality_cnn.query,
     "op6_hilbert_packing": packing.query,
     "op7_line_blocks": html_text.query,
+    "op8_sparse_suffixes": suffix_dedup.query,
     "op10_setsketch": near_dup.query,
 }
 ORACLE_SQL: dict = {"op1_prefix_join": decontaminate.ORACLE, "op3_site_spread": line_dedup.ORACLE}
