@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, html_text, lang_hd, line_dedup, media_audio, near_dup, packing, quality_cnn, suffix_dedup
+import corpus_pipeline
+from quillstone.llm import decontaminate, html_text, lang_hd, license_scan, line_dedup, media_audio, near_dup, packing, quality_cnn, suffix_dedup
 
 QUERIES: dict = {
     "op1_prefix_join": decontaminate.query,
@@ -13,6 +14,8 @@ QUERIES: dict = {
     "op6_hilbert_packing": packing.query,
     "op7_line_blocks": html_text.query,
     "op8_sparse_suffixes": suffix_dedup.query,
+    "op9_licence_tfidf": license_scan.query,
     "op10_setsketch": near_dup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict = {"op1_prefix_join": decontaminate.ORACLE, "op3_site_spread": line_dedup.ORACLE}
