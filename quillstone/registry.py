@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillstone.plans import facts, retrieval
+
+_MODULES = (facts, retrieval)
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "metric_ratios"
