@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import ascii_lower, materialize, maybe_broadcast, table
 
 WINDOW, SHINGLE = 10, 3
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Whatever stands between words; splitting at it is many times faster than extracting matches of its complement.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -47,7 +48,7 @@ def window_shingles(wins: DataFrame) -> DataFrame:
 
 def positions(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """Every position of every document with the key of its k-word shingle; `w` are the document's words."""
-    found = docs.select(*keep, words(F.col("text")).alias("w")).where(F.size("w") >= k)
+    found = docs.select(*keep, words(F.col("text")).alias("w"))  # shorter texts make keys of fewer words, which no window of k has
     shifted = [F.col("w")] + [F.slice("w", i + 1, F.size("w")) for i in range(1, k)]
     zipped = F.arrays_zip(*(s.alias(f"s{i}") for i, s in enumerate(shifted)))
     placed = found.select(*keep, "w", F.posexplode(zipped).alias("pos", "s"))
