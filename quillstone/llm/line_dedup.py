@@ -48,7 +48,8 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     bad = materialize(bad, "boilerplate")
     gone = placed.join(maybe_broadcast(bad, bad.count()), "h").where(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     gone = materialize(gone.groupBy(F.col("doc_id").alias("q_id"), F.col("digest").alias("q_digest")).agg(F.collect_set("pos").alias("q_gone")), "gone")
-    joined = docs.join(maybe_broadcast(gone, gone.count(), 50_000), docs["doc_id"].eqNullSafe(gone["q_id"]) & (F.xxhash64(docs["text"]) == gone["q_digest"]), "left")
+    # One plan at every size: the documents are dealt by id once and meet their removed lines in a hash table of each partition.
+    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["q_id"]) & (F.xxhash64(docs["text"]) == gone["q_digest"]), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("q_gone", i))
     text = F.when(F.col("q_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
