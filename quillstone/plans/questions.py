@@ -9,7 +9,7 @@ from quillstone.operators import evaluation, evidence, ingestion, retrieval, rou
 from quillstone.session import table
 
 PROSE = [
-    ("The company relies on suppliers in several regions.", [], "qualitative_or_reference"), ("Risks are described in Item 1A of the 2024 Form 10-K.", [2024], "qualitative_or_reference"), ("Demand changed in 2023.", [2023], "qualitative_or_reference"),
+    ("The company relies on suppliers in several regions.", [], "qualitative_or_reference"), ("Risks are described in Item 1A of the 2024 Form 10-K.", [2024], "qualitative_or_reference"), ("Demand changed in 2023 again.", [2023], "qualitative_or_reference"),
     ("Demand changed in 2023.", [2024], "ambiguous"), ("Revenue grew.", [], "ambiguous"), ("Costs were 5%.", [], "quantitative"), ("It paid $ to suppliers.", [], "quantitative"), ("See www.example.com for details.", [], "prohibited_external_reference"),
     ("Two suppliers dominate.", [], "ambiguous"), ("", [], "ambiguous"), ("COVID-19 disrupted supply.", [], "qualitative_or_reference"), ("There were 12 sites.", [], "ambiguous"), ("Sales doubled.", [], "quantitative"), ("zero​width", [], "ambiguous"),
 ]
