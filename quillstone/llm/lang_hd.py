@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from quillstone.llm.shared import map_arrow, table
 
 DIM, GRAM, TRAIN_ROWS, SPACE = 1024, 3, 1500, 32
-CELLS = 1 << 21
+BLOCK = 2048
 
 
 @functools.cache
@@ -39,8 +39,8 @@ def _letter_vector(code: int) -> np.ndarray:
 
 
 _gram_rows: dict[int, int] = {}
-_gram_vectors = np.zeros((0, DIM), np.float32)
-_GRAM_MOST = 60_000
+_gram_vectors = np.zeros((0, DIM), np.int8)
+_GRAM_MOST = 30_000
 
 
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
@@ -49,7 +49,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     new = [g for g in grams.tolist() if g not in _gram_rows]
     if len(_gram_rows) + len(new) > _GRAM_MOST:
         _gram_rows.clear()
-        new, _gram_vectors = grams.tolist(), np.zeros((0, DIM), np.float32)
+        new, _gram_vectors = grams.tolist(), np.zeros((0, DIM), np.int8)
     if new:
         made = np.ones((len(new), DIM), np.int8)
         codes = np.array(new, np.int64)
@@ -58,8 +58,8 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
             for c in np.unique(part):
                 made[part == c] *= np.roll(_letter_vector(int(c)), place)
         _gram_rows.update(zip(new, range(len(_gram_vectors), len(_gram_vectors) + len(new)), strict=True))
-        _gram_vectors = np.concatenate([_gram_vectors, made.astype(np.float32)])
-    return _gram_vectors[[_gram_rows[g] for g in grams.tolist()]]
+        _gram_vectors = np.concatenate([_gram_vectors, made])
+    return _gram_vectors[[_gram_rows[g] for g in grams.tolist()]].astype(np.float32)
 
 
 def _codes(text: str) -> np.ndarray | None:
@@ -92,11 +92,11 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if found:
         grams, at = np.unique(np.concatenate(found), return_inverse=True)
         counts, rows = np.concatenate(counts).astype(np.float32), np.concatenate(rows)
-        for lo in range(0, len(grams), 8192):  # blocks of the vocabulary, so that the count matrix stays small
-            inside = (at >= lo) & (at < lo + 8192)
-            matrix = np.zeros((len(texts), min(8192, len(grams) - lo)), np.float32)
+        for lo in range(0, len(grams), BLOCK):  # blocks of the vocabulary, so that the count matrix stays small
+            inside = (at >= lo) & (at < lo + BLOCK)
+            matrix = np.zeros((len(texts), min(BLOCK, len(grams) - lo)), np.float32)
             matrix[rows[inside], at[inside] - lo] = counts[inside]
-            out += matrix @ gram_vectors(grams[lo : lo + 8192])
+            out += matrix @ gram_vectors(grams[lo : lo + BLOCK])
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     return out, has
 
@@ -132,8 +132,13 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns of `keep`), lang_pred and score for each row of docs; only the text is looked at."""
-    langs, matrix = model
     keep = keep or ["doc_id"]
+    return _predicted(docs, model, keep).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+
+
+def _predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
+    """The columns of `keep` as k0, k1, ..., so that none of them clashes, with lang_pred and score."""
+    langs, matrix = model
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -148,8 +153,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
     schema = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     named = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("of"))
-    out = map_arrow(named, run, schema + ", lang_pred string, score double")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return map_arrow(named, run, schema + ", lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,5 +164,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a language is recognised, with all their columns; those without a letter go."""
     model = train(docs)
-    scored = predict(docs, model, keep=docs.columns)
-    return scored.where(F.col("lang_pred") != "und").select(*docs.columns)
+    scored = _predicted(docs, model, docs.columns)
+    return scored.where(F.col("lang_pred") != "und").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -20,6 +20,8 @@ from quillstone.functions.shipping import ship
 
 #: Rows of small keys that a broadcast may hold; beyond it the same join is a shuffled one.
 BROADCAST_ROWS = 400_000
+#: Rows of which a worker holds Python objects at once.
+SLICE_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +57,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield as_batch(fn(batch), arrow)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                yield as_batch(fn(batch.slice(lo, SLICE_ROWS)), arrow)
 
     return df.mapInArrow(run, schema)
 
