@@ -328,6 +328,8 @@ PAGES = [
     ("<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two<br>three<p>Four</article><footer>f</footer></body></html>", "A & B\nOne two three\nFour"),
     ("<div class='site-header'>Logo</div><div id=content><h1>T</h1><p>Hello <b>big</b> world</p><aside>side</aside><form>f<input></form><div class=comments><p>nasty</div><p>End</div><div class='cookie-notice'>We use</div>", "T\nHello big world\nEnd"),
     (None, ""), ("", ""), ("<p>", ""), ("plain &lt;text&gt;", "plain <text>"), ("<article><p>a<script>var x='</p>';</script>b</p><!-- <p>no</p> --></article>", "ab"), ("<article>x<div class='ad'><div>buy</div></div><p>y</article>", "x\ny"),
+    ("<div class='with-sidebar ad-free-content'><h1>H</h1><p>P</p><div class='entry-footer'>tags</div><div id='post-comments'>c</div><div class='sidebarLeft'>s</div></div><div class='wrap'>w</div>", "H\nP"),
+    ("<body class='has-menu'><div class='page-header'>x</div><div class='entry-content'><div class='entry-header'>Title</div><p>Body</p></div><ul><li>after</ul></body>", "Title\nBody"),
     ("<main><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></main>", "one\ntwo\nc1\nc2"), ("<article><header><h1>Title</h1></header><p style='display:none'>hid</p><p>&nbsp; x&#160;y </p></article>", "Title\nx y"),
 ]
 
