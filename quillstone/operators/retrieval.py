@@ -200,14 +200,17 @@ def token_windows(tokens: Column, size: int = 380) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None) -> DataFrame:
     """Hybrid retrieval of a batch: queries (query_id, query, embedding). Lexical and dense top k in each scope, fused; the first
-    RERANK_K of each scope boosted by section and put under the threshold; scopes interleaved, FINAL_K a query."""
+    RERANK_K of each scope boosted by section and put under the threshold; scopes interleaved, FINAL_K a query.
+    scopes (query_id, scope) names which scopes a query may look at; without it, all."""
+    only = (lambda df: df.join(F.broadcast(scopes), ["query_id", "scope"], "left_semi")) if scopes is not None else (lambda df: df)
+    scored_dense = only(dense(vectors, queries))
     expanded = queries.withColumn("found", intents(F.col("query")))
-    lexical_top = top_k(bm25(chunks, queries.select("query_id", expand_query(F.col("query")).alias("query"))), k, positive=True).withColumn("list", F.lit("lexical"))
-    dense_top = top_k(dense(vectors, queries), k).withColumn("list", F.lit("dense"))
+    lexical_top = top_k(only(bm25(chunks, queries.select("query_id", expand_query(F.col("query")).alias("query")))), k, positive=True).withColumn("list", F.lit("lexical"))
+    dense_top = top_k(scored_dense, k).withColumn("list", F.lit("dense"))
     fused = rrf(lexical_top.unionByName(dense_top)).where(F.col("rank") <= RERANK_K)
-    cosine = dense(vectors, queries).withColumnRenamed("score", "cosine")
+    cosine = scored_dense.withColumnRenamed("score", "cosine")
     scored = fused.drop("score").join(cosine, ["query_id", "scope", "doc_id"], "left").join(chunks.select("scope", "doc_id", "section", "text"), ["scope", "doc_id"]).join(F.broadcast(expanded.select("query_id", "found")), "query_id")
     boost = section_boost(F.col("found"), F.col("section"))
     scored = scored.withColumn("score", boosted(F.coalesce("cosine", F.lit(0.0)), boost)).withColumn("relevant", boost > 0).withColumn("wrong", F.lower(F.coalesce("section", F.lit(""))).contains("front matter"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import checks, facts, questions, retrieval, text
+from quillstone.plans import checks, engine, facts, questions, retrieval, text
 
-_MODULES = (facts, retrieval, text, questions, checks)
+_MODULES = (facts, retrieval, text, questions, checks, engine)
 QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "metric_ratios"
