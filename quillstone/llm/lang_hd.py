@@ -4,7 +4,8 @@ Every letter has a random vector of +1 and -1 in ``DIM`` dimensions, made from i
 multiplying its letters' vectors, each rotated by its place; a text bundles (sums) its n-gram vectors, and a language is the
 bundle of its training texts, each of unit length. A text gets the language whose prototype has the greatest cosine.
 
-Training uses at most ``TRAIN_ROWS`` labelled texts of each language, those of least hashed doc_id, whole; their bundles are
+Training uses at most ``TRAIN_ROWS`` labelled texts of each language, whole: in each of TRAIN_PARTS parts by hashed doc_id those
+of least hash, so that a language with most of the documents is not ranked in one task; their bundles are
 summed by Spark, dimension by dimension, so that the driver gets only one vector a language. Prediction reads whole texts.
 
 A null text or one without a letter is ``und`` with score 0; where nothing could be learned, so is every text. Each row gives
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from quillstone.llm.shared import map_arrow, table
 
-DIM, GRAM, TRAIN_ROWS, SPACE = 1024, 3, 1500, 32
+DIM, GRAM, TRAIN_ROWS, TRAIN_PARTS, SPACE = 1024, 3, 1536, 64, 32
 BLOCK = 2048
 
 
@@ -108,8 +109,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) from at most `rows` labelled texts of each language that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id").distinct()
+    spread = labelled.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(TRAIN_PARTS)))
+    order = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    chosen = spread.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= -(-rows // TRAIN_PARTS)).select("doc_id").distinct()
     texts = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict:
