@@ -40,11 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage without a copy on one executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillstone/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables, once results that read them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint behind a count of the rows; without it Spark shuffles and splits skewed partitions."""
     return F.broadcast(df) if rows <= most else df
