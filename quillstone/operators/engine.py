@@ -136,7 +136,7 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
     """The tables of a retrieval index of chunks (ticker, fiscal_year, doc_id, section, text): postings, terms, lengths, vectors."""
     scoped = chunks.withColumn("scope", F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string")))
     posts = find.postings(scoped)
-    return {"chunks": chunks, "postings": posts, "terms": find.term_stats(posts, scoped), "lengths": find.doc_stats(scoped), "vectors": models.embed(chunks.select("ticker", "fiscal_year", "doc_id", "text")).drop("text")}
+    return {"chunks": chunks, "postings": posts, "terms": find.term_stats(scoped), "lengths": find.doc_stats(scoped), "vectors": models.embed(chunks.select("ticker", "fiscal_year", "doc_id", "text")).drop("text")}
 
 
 def prepare_references(questions: DataFrame, facts: DataFrame, version: str) -> DataFrame:

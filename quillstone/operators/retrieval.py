@@ -25,10 +25,15 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("scope", "doc_id", F.explode(lexical(F.col("text"))).alias("term")).groupBy("scope", "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(posts: DataFrame, docs: DataFrame) -> DataFrame:
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """(scope, term, df), counted from each document's distinct terms without dealing documents out by id."""
+    return chunks.select("scope", F.explode(F.array_distinct(lexical(F.col("text")))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
+
+
+def term_stats(chunks: DataFrame) -> DataFrame:
     """(scope, term, df, idf), a negative idf replaced by EPSILON times the scope's mean idf."""
-    n = docs.groupBy("scope").agg(F.count("*").alias("n"))
-    df = posts.groupBy("scope", "term").agg(F.count("*").alias("df")).join(F.broadcast(n), "scope")  # one row a scope
+    n = chunks.groupBy("scope").agg(F.count("*").alias("n"))
+    df = document_frequencies(chunks).join(F.broadcast(n), "scope")  # one row a scope
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg((F.sum(F.round("raw", 9).cast("decimal(28,9)")).cast("double") / F.count("*")).alias("mean"))
     return raw.join(F.broadcast(mean), "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -37,21 +42,24 @@ def term_stats(posts: DataFrame, docs: DataFrame) -> DataFrame:
 def doc_stats(chunks: DataFrame) -> DataFrame:
     """(scope, doc_id, dl, avgdl)."""
     sized = chunks.select("scope", "doc_id", F.size(lexical(F.col("text"))).alias("dl"))
-    mean = sized.groupBy("scope").agg((F.sum("dl") / F.count("*")).alias("avgdl"))
-    return sized.join(F.broadcast(mean), "scope")
+    return sized.join(F.broadcast(mean_length(chunks)), "scope")
+
+
+def mean_length(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("scope").agg((F.sum(F.size(lexical(F.col("text")))) / F.count("*")).alias("avgdl"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, scope, doc_id, score): only documents with a query term; others score zero. Repeated query terms count again.
 
-    The query terms are few, so postings are cut to them (a broadcast of the batch's terms) before any shuffle; the statistics
-    of a term are counted from the cut postings, and the mean idf, for the floor, from all.
+    Documents are cut to the batch's terms (a broadcast) before anything is dealt out; only statistics of terms are counted from all.
     """
     terms = queries.select("query_id", F.explode(lexical(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    posts = postings(chunks)
-    stats = term_stats(posts, chunks)
-    hits = posts.join(F.broadcast(terms.select("term").distinct()), "term").join(stats.join(F.broadcast(terms.select("term").distinct()), "term").select("scope", "term", "idf"), ["scope", "term"])
-    hits = hits.join(doc_stats(chunks), ["scope", "doc_id"])
+    asked = F.broadcast(terms.select("term").distinct())
+    tokens = chunks.select("scope", "doc_id", lexical(F.col("text")).alias("w")).select("scope", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    hits = tokens.join(asked, "term").groupBy("scope", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    idf = term_stats(chunks).join(asked, "term").select("scope", "term", "idf")
+    hits = hits.join(F.broadcast(mean_length(chunks)), "scope").join(F.broadcast(idf), ["scope", "term"])  # scopes by the batch's terms
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.join(F.broadcast(terms), "term").withColumn("gain", F.round(gain * F.col("qtf"), DIGITS).cast(f"decimal(28,{DIGITS})"))
     return scored.groupBy("query_id", "scope", "doc_id").agg(F.sum("gain").cast("double").alias("score"))

@@ -37,7 +37,7 @@ def engine_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = ["Apple revenue in 2023", "Microsoft operating margin in 2023", "Which company had the highest revenue growth between 2022 and 2024?", "Amazon free cash flow 2022 to 2024", "Explain Apple supply chain risks in 2023", "Discuss why Microsoft revenue and the cloud business matter in 2024", "Apple assets in 2024", "Tesla revenue 2024", "Amazon operating margin growth 2022 to 2024"]
     asked = spark.createDataFrame(list(enumerate(questions)), "query_id int, question string").withColumns({"tickers": F.array().cast("array<string>"), "years": F.array().cast("array<int>")})
     chunks = _chunks(spark, sf_dir)
-    vectors = models.embed(chunks).drop("text", "section")
+    vectors = models.embed(chunks).drop("text", "section").persist()  # an index has its vectors; here they are made once
     out = engine.ask(asked, _facts(spark, sf_dir), chunks, vectors)
     return out.withColumns({"evidence_ids": F.array_join("evidence_ids", ","), "citations": F.array_join("citations", ",")})
 

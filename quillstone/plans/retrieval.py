@@ -34,8 +34,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return ops.term_stats(ops.postings(chunks), chunks).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return ops.term_stats(_chunks(spark, sf_dir)).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
