@@ -119,3 +119,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
     return scan(docs.select("doc_id", "text", path.alias("path")), key="doc_id").withColumnRenamed("file_id", "doc_id")
+
+
+_TEMPLATES_SQL = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+_TERM_SQL = r"regexp_extract_all(lower({}), '[a-z0-9][a-z0-9+.\-]*[a-z0-9+]|[a-z0-9]')"
+
+ORACLE = f"""
+WITH t AS (SELECT template, licence, unnest({_TERM_SQL.format('text')}) AS term FROM (VALUES {_TEMPLATES_SQL}) AS v(template, licence, text)),
+idf AS (SELECT term, round(ln({len(TEMPLATES) + 1.0} / (1.0 + count(DISTINCT template))) + 1.0, 9) AS idf FROM t GROUP BY term),
+tw AS (SELECT template, licence, term, count(*) * any_value(idf) AS w FROM t JOIN idf USING (term) GROUP BY ALL),
+ts AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
+d AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n_words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{TRIGGERS}')) AS ls FROM documents),
+seg AS (SELECT doc_id, unnest(range(0, len(ls) + 1)) AS seg, unnest(list_append(ls, array_to_string(ls, chr(10)))) AS line FROM d WHERE len(ls) > 0),
+st AS (SELECT doc_id, seg, term, count(*) * coalesce(any_value(idf), round(ln({len(TEMPLATES) + 1.0} / 2.0) + 1.0, 9)) AS w FROM (SELECT doc_id, seg, unnest({_TERM_SQL.format('line')}) AS term FROM seg) LEFT JOIN idf USING (term) GROUP BY ALL),
+ss AS (SELECT doc_id, seg, sqrt(sum(w * w)) AS own FROM st GROUP BY ALL),
+c AS (SELECT doc_id, licence, round(sum(st.w * tw.w) / (any_value(size) * any_value(own)), 6) AS cosine FROM st JOIN tw USING (term) JOIN ts USING (template) JOIN ss USING (doc_id, seg) GROUP BY doc_id, seg, template, licence),
+b AS (SELECT doc_id, licence AS stated, cosine FROM c WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+f AS (SELECT d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, stated, cosine, stated IS NOT NULL AND 2 * len(regexp_extract_all(array_to_string(ls, chr(10)), '\\S+')) > n_words AS is_licence_file FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
+o AS (SELECT folder AS from_folder, stated AS inherited FROM f WHERE is_licence_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, stated) = 1),
+h AS (SELECT f.doc_id, inherited, from_folder AS inherited_from FROM f JOIN o ON stated IS NULL AND (folder = from_folder OR starts_with(folder, from_folder || '/') OR from_folder = '') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(from_folder) DESC) = 1)
+SELECT f.doc_id, path, stated, cosine, is_licence_file, inherited, inherited_from, coalesce(stated, inherited) AS licence FROM f LEFT JOIN h ON h.doc_id = f.doc_id
+"""

@@ -18,4 +18,10 @@ QUERIES: dict = {
     "op10_setsketch": near_dup.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict = {"op1_prefix_join": decontaminate.ORACLE, "op3_site_spread": line_dedup.ORACLE}
+ORACLE_SQL: dict = {
+    "op1_prefix_join": decontaminate.ORACLE,
+    "op3_site_spread": line_dedup.ORACLE,
+    "op8_sparse_suffixes": suffix_dedup.ORACLE,
+    "op9_licence_tfidf": license_scan.ORACLE,
+    "op10_setsketch": near_dup.ORACLE,
+}
