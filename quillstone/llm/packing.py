@@ -1,8 +1,9 @@
 """Packing along a Hilbert curve: neighbouring documents fill sequences together.
 
 Each document is tokenised once. Its token counts are hashed into ``BUCKETS`` dimensions, damped, normalised and projected to
-``DIMS`` dimensions, whose cells are numbered along a Hilbert curve. Documents are range-sorted by that number (and by id,
-so that copies of one text spread over partitions) and laid end to end; the stream of each partition is cut at every LENGTH
+``DIMS`` dimensions, whose cells are numbered along a Hilbert curve. Documents are cut into rows of at most LENGTH tokens, so that
+no row is large and ranges of equal rows are of equal size; these are range-sorted by that number (and by id and place, so that copies
+of one text and long documents spread over partitions) and laid end to end; the stream of each partition is cut at every LENGTH
 tokens. The last tokens of a partition form sequences of power-of-two lengths, so nothing needs padding.
 
 The token table is written once to the shared folder; the range sort then carries ids as 16-bit numbers where they fit. No
@@ -114,16 +115,24 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_key(cells.astype(np.int64))
 
 
-def tokenised(docs: DataFrame, json_path: str | None = None) -> DataFrame:
-    """(doc_id, hkey, n, wide, ids): ids with the end id, little-endian, of 16 bits or, where wide, of 32."""
+def tokenised(docs: DataFrame, json_path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """(doc_id, hkey, crc, n, start, wide, ids): each document's ids with the end id in rows of at most `length`, little-endian,
+    of 16 bits or, where wide, of 32; crc is of all its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids = [np.append(encode(x or "", json_path), np.uint32(END_ID)) for x in batch.column(1).to_pylist()]
-        wide = [bool(x.max() > 65535) for x in ids]
-        return {"doc_id": batch.column(0), "hkey": curve_keys(ids), "n": [len(x) for x in ids], "wide": wide, "ids": [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]}
+        ids = [np.append(encode(x or "", json_path), np.uint32(END_ID)).astype("<u4") for x in batch.column(1).to_pylist()]
+        names = batch.column(0).to_pylist()
+        out: dict[str, list] = {k: [] for k in ("doc_id", "hkey", "crc", "n", "start", "wide", "ids")}
+        for name, x, key in zip(names, ids, curve_keys(ids).tolist(), strict=True):
+            wide, crc = bool(x.max() > 65535), zlib.crc32(x)
+            for start in range(0, len(x), length):
+                part = x[start : start + length]
+                for k, v in zip(out, (name, key, crc, len(x), start, wide, (part if wide else part.astype("<u2")).tobytes()), strict=True):
+                    out[k].append(v)
+        return out
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, hkey long, n long, wide boolean, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, hkey long, crc long, n long, start long, wide boolean, ids binary")
 
 
 _PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -133,8 +142,8 @@ def pack(docs: DataFrame, length: int = LENGTH, json_path: str | None = None, wi
     """One row for each piece of a document in a sequence; ``ids`` holds its ids as unsigned 32-bit little-endian numbers."""
     spark = docs.sparkSession
     ship(spark)
-    tokens = materialize(tokenised(docs, json_path), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    tokens = materialize(tokenised(docs, json_path, length), "tokens")
+    total = tokens.agg(F.sum(F.when(F.col("start") == 0, F.col("n")))).first()[0] or 0
     schema = _PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString())
     if not with_ids:
         schema = schema.removesuffix(", ids binary")
@@ -150,13 +159,23 @@ def pack(docs: DataFrame, length: int = LENGTH, json_path: str | None = None, wi
         def put(rows: list[list]) -> None:
             nonlocal number
             at = 0
-            for doc, start, ids, n in rows:
+            for doc, start, ids, n in joined(rows):
                 row = {"doc_id": doc, "start": start, "length": len(ids), "ids_crc32": zlib.crc32(ids), "doc_tokens": n, "sequence_id": base + number, "offset": at, "ids": ids.tobytes() if with_ids else b""}
                 at += len(ids)
                 for k in out:
                     out[k].append(row[k])
             number += 1
 
+        def joined(rows: list[list]) -> list[list]:
+            """Pieces of a document that follow one another as one piece."""
+            out: list[list] = []
+            for doc, start, ids, n in rows:
+                if out and out[-1][0] == doc and out[-1][3] == n and out[-1][1] + len(out[-1][2]) == start:
+                    out[-1][2] = np.concatenate([out[-1][2], ids])
+                else:
+                    out.append([doc, start, ids, n])
+            return out
+
         def batch() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
             for x in out.values():
@@ -164,13 +183,13 @@ def pack(docs: DataFrame, length: int = LENGTH, json_path: str | None = None, wi
             return made
 
         for rows in batches:
-            for doc, n, wide, raw in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "n", "wide", "ids")), strict=True):
+            for doc, n, first, wide, raw in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "n", "start", "wide", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
-                start = 0
-                while start < n:
-                    take = min(length - filled, n - start)
-                    open_rows.append([doc, start, ids[start : start + take], n])
-                    start, filled = start + take, filled + take
+                done = 0
+                while done < len(ids):
+                    take = min(length - filled, len(ids) - done)
+                    open_rows.append([doc, first + done, ids[done : done + take], n])
+                    done, filled = done + take, filled + take
                     if filled == length:
                         put(open_rows)
                         open_rows, filled = [], 0
@@ -196,7 +215,8 @@ def pack(docs: DataFrame, length: int = LENGTH, json_path: str | None = None, wi
             yield batch()
 
     parts = max(1, -(-total // PARTITION_TOKENS))
-    return tokens.repartitionByRange(parts, "hkey", "doc_id").sortWithinPartitions("hkey", "doc_id").select("doc_id", "n", "wide", "ids").mapInArrow(run, schema)
+    order = ("hkey", "doc_id", "crc", "start")
+    return tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "start", "wide", "ids").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
