@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillstone.functions.shipping import ship
-from quillstone.llm.shared import map_arrow, materialize, parsed, table
+from quillstone.llm.shared import map_arrow, materialize, parsed, prepare, table
 
 LENGTH, BUCKETS, DIMS, BITS = 2048, 256, 4, 12
 PARTITION_TOKENS = 4_000_000
@@ -141,7 +140,7 @@ _PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens lon
 def pack(docs: DataFrame, length: int = LENGTH, json_path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row for each piece of a document in a sequence; ``ids`` holds its ids as unsigned 32-bit little-endian numbers."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     tokens = materialize(tokenised(docs, json_path, length), "tokens")
     total = tokens.agg(F.sum(F.when(F.col("start") == 0, F.col("n")))).first()[0] or 0
     schema = _PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString())

@@ -22,6 +22,8 @@ from quillstone.functions.shipping import ship
 BROADCAST_ROWS = 400_000
 #: Rows of which a worker holds Python objects at once.
 SLICE_ROWS = 1024
+#: Bytes of rows that go to a worker at once, unless the session says otherwise; whole texts may be long.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +62,16 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def prepare(spark: SparkSession) -> None:
+    """Makes the package importable in workers and bounds the batches that they get."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Maps record batches by fn, which returns a list or Arrow array for each column of schema."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     arrow = to_arrow_schema(parsed(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +113,7 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict], schema: str, order: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """fn over the rows of each key, held one group at a time. Groups must be bounded by how the keys are made."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     arrow = to_arrow_schema(parsed(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.shipping import ship
 from quillstone.llm.near_dup import words
-from quillstone.llm.shared import map_arrow, materialize, maybe_broadcast, table
+from quillstone.llm.shared import map_arrow, materialize, maybe_broadcast, prepare, table
 
 MIN_WORDS, GRAM, SPAN = 50, 10, 25
 PREFIX = MIN_WORDS - SPAN + 1
@@ -88,7 +87,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 def equal_neighbours(rows: DataFrame, tag: str) -> DataFrame:
     """The (doc_id, at) of rows (key, doc_id, at) whose key another row has, by a range sort and a look at the neighbours."""
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "doc_id", "at", "edge")
