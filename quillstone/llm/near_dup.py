@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept): documents linked where 100 * intersection >= percent * union."""
     sketches = materialize(sketched(docs, k), "sketches")
     classes = materialize(sketches.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    reps = sketches.select("doc_id", F.explode("bands").alias("key")).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bands = materialize(reps.distinct(), "bands")
+    reps = sketches.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    bands = materialize(reps.select("doc_id", F.explode("bands").alias("key")), "bands")
     least = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
     edges = bands.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     clusters = materialize(components(edges, "candidates").join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
@@ -191,13 +191,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = clusters.join(sums, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(placed, members), "doc_id")
     texts = materialize(texts.withColumns({"label": F.col("doc_id"), "probe": F.lit(True)}), "texts")
-    links = materialize(_linked(texts, ["cluster", "block"], k, percent), "links")
+    found = components(_linked(texts, ["cluster", "block"], k, percent), "linked")
     large = texts.where("blocks > 1")
     if large.limit(1).count():
         for targets in (_pivots, _outsiders):
-            labelled = _labels(large, links)
-            links = materialize(links.union(_linked(targets(labelled), ["cluster", "block", "turn"], k, percent)), "links")
-    found = components(links, "linked")
+            new = materialize(_linked(targets(_labelled(large, found)), ["cluster", "block", "turn"], k, percent), "links")
+            if new.limit(1).count():
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "linked")
     named = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return (
         sketches.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
@@ -206,9 +206,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _labels(large: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(large: DataFrame, found: DataFrame) -> DataFrame:
     """The members of clusters of several blocks, labelled with their components so far."""
-    found = components(links, "labels")
     return materialize(large.drop("label").join(found, large["doc_id"] == found["node"], "left").select("cluster", "blocks", "block", "doc_id", "text", F.coalesce("component", "doc_id").alias("label")), "labelled")
 
 

@@ -367,3 +367,24 @@ def test_licences(spark):
         6: ("MIT", None, None, "MIT", False), 7: (None, "MIT", "a", "MIT", False), 8: (None, "MIT", "a", "MIT", False), 9: (None, None, None, None, False), None: (None, "Apache-2.0", "a/b", "Apache-2.0", False), 11: (None, None, None, None, False),
     }
     assert license_scan.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
+
+
+def test_components(spark):
+    from quillstone.llm.shared import components
+
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(5, 5), (7, 3), (3, 7), (None, 4), (900, 901)]
+    parent = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a in parent and b in parent and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
