@@ -7,13 +7,23 @@ their order.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.shipping import ship
+
 # Defaults of the ranking formula and of the retrieval steps.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K, RRF_K, RERANK_K, FINAL_K, ABSTAIN_BELOW, PROMOTE_FLOOR = 20, 60, 8, 6, 0.25, 0.15
 DIGITS = 9
+#: Rows of vectors and of queries that meet in one matrix product, query vectors that a broadcast may hold, and results that a task may.
+VECTOR_BLOCK, QUERY_BLOCK, BROADCAST_QUERIES, HELD_ROWS = 4096, 512, 50_000, 4_000_000
 
 
 def lexical(text: Column) -> Column:
@@ -80,6 +90,114 @@ def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return pair.select("query_id", "scope", "doc_id", score.alias("score")).where(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") < float("inf")))
 
 
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """Blocks of at most n rows, each one Arrow stream in a binary column."""
+    ship(rows.sparkSession)
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                held.append(batch.slice(lo, n - size))
+                lo, size = lo + held[-1].num_rows, size + held[-1].num_rows
+                if size == n:
+                    yield pack(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield pack(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "block binary")
+
+
+def _matrices(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, row numbers, matrix) of the vectors of each length; vectors with a null in them give NaN."""
+    vectors = table.column(column).combine_chunks()
+    sizes = np.asarray(vectors.value_lengths().fill_null(-1))
+    for size in np.unique(sizes[sizes >= 0]):
+        rows = np.flatnonzero(sizes == size)
+        yield int(size), rows, np.asarray(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), size)
+
+
+def _best_of_blocks(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[pa.Table]:
+    """(query_id, scope, doc_id, score) of the best k vectors of each scope; vectors are ordered by doc_id."""
+    scopes = vectors.column("scope").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    asked = {size: (rows, matrix) for size, rows, matrix in _matrices(queries, "embedding")}
+    for size, rows, matrix in _matrices(vectors, "embedding"):
+        if size not in asked:
+            continue
+        q_rows, q_matrix = asked[size]
+        with np.errstate(all="ignore"):
+            scores = np.round(matrix @ q_matrix.T, 6) + 0.0
+        scores[~np.isfinite(scores)] = -np.inf
+        for scope in np.unique(scopes[rows]):
+            of = np.flatnonzero(scopes[rows] == scope)
+            part = scores[of]
+            best = np.argsort(-part, axis=0, kind="stable")[:k]  # ties stay in the order of doc_id
+            values = np.take_along_axis(part, best, 0)
+            at, col = np.nonzero(values > -np.inf)
+            q, v = pa.array(q_rows[col]), pa.array(rows[of[best[at, col]]])
+            cols = [queries.column("query_id").take(q), vectors.column("scope").take(v), vectors.column("doc_id").take(v), pa.array(values[at, col], pa.float64())]
+            yield pa.table(cols, ["query_id", "scope", "doc_id", "score"])
+
+
+def _best_rows(tables: list[pa.Table], k: int) -> pa.Table:
+    """The best k rows of each (query_id, scope)."""
+    rows = pa.concat_tables(tables)
+    rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("scope", "ascending"), ("score", "descending"), ("doc_id", "ascending")]))
+    code = lambda name: rows.column(name).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    q, scope = code("query_id"), code("scope")
+    first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (scope[1:] != scope[:-1])][: len(q)])
+    turn = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return rows.filter(pa.array(turn < k))
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, scope, doc_id, score, rank 1..k) of unit vectors, for sets of queries that grow with the vectors.
+
+    Blocks of queries meet blocks of vectors in matrix products, all against all. A task keeps the best k of each query and
+    scope over its vectors, so that what is dealt out grows with the queries and tasks; beyond HELD_ROWS it hands on what it has.
+    Up to BROADCAST_QUERIES the queries are broadcast, beyond it the blocks are a Cartesian product. Vectors of other lengths
+    or that are not finite give no score.
+    """
+    spark = vectors.sparkSession
+    n = queries.count()
+    asked = _packed(queries.select("query_id", "embedding").repartition(max(1, -(-n // QUERY_BLOCK))), QUERY_BLOCK).withColumnRenamed("block", "asked")
+    dealt = vectors.select("scope", "doc_id", "embedding").repartition(max(2, spark.sparkContext.defaultParallelism))
+    pairs = _packed(dealt, VECTOR_BLOCK).crossJoin(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked)
+    kinds = {"query_id": queries.schema["query_id"].dataType, "scope": vectors.schema["scope"].dataType, "doc_id": vectors.schema["doc_id"].dataType}
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    most = HELD_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, pa.Table] = {}
+        for batch in batches:
+            for block, asks in zip(batch.column("block"), batch.column("asked"), strict=True):
+                rows = pa.ipc.open_stream(block.as_buffer()).read_all().sort_by("doc_id")
+                of = pa.ipc.open_stream(asks.as_buffer()).read_all()
+                key = hashlib.blake2b(asks.as_buffer(), digest_size=16).digest()
+                found = list(_best_of_blocks(rows, of, k))
+                if not found:
+                    continue
+                held[key] = _best_rows([held[key], *found] if key in held else found, k)
+                if sum(t.num_rows for t in held.values()) > most:
+                    for best in held.values():
+                        yield from best.combine_chunks().to_batches()
+                    held = {}
+        for best in held.values():
+            yield from best.combine_chunks().to_batches()
+
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", score double"
+    return top_k(pairs.mapInArrow(run, schema), k)
+
+
 def top_k(scored: DataFrame, k: int = TOP_K, positive: bool = False, by: tuple[str, ...] = ("query_id", "scope")) -> DataFrame:
     """rank 1..k by (score descending, doc_id); positive drops scores of zero or less after the cut."""
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

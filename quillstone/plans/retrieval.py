@@ -102,15 +102,55 @@ def expand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("question", ops.expand_query(F.col("question")).alias("expanded"), F.array_join(ops.intents(F.col("question")), ",").alias("intents"))
 
 
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined with vectors of the same number, by the probes' vectors and questions."""
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined with vectors of the same number."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
     section = F.when(F.col("lang") == "en", "Item 1A. Risk Factors").otherwise("Item 1. Business")
-    chunks = docs.select(F.col("lang").alias("scope"), "doc_id", "text", section.alias("section"), "embedding")
+    return docs.select(F.col("lang").alias("scope"), "doc_id", "text", section.alias("section"), "embedding")
+
+
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined with vectors of the same number, by the probes' vectors and questions."""
+    chunks = _embedded(spark, sf_dir)
     asked = _questions(spark).select(F.regexp_extract("query_id", r"\d+", 0).cast("long").alias("vec_id"), "query_id", "query").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     return ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked.drop("vec_id"))
 
 
+def _every_hundredth(frame: DataFrame, key: str) -> DataFrame:
+    """The queries of the searches: rows whose id is divisible by 100."""
+    return frame.where(F.col(key) % 100 == 0)
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_hundredth(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all vectors: the best 20 of each label."""
+    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def interleave_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all vectors: labels in turn, six a query."""
+    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    return ops.interleave(found, "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
+
+
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document as a question to all documents: the best 20 of each language."""
+    asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    scored = ops.bm25(_chunks(spark, sf_dir), asked).withColumn("score", F.round("score", 5))
+    return ops.top_k(scored, positive=True).select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document, with the vector of its number, as a question to all documents that have a vector."""
+    chunks = _embedded(spark, sf_dir)
+    asked = _every_hundredth(chunks, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
+    return ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked)
+
+
 _QUESTIONS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in QUESTIONS) + ") AS q(query_id, query)"
 _POSTS_SQL = """
 WITH toks AS (SELECT lang AS scope, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
@@ -125,7 +165,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score
 """
 _SECTION_SQL = "WITH s AS (SELECT source AS scope, doc_id, CASE lang WHEN 'en' THEN 'Item 1A. Risk Factors' WHEN 'fr' THEN 'Item 1. Business' WHEN 'de' THEN 'Front Matter' ELSE 'Item 7. MD&A' END AS section, round((n_chars % 1000) / 1000.0, 3)::DOUBLE AS base FROM documents)"
 
-QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve)}
+QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, dense_search, interleave_search, bm25_search, hybrid_search)}
 ORACLE_SQL = {
     "term_frequencies": _POSTS_SQL + "SELECT scope, term, df, CAST(total AS BIGINT) AS total, most FROM df",
     "term_idf": _POSTS_SQL + "SELECT scope, term, df, round(idf, 6) AS idf FROM idf",
