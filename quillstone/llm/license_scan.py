@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A file's *header* is made of its lines that hold a term of ``TRIGGERS``; a file is a *licence file* where its name is one of
-``FILE_NAMES`` or the header makes up most of its words. Each trigger line, and all of them together, is a segment. Segments and
+Segments of a file are each line that holds a term of ``TRIGGERS``, all these lines together, the lines around each (up to
+``BEFORE`` and ``AFTER`` of its paragraph, in every combination), each paragraph with a trigger, the leading comment, and the whole
+text of files with a name of ``FILE_NAMES``. A trigger may wrap within a paragraph or comment. A file is a *licence file* where its
+name is one of ``FILE_NAMES``, or its trigger lines or the segment of the stated licence make up most of its words. Segments and
 templates are sparse vectors of term counts times inverse document frequency over the templates; terms of a segment that no
 template has count with the weight of a term that one template has. The best template at a cosine of at least ``THRESHOLD``
 is the licence stated; ties go to the template first by name.
@@ -9,7 +11,7 @@ is the licence stated; ties go to the template first by name.
 A file without a stated licence inherits that of its nearest ancestor directory with a licence file: paths are joined with
 directories, from the deepest. A directory with several licence files has the one of best cosine, then first by name.
 
-All of it is DataFrame operations; templates are a fixed table. Lines without a trigger are never exploded into terms, only
+All of it is DataFrame operations; templates are a fixed table. Files without a trigger are never exploded into terms, only
 counted. The directories with licence files are broadcast if their counted number allows, else Spark shuffles and splits.
 
 Defined results: null text states nothing; a null path has no directory and no licence file; every row gives one row.
@@ -26,6 +28,16 @@ THRESHOLD = 0.6
 TRIGGERS = r"(?i)licen[cs]|copyright|all rights reserved|spdx|public domain|permission is (?:hereby )?granted|redistribution and use|warrant"
 FILE_NAMES = r"(?i)^(?:un)?(?:licen[cs]e|copying|notice)(?:[._-].*)?$"
 
+#: Lines before and after a trigger line that may belong to its notice, as notices wrap.
+BEFORE, AFTER = 2, 3
+#: The triggers where white space and comment marks may stand between their words.
+WRAPPED = TRIGGERS.replace(" ", r"[\W_]+")
+#: An empty line, but for marks, after any line.
+_BLANK = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+#: A leading comment between marks, and lines that are comments.
+_OPEN_COMMENT = r"(?s)^\s*(?:/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'|\(\*.*?\*\))"
+_COMMENT_LINE = r"^\s*(?:#|//|;|--|%|\*|'|!|dnl\b|rem\b|REM\b|\.\\\"|$)"
+
 #: (licence, text): the usual short notices and the opening words of licence files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -79,7 +91,8 @@ def stated(segments: DataFrame, keys: list[str], threshold: float = THRESHOLD) -
     rare = round(log((1.0 + len(TEMPLATES)) / 2.0) + 1.0, 9)
     of = _weighed(templates, ["template", "licence"], idf, rare)
     of = of.join(of.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size")), "template").select("template", "licence", "term", F.col("weight").alias("t_weight"), "size")
-    own = _weighed(segments, keys, idf, rare)
+    dealt = segments.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)  # once, as short texts; all sums below are of one segment
+    own = _weighed(dealt, keys, idf, rare)
     norms = own.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("own"))
     dots = own.join(F.broadcast(of), "term").groupBy(*keys, "template", "licence", "size").agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
     scored = dots.join(norms, keys).select(*keys, "licence", F.round(F.col("dot") / (F.col("size") * F.col("own")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
@@ -87,19 +100,53 @@ def stated(segments: DataFrame, keys: list[str], threshold: float = THRESHOLD) -
     return best.select(*keys, F.col("b.licence").alias("licence"), (-F.col("b.n")).alias("cosine"))
 
 
+def n_words(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+
+
+def _leading_comment(text: Column) -> Column:
+    """The comment that a text begins with, after a line `#!`; empty if it begins with none."""
+    body = F.regexp_replace(text, r"^#![^\n]*\n", "")
+    lines = F.split(body, "\n")
+    end = F.array_position(F.transform(lines, lambda x: ~x.rlike(_COMMENT_LINE)), True)
+    marked = F.regexp_extract(body, _OPEN_COMMENT, 0)
+    return F.when(marked != "", marked).otherwise(F.array_join(F.slice(lines, 1, F.when(end > 0, end - 1).otherwise(F.size(lines)).cast("int")), "\n"))
+
+
+def _around(paragraph: Column) -> Column:
+    """The lines around each trigger line of a paragraph: up to BEFORE lines before and AFTER after it."""
+    lines = F.split(paragraph, "\n")
+    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(TRIGGERS))
+    ranges = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(BEFORE + 1) for b in range(AFTER + 1) if a + b))
+    cut = lambda i: F.transform(F.filter(ranges, lambda r: (i > r["a"]) & (i + r["b"] <= F.size(lines))), lambda r: F.array_join(F.slice(lines, i - r["a"], r["a"] + r["b"] + 1), "\n"))
+    return F.flatten(F.transform(at, cut))
+
+
+def segments(text: Column, path: Column, lines: Column) -> Column:
+    """The distinct segments of a text whose trigger lines are given; none if nothing in it is a trigger."""
+    name = F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit(""))
+    paragraphs = F.filter(F.split(text, _BLANK), lambda p: p.rlike(WRAPPED))
+    whole = F.filter(F.array(_leading_comment(text), F.when(name.rlike(FILE_NAMES), text).otherwise("")), lambda x: x.rlike(WRAPPED))
+    own = F.when(F.size(lines) > 0, F.array_append(lines, F.array_join(lines, "\n"))).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.concat(own, F.flatten(F.transform(paragraphs, _around)), paragraphs, whole))
+    return F.when(text.rlike(WRAPPED), found).otherwise(F.array().cast("array<string>"))
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "file_id") -> DataFrame:
     """(file_id, path, stated, cosine, is_licence_file, inherited, inherited_from, licence) for every file."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(TRIGGERS))
-    head = files.select(F.col(key).alias("file_id"), F.col(path).alias("path"), F.xxhash64(text, path).alias("digest"), lines.alias("lines"), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))).alias("n_words"))
-    head = head.select("file_id", "path", "digest", "lines", "n_words", F.size(F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(r"\S+"), F.lit(0))).alias("n_head"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(TRIGGERS))
+    head = files.select(F.col(key).alias("file_id"), F.col(path).alias("path"), F.xxhash64(text, path).alias("digest"), lines.alias("lines"), n_words(whole).alias("n_words"), whole.alias("text"))
+    head = head.select("file_id", "path", "digest", segments(F.col("text"), F.col("path"), F.col("lines")).alias("segments"), "n_words", n_words(F.array_join("lines", "\n")).alias("n_head"))
     head = materialize(head, "headers")
-    some = head.where(F.size("lines") > 0).select("file_id", "digest", "lines").distinct()
-    parts = some.select("file_id", "digest", F.posexplode(F.concat(F.col("lines"), F.array(F.array_join("lines", "\n")))).alias("seg", "line"))
-    found = stated(parts.select(F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("f"), "digest", "seg", terms(F.col("line")).alias("terms")), ["f", "digest", "seg"])
-    best = materialize(found.groupBy("f", "digest").agg(F.min(F.struct((-F.col("cosine")).alias("n"), "licence")).alias("b")).select("f", F.col("digest").alias("f_digest"), F.col("b.licence").alias("stated"), (-F.col("b.n")).alias("cosine")), "stated")
+    some = head.where(F.size("segments") > 0).select("file_id", "digest", "segments").dropDuplicates(["file_id", "digest"])
+    parts = some.select(F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("f"), "digest", F.posexplode("segments").alias("seg", "line"))
+    found = stated(parts.select("f", "digest", F.struct("seg", n_words(F.col("line")).alias("n")).alias("seg"), terms(F.col("line")).alias("terms")), ["f", "digest", "seg"])
+    best = found.groupBy("f", "digest").agg(F.min(F.struct((-F.col("cosine")).alias("n"), "licence", (-F.col("seg.n")).alias("words"))).alias("b"))
+    best = materialize(best.select("f", F.col("digest").alias("f_digest"), F.col("b.licence").alias("stated"), (-F.col("b.n")).alias("cosine"), (-F.col("b.words")).alias("n_stated")), "stated")
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/?[^/]*$", "")
     files_ = head.join(maybe_broadcast(best, best.count()), (F.coalesce(F.col("file_id").cast("string"), F.lit("")) == F.col("f")) & (F.col("digest") == F.col("f_digest")), "left")
-    is_file = F.coalesce(F.col("stated").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.col("n_head") > F.col("n_words"))), F.lit(False))
+    is_file = F.coalesce(F.col("stated").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.greatest("n_head", "n_stated") > F.col("n_words"))), F.lit(False))
     files_ = files_.select("file_id", "digest", "path", folder.alias("folder"), "stated", "cosine", is_file.alias("is_licence_file"))
     files_ = materialize(files_, "scanned")
     folders = files_.where("is_licence_file").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("n"), F.col("stated").alias("licence"))).alias("b")).select(F.col("folder").alias("from_folder"), F.col("b.licence").alias("inherited"))

@@ -369,6 +369,30 @@ def test_licences(spark):
     assert license_scan.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+NOTICES = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_wrapped_licence_notices(spark):
+    """Standard notices wrap: as line comments, as a block comment without marks inside, and between lines of code."""
+    code = "\n".join(f"value_{i} = compute({i}, other_{i})" for i in range(60))
+    forms = {
+        "line": lambda t: "#!/bin/sh\n# " + t.replace("\n", "\n# ") + "\n\n" + code,
+        "block": lambda t: "/*\n" + t + "\n*/\n" + code,
+        "inside": lambda t: code + "\n// " + t.replace("\n", "\n// ") + "\n" + code,
+    }
+    rows = [(f"{licence} {form}", f"a/b/{licence}.{form}", make(t)) for licence, t in NOTICES.items() for form, make in forms.items()]
+    rows += [("top", "a/LICENSE", "Licensed under the Apache License, Version 2.0"), ("mit", "c/x.c", "/* Permission is\n * hereby granted, free of charge, to any person obtaining a copy of this\n * software and associated documentation files (the Software), to deal in\n * the Software without restriction */\n" + code)]
+    rows += [("whole", "d/COPYING", NOTICES["MPL-2.0"]), ("under", "d/e.py", code)]
+    got = {r["file_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "file_id string, path string, text string")).collect()}
+    assert {k: r["stated"] for k, r in got.items()} == {f"{x} {form}": x for x in NOTICES for form in forms} | {"top": "Apache-2.0", "mit": "MIT", "whole": "MPL-2.0", "under": None}
+    assert got["under"]["inherited"] == "MPL-2.0" and not got["MPL-2.0 line"]["is_licence_file"] and got["whole"]["is_licence_file"]
+
+
 def test_components(spark):
     from quillstone.llm.shared import components
 
