@@ -349,6 +349,16 @@ def test_html_long_page_is_whole():
     assert html_text.main_text(page) == "\n".join(f"Paragraph number {i}." for i in range(5000))
 
 
+def test_html_unmarked_page_keeps_short_spans():
+    """No article is marked: adverts split the text, and what stands after or between them is short beside the rest."""
+    long, closing, link = "Long words. " * 70, "A closing paragraph of some twenty words stands here.", "<p>See <a href='x'>the full report of the committee</a></p>"
+    menu = "".join(f"<div><a href='{i}'>Entry {i}</a></div>" for i in range(5))
+    ad = "<div class='ad'>buy</div>"
+    page = f"<body>{menu}<h1>Title</h1><p>{long}</p>{ad}<p>Short.</p>{ad}{link}<p>{long}</p>{ad}<p>{closing}</p><div><a href='y'>Top</a></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", long.strip(), "Short.", "See the full report of the committee", long.strip(), closing])
+    assert html_text.main_text(f"<h1>Title</h1><p>{'x' * 800}</p>{ad}<p>{'y' * 100}</p>") == "\n".join(["Title", "x" * 800, "y" * 100])
+
+
 def test_line_block_spans():
     assert html_text.spans([0, 5, 0, 4, 0, 0, 0, 7]) == [(1, 4), (7, 8)] and html_text.spans([]) == [] and html_text.spans([3]) == [(0, 1)]
 
