@@ -8,7 +8,7 @@ their order.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.models import overlap_logit
 from quillstone.functions.shipping import ship
 
 # Defaults of the ranking formula and of the retrieval steps.
@@ -326,20 +327,29 @@ def token_windows(tokens: Column, size: int = 380) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None) -> DataFrame:
+def reranked(shortlist: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
+    """shortlist (query_id, query, scope, doc_id, text) with the score of its best window: the reranker's logit of the query and each
+    window of tokens, the greatest through the sigmoid. A text without a token is one empty window."""
+    windows = token_windows(lexical(F.col("text")))
+    windows = F.when(F.size(windows) > 0, F.transform(windows, lambda w: F.array_join(w, " "))).otherwise(F.array(F.lit("")))
+    logits = shortlist.select("query_id", "scope", "doc_id", "query", F.explode(windows).alias("window")).select("query_id", "scope", "doc_id", reranker(F.col("query"), F.col("window")).alias("logit"))
+    return shortlist.join(pooled_scores(logits, ["query_id", "scope", "doc_id"]), ["query_id", "scope", "doc_id"])
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None, reranker: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
     """Hybrid retrieval of a batch: queries (query_id, query, embedding). Lexical and dense top k in each scope, fused; the first
-    RERANK_K of each scope boosted by section and put under the threshold; scopes interleaved, FINAL_K a query.
+    RERANK_K of each scope reranked against the expanded query, boosted by section and put under the threshold; scopes
+    interleaved, FINAL_K a query.
     scopes (query_id, scope) names which scopes a query may look at; without it, all."""
     only = (lambda df: df.join(F.broadcast(scopes), ["query_id", "scope"], "left_semi")) if scopes is not None else (lambda df: df)
-    scored_dense = only(dense(vectors, queries))
-    expanded = queries.withColumn("found", intents(F.col("query")))
-    lexical_top = top_k(only(bm25(chunks, queries.select("query_id", expand_query(F.col("query")).alias("query")))), k, positive=True).withColumn("list", F.lit("lexical"))
-    dense_top = top_k(scored_dense, k).withColumn("list", F.lit("dense"))
+    expanded = queries.select("query_id", expand_query(F.col("query")).alias("query"), intents(F.col("query")).alias("found"))
+    lexical_top = top_k(only(bm25(chunks, expanded.select("query_id", "query"))), k, positive=True).withColumn("list", F.lit("lexical"))
+    dense_top = only(dense_top_k(vectors, queries, k)).withColumn("list", F.lit("dense"))
     fused = rrf(lexical_top.unionByName(dense_top)).where(F.col("rank") <= RERANK_K)
-    cosine = scored_dense.withColumnRenamed("score", "cosine")
-    scored = fused.drop("score").join(cosine, ["query_id", "scope", "doc_id"], "left").join(chunks.select("scope", "doc_id", "section", "text"), ["scope", "doc_id"]).join(F.broadcast(expanded.select("query_id", "found")), "query_id")
+    shortlist = fused.drop("score").join(chunks.select("scope", "doc_id", "section", "text"), ["scope", "doc_id"]).join(expanded, "query_id")
     boost = section_boost(F.col("found"), F.col("section"))
-    scored = scored.withColumn("score", boosted(F.coalesce("cosine", F.lit(0.0)), boost)).withColumn("relevant", boost > 0).withColumn("wrong", F.lower(F.coalesce("section", F.lit(""))).contains("front matter"))
+    scored = reranked(shortlist, reranker)
+    scored = scored.withColumn("score", F.round(boosted(F.col("score"), boost), DIGITS)).withColumn("relevant", boost > 0).withColumn("wrong", F.lower(F.coalesce("section", F.lit(""))).contains("front matter"))
     kept = threshold_or_promote(scored)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "doc_id")))
     return interleave(kept, "scope", ["scope", "text"]).select("query_id", "position", "scope", "doc_id", "score", "how")

@@ -87,3 +87,17 @@ def test_bm25_search_asks_every_hundredth_document(spark, tables):
 
 def test_hybrid_search_asks_every_hundredth_document(spark, tables):
     assert {r["query_id"] for r in plans.hybrid_search(spark, tables[0]).select("query_id").distinct().collect()} == {0, 100, 200, 300, 400}
+
+
+def test_retrieve_reranks_windows_of_the_shortlist(spark):
+    """The score is the best window's overlap with the expanded query, not the cosine: the words lie in the second window of a far vector."""
+    far = " ".join(["filler"] * 380 + ["copper", "mine", "output"])
+    chunks = spark.createDataFrame([("s", 1, "Item 9", far), ("s", 2, "Item 9", "nothing of the kind")], "scope string, doc_id long, section string, text string")
+    vectors = spark.createDataFrame([("s", 1, [0.0, 1.0]), ("s", 2, [1.0, 0.0])], "scope string, doc_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "copper mine output", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
+    got = [(r["doc_id"], r["score"]) for r in retrieval.retrieve(chunks, vectors, queries).collect()]
+    assert got == [(1, round(1 / (1 + math.exp(-4)), 9))]
+    from pyspark.sql import functions as F
+
+    other = retrieval.retrieve(chunks, vectors, queries, reranker=lambda q, text: F.when(text.contains("kind"), 2.0).otherwise(-3.0)).collect()
+    assert [(r["doc_id"], r["score"]) for r in other] == [(2, round(1 / (1 + math.exp(-2)), 9))]
