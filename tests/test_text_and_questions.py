@@ -1,6 +1,7 @@
 """Text, XBRL, retrieval, routing, evidence, evaluation, constraints, sources and streams, by examples."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,19 @@ def test_streams(spark, tmp_path):
     streams.run_batches(streams.insert_once(stream, "event_id"), lambda df, _: seen.extend(r["event_id"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [0, 1, 2, 3, 4]
     assert streams.sessions(batch.withColumn("user_id", F.lit(1)), "30 minutes").count() == 3
+
+
+def test_section_carry_reads_whole_texts(spark, tmp_path):
+    """Against brute force: headings of other roles keep their titles, and long texts that begin like one are none."""
+    from quillstone.plans import text as plans
+
+    turns = [(1, 0, "assistant", "Item 7. Discussion of results"), (1, 1, "assistant", "Item 7 " + "goes on and on " * 300), (1, 2, "user", "hello"), (1, 3, "system", "Item 3. " + "t" * 150), (2, 0, "assistant", "Item 1 " + "x" * 300), (2, 1, "assistant", "plain")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    expected, last = {}, {}
+    for conv, turn, role, shown in turns:
+        shown = f"Item {turn % 9 + 1}. user" if role == "user" else shown
+        if (found := re.match(r"Item (\d+)[.]?\s*(.*)", shown)) and len(shown.strip()) < 250:
+            last[conv] = f"Item {found[1]} — {found[2] if len(found[2]) < 120 else ''}"
+        expected[conv, turn] = last.get(conv, "Front matter")
+    assert {(r["conv_id"], r["turn"]): r["section"] for r in plans.section_carry(spark, str(tmp_path)).collect()} == expected
+    assert expected[1, 1] == "Item 7 — Discussion of results" and expected[2, 1] == "Front matter"
