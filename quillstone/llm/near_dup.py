@@ -15,13 +15,15 @@ How it stays linear where many documents resemble each other:
 3. Each cluster's texts meet once, in blocks of at most about ``BLOCK_ROWS`` texts or ``BLOCK_SHINGLES`` shingles. Within a
    block, pairs in different components are compared until none is left: registers first, estimating similarity jointly with the known
    sizes by likelihood, then full sets. Pairs that are already connected need no look, so a block of copies costs one comparison each.
-4. In clusters of several blocks, a few pivots of the cluster visit every block; members still outside the cluster's largest
-   component then visit every block. Every pair is thus compared or connected, without all pairs being made.
+4. In clusters of several blocks, a few pivots of the cluster visit every block.
+5. Buckets whose members are still in several components are looked at by registers alone: members outside the bucket's largest
+   component against all of it, in blocks of at most ``SKETCH_ROWS``. A pair is judged at the first band that it shares. Only the texts of
+   pairs that the registers leave plausible are sent, to be compared as in step 3. Texts that merely share a template stop here.
 
-Links are confirmed on full sets of 64-bit shingle hashes. Components come from distributed star contraction.
+Links are confirmed on full sets of 64-bit shingle hashes. Components come from contraction in tasks and star contraction.
 
 Defined results: null or empty text has no shingle and is linked with nothing; rows of one doc_id count as one document;
-a null doc_id is its own component (null); other columns are ignored.
+a null doc_id is its own component (null) and in no group, so the stage keeps its row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from quillstone.llm.shared import components, map_arrow, map_groups, materialize, maybe_broadcast, table
 
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
-BLOCK_ROWS, BLOCK_SHINGLES, PIVOTS = 256, 400_000, 8
+BLOCK_ROWS, BLOCK_SHINGLES, SKETCH_ROWS, PIVOTS = 256, 400_000, 1024, 8
 #: A pair is dropped on its registers only where the likelihood of the threshold is under e**-LEAST of the greatest.
-LEAST = 16.0
+LEAST = 12.0
 
 _rng = np.random.default_rng(10)
 _MUL = _rng.integers(0, 2**64, REGISTERS, np.uint64) | np.uint64(1)
@@ -92,7 +96,17 @@ def _collision(x: np.ndarray) -> np.ndarray:
 
 
 def plausible(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which others may reach the threshold, by the joint likelihood of registers and known set sizes."""
+    """Which others may reach the threshold, by the joint likelihood of registers and known set sizes.
+
+    Pairs whose equal registers alone are over seven standard deviations below the threshold are not weighed any further.
+    """
+    out = (others == one).sum(1) >= REGISTERS * threshold - 7 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+    out &= np.minimum(size, sizes) >= (threshold - 1e-9) * np.maximum(size, sizes)
+    out[out] = _likely(one, others[out], size, sizes[out], threshold)
+    return out
+
+
+def _likely(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, threshold: float) -> np.ndarray:
     more, fewer = (one > others).sum(1), (one < others).sum(1)
     equal = REGISTERS - more - fewer
     u = size / (size + sizes)
@@ -103,22 +117,13 @@ def plausible(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray,
     rest = np.clip(1 - up - down, 1e-12, 1)
     fit = more[:, None] * np.log(up) + fewer[:, None] * np.log(down) + equal[:, None] * np.log(rest)
     high = np.where(j >= np.minimum(threshold, top[:, None]) - 1 / 64, fit, -np.inf).max(1)
-    return (top >= threshold - 1e-9) & (fit.max(1) - high <= LEAST)
+    return fit.max(1) - high <= LEAST
 
 
 def links_within(ids: list, sets: list[np.ndarray], labels: list, probes: list[bool], percent: int) -> list[tuple]:
     """Links (id, id) that connect what is linked among the pairs with a probe, leaving out pairs that are connected already."""
     n = len(ids)
-    names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-    parent = list(range(len(names)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    at = [names[x] for x in labels]
+    label = np.unique(np.array(labels), return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
     regs = np.array([registers(s) for s in sets]) if n > 6 else None
     out = []
@@ -126,24 +131,20 @@ def links_within(ids: list, sets: list[np.ndarray], labels: list, probes: list[b
     for i in range(n):
         if not probes[i]:
             continue
-        against = np.arange(i) if everyone else np.arange(n)
-        roots = np.array([find(x) for x in at])
-        against = against[roots[against] != roots[i]]
-        if not len(against):
-            continue
+        against = np.nonzero(label[: i if everyone else n] != label[i])[0]
         small, large = np.minimum(sizes[against], sizes[i]), np.maximum(sizes[against], sizes[i])
         against = against[100 * small >= percent * large]
         if regs is not None and len(against):
-            against = against[plausible(regs[i], regs[against], int(sizes[i]), sizes[against], percent / 100)]
-            against = against[np.argsort(-(regs[against] == regs[i]).sum(1), kind="stable")]
+            equal = (regs[against] == regs[i]).sum(1)
+            order = np.argsort(-equal, kind="stable")
+            against = against[order][plausible(regs[i], regs[against[order]], int(sizes[i]), sizes[against[order]], percent / 100)]
         for j in against.tolist():
-            a, b = find(at[i]), find(at[j])
-            if a == b:
+            if label[j] == label[i]:
                 continue
             x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
             common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             if 100 * common >= percent * (len(x) + len(y) - common):
-                parent[a] = b
+                label[label == label[j]] = label[i]
                 out.append((ids[i], ids[j]))
     return out
 
@@ -180,60 +181,118 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked where 100 * intersection >= percent * union."""
     sketches = materialize(sketched(docs, k), "sketches")
-    classes = materialize(sketches.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    reps = sketches.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = materialize(reps.select("doc_id", F.explode("bands").alias("key")), "bands")
-    least = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
-    edges = bands.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    clusters = materialize(components(edges, "candidates").join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
+    some = sketches.where("n > 0 AND doc_id IS NOT NULL")
+    copies = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "rep"), "copies")
+    of_copies = maybe_broadcast(copies, copies.count())
+    reps = materialize(some.join(of_copies, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "n", "bands"), "representatives")
+    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    least = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b <> most").select("key", "b"), "buckets")
+    edges = keyed.join(maybe_broadcast(least, least.count()), "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    clusters = components(edges, "candidates")
     members = clusters.count()
+    clusters = reps.select(F.col("doc_id").alias("node"), "n").join(maybe_broadcast(clusters, members), "node")
     sums = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = clusters.join(sums, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = materialize(placed, "placed")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(placed, members), "doc_id")
     texts = materialize(texts.withColumns({"label": F.col("doc_id"), "probe": F.lit(True)}), "texts")
     found = components(_linked(texts, ["cluster", "block"], k, percent), "linked")
     large = texts.where("blocks > 1")
-    if large.limit(1).count():
-        for targets in (_pivots, _outsiders):
-            new = materialize(_linked(targets(_labelled(large, found)), ["cluster", "block", "turn"], k, percent), "links")
-            if new.limit(1).count():
-                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "linked")
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    if not large.isEmpty():
+        labelled = _labelled(large, found)
+        found = _with(found, _linked(_pivots(labelled), ["cluster", "block"], k, percent))
+        labelled = _labelled(large, found)
+        met = _meetings(labelled, reps, k, percent)
+        if met is not None:
+            found = _with(found, _linked(met, ["key", "block", "turn"], k, percent))
+    found = found.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    joined = sketches.select("doc_id", "n", "d1", "d2").join(of_copies, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     return (
-        sketches.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        joined.join(maybe_broadcast(found, found.count()), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def _with(found: DataFrame, links: DataFrame) -> DataFrame:
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "linked")
+
+
 def _labelled(large: DataFrame, found: DataFrame) -> DataFrame:
     """The members of clusters of several blocks, labelled with their components so far."""
-    return materialize(large.drop("label").join(found, large["doc_id"] == found["node"], "left").select("cluster", "blocks", "block", "doc_id", "text", F.coalesce("component", "doc_id").alias("label")), "labelled")
+    found = maybe_broadcast(found, found.count())
+    return large.drop("label", "probe").join(found, large["doc_id"] == found["node"], "left").select("cluster", "blocks", "block", "doc_id", "text", F.coalesce("component", "doc_id").alias("label"))
 
 
 def _pivots(labelled: DataFrame) -> DataFrame:
     """Every block with the cluster's pivots: the PIVOTS members of least hashed id, found from each block's own least."""
     low = labelled.groupBy("cluster", "block").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("m"))
-    low = low.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list("m")), 1, PIVOTS).alias("ms")).select("cluster", F.explode("ms.doc_id").alias("doc_id"))
-    pivots = labelled.join(low, ["cluster", "doc_id"], "left_semi")
+    low = low.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("m"))).where(F.col("rank") <= PIVOTS)
+    low = materialize(low.select("cluster", "m.doc_id"), "pivots")
+    pivots = labelled.join(maybe_broadcast(low, low.count()), ["cluster", "doc_id"], "left_semi")
     sent = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return _met(sent.withColumn("turn", F.lit(0)), labelled.withColumn("turn", F.lit(0)))
+    cols = ["cluster", "block", "doc_id", "text", "label"]
+    return sent.select(*cols, F.lit(True).alias("probe")).union(labelled.select(*cols, F.lit(False)))
+
+
+def _meetings(labelled: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(key, block, turn, doc_id, text, label, probe): the texts to compare in buckets with several components, None without such a bucket.
+
+    A bucket's probes are its members outside its largest component; they meet all members. Registers alone decide who is sent."""
+    labels = materialize(labelled.select("doc_id", "label").distinct(), "labels")
+    n_labels = labels.count()
+    keyed = reps.join(maybe_broadcast(labels, n_labels), "doc_id").select("doc_id", "label", F.explode("bands").alias("key"))
+    counts = keyed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("several")).where("several > 1")
+    mixed = mixed.select("key", F.col("m.label").alias("main"), F.ceil(F.col("all") / SKETCH_ROWS).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.c")) / SKETCH_ROWS).cast("int").alias("turns"))
+    mixed = materialize(mixed, "mixed")
+    n_mixed = mixed.count()
+    if not n_mixed:
+        return None
+    rows = materialize(keyed.join(maybe_broadcast(mixed, n_mixed), "key"), "rows")
+    ids = materialize(rows.select("doc_id").distinct(), "sketched")
+    n_ids = ids.count()
+    regs = labelled.select("doc_id", "text").join(maybe_broadcast(ids, n_ids), "doc_id", "left_semi")
+    regs = materialize(_registers_of(regs, k), "registers")
+    placed = rows.withColumns({"own": F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"), "at": F.pmod(F.xxhash64("key", "doc_id"), F.col("turns")).cast("int")})
+    cols = ["key", "block", "turn", "doc_id", "label"]
+    probes = placed.where("label <> main").withColumns({"turn": F.col("at"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    base = placed.withColumns({"block": F.col("own"), "turn": F.explode(F.sequence(F.lit(0), F.col("turns") - 1))})
+    both = probes.select(*cols, F.lit(True).alias("probe")).union(base.select(*cols, F.lit(False)))
+    sent = materialize(_plausible_rows(both.join(maybe_broadcast(regs, n_ids, 100_000), "doc_id"), percent), "sent")
+    few = sent.select("doc_id").distinct()
+    wanted = labelled.select("doc_id", "text").join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sent.join(wanted, "doc_id")
+
+
+def _registers_of(rows: DataFrame, k: int) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "regs": [registers(s).astype(np.uint16).tobytes() for s in sets]}
 
+    return map_arrow(rows, run, "doc_id long, n long, regs binary")
 
-def _outsiders(labelled: DataFrame) -> DataFrame:
-    """Every block with the members outside their cluster's largest component, these again in blocks, one for each turn."""
-    sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("c", F.col("label").alias("main"))).alias("m"), F.sum("c").alias("all"))
-    turns = main.select("cluster", "m.main", F.ceil((F.col("all") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("turns")).where("turns > 0")
-    outside = labelled.join(turns, "cluster").where("label <> main").withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("turns")).cast("int"))
-    sent = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    base = labelled.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    return _met(sent, base)
 
+def _plausible_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a plausible partner of another component in their group, and share no earlier band with it."""
 
-def _met(sent: DataFrame, base: DataFrame) -> DataFrame:
-    cols = ["cluster", "block", "turn", "doc_id", "text", "label"]
-    return sent.select(*cols, F.lit(True).alias("probe")).union(base.select(*cols, F.lit(False)))
+    def run(group: pa.Table) -> dict:
+        label, n = (group.column(c).to_numpy() for c in ("label", "n"))
+        probe, ids = np.array(group.column("probe").to_pylist()), group.column("doc_id").to_numpy()
+        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        key = group.column("key")[0].as_py()
+        band = int(np.nonzero(band_keys(regs[0].astype(np.int64)) == key)[0][0])
+        wanted = np.zeros(len(ids), bool)
+        for i in np.nonzero(probe)[0].tolist():
+            against = np.nonzero(label != label[i])[0]
+            if band:
+                earlier = (regs[against, : band * ROWS] == regs[i, : band * ROWS]).reshape(-1, band, ROWS).all(2).any(1)
+                against = against[~earlier]
+            against = against[plausible(regs[i], regs[against], int(n[i]), n[against], percent / 100)]
+            wanted[against] = True
+            wanted[i] |= len(against) > 0
+        return {c: group.column(c).filter(pa.array(wanted)).combine_chunks() for c in ("key", "block", "turn", "doc_id", "label", "probe")}
+
+    return map_groups(rows.select("key", "block", "turn", "doc_id", "label", "probe", "n", "regs"), ["key", "block", "turn"], run, "key long, block int, turn int, doc_id long, label long, probe boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ so a lost executor costs a recomputation of its tasks and nothing else.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none (local tests)."""
+    """The folder that all executors share; a folder of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillstone-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -137,15 +141,68 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Edges of which a task holds arrays at once.
+EDGE_ROWS = 1_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that the edges reach from it) of each node of the edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != (jumped := label[label])).any():
+            label = jumped
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) stars with the connections of the edges within each task, roots with themselves; a task holds EDGE_ROWS edges at a time."""
+    prepare(edges.sparkSession)
+
+    def star(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def batches_of(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(u), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 65536]), pa.array(v[lo : lo + 65536])], names=("u", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            n += batch.num_rows
+            if n >= EDGE_ROWS:
+                held = [star(held)]
+                n = len(held[0][0])
+                if 2 * n >= EDGE_ROWS:
+                    yield from batches_of(*held[0])
+                    held, n = [], 0
+        if n:
+            yield from batches_of(*star(held))
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges of longs: (node, component), component being the least node reachable.
 
-    Alternates large-star and small-star until the edges are stars: every node with its neighbours is linked to the least of
-    them, by a grouped minimum that is combined before the shuffle and a join. Each round is written to the shared folder;
+    Tasks first contract the edges they hold to stars, EDGE_ROWS at a time, without a shuffle. Where that took several tasks,
+    large-star and small-star alternate with it until the edges are stars: every node with its neighbours is linked to the least
+    of them, by a grouped minimum that is combined before the shuffle and a join. Each round is written to the shared folder;
     the driver gets one number a round. Nodes without an edge are not returned; edges may repeat.
     """
     edges = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), tag)
     for _ in range(rounds):
+        parts = max(1, -(-edges.count() // EDGE_ROWS))
+        edges = materialize(_contracted(edges.coalesce(parts)), tag)
+        if parts == 1:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = edges.where("u <> v")
         if not _unsettled(edges):
             break
         both = edges.union(edges.select(F.col("v"), F.col("u")))
@@ -156,7 +213,8 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
         edges = materialize(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v"), F.col("m"))).distinct(), tag)
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return materialize(found, tag)
 
 
 def _unsettled(edges: DataFrame) -> int:
