@@ -3,17 +3,19 @@
 Of all suffixes (starting at any word of any document) those at minimiser positions are retained: of every ``SPAN`` consecutive
 runs of GRAM words the one of least hash, so that equal content selects equal positions. Any passage of MIN_WORDS words
 holds such a position among its first SPAN, with at least PREFIX words of the passage after it. Retained suffixes are sorted
-by their hashed PREFIX-word beginnings, which brings equal ones together, and compared with their neighbours. Around the survivors matches
-are extended to the left and right word by word: the runs of MIN_WORDS words that start up to SPAN - 1 words
+by their first LETTERS bytes, equal ones by a hash of their first PREFIX words, and compared with their neighbours: those whose common prefix
+reaches PREFIX words survive. Around the survivors matches are extended to the left and right word by word: the runs of MIN_WORDS words that start up to SPAN - 1 words
 before a survivor which is their minimiser are sorted and compared with their neighbours in turn. A word is repeated if it lies in a run of MIN_WORDS
 words that occurs twice in the corpus, in one document or in two.
 
-Sorting is by ranges of (hash, document, place), so that a passage in a third of all documents is spread over tasks;
+Sorting is by ranges of (letters, hash, document, place), so that a passage in a third of all documents is spread over tasks;
 rows at the ends of ranges, two a task, are compared once more among themselves. Documents with equal word sequences are
 represented by one of them. Runs are compared by 64-bit hashes.
 
 Words stand between ASCII white space; A-Z are lower-cased. Defined results: null, empty and short texts have no repeats;
-rows of one doc_id count as one document; rows with null doc_id are left out; other columns are ignored.
+rows of one doc_id count as one document, so that repeated rows repeat nothing (texts that differ under one doc_id share its places and are reported as
+one); where a passage starts twice, both places are repeats, and ties of minimisers go to the left; rows with null doc_id are left out;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.near_dup import words
-from quillstone.llm.shared import map_arrow, materialize, maybe_broadcast, prepare, table
+from quillstone.llm.shared import BROADCAST_ROWS, map_arrow, materialize, maybe_broadcast, prepare, table
 
 MIN_WORDS, GRAM, SPAN = 50, 10, 25
 PREFIX = MIN_WORDS - SPAN + 1
 SORT_ROWS = 400_000
+LETTERS = 8
 
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 2**64)
@@ -64,29 +67,40 @@ def minimiser_of(grams: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(1) + np.arange(len(grams) - SPAN + 1)
 
 
+def beginnings(found: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The first LETTERS bytes of the suffixes at these words, as longs whose order is that of the letters."""
+    data = np.frombuffer(b" ".join(found) + bytes(LETTERS), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)])[at]
+    out = data[starts[:, None] + np.arange(LETTERS)].view(">u8")[:, 0] if len(at) else np.zeros(0, np.uint64)
+    return (out.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, d1, d2, at, key): sizes, digests and the retained suffixes of every document."""
+    """(doc_id, n_words, d1, d2, at, head, key): sizes, digests and the retained suffixes of every document."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_words", "d1", "d2", "at", "key")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "d1", "d2", "at", "head", "key")}
         for text in batch.column(1).to_pylist():
             found = words(text)
             digest = xxhash.xxh3_128_digest(b" ".join(found))
-            at = key = np.zeros(0, np.int64)
+            at = head = key = np.zeros(0, np.int64)
             if len(found) >= MIN_WORDS:
                 rolling = Rolling(found)
                 at = np.unique(minimiser_of(rolling.runs(GRAM)))
                 at = at[at + PREFIX <= len(found)]
                 key = rolling.runs(PREFIX)[at].view(np.int64)
-            for k, v in zip(out, (len(found), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), at, key), strict=True):
+                head = beginnings(found, at)
+            for k, v in zip(out, (len(found), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), at, head, key), strict=True):
                 out[k].append(v)
         return {"doc_id": batch.column(0)} | out
 
-    return map_arrow(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words int, d1 long, d2 long, at array<int>, key array<long>")
+    return map_arrow(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words int, d1 long, d2 long, at array<int>, head array<long>, key array<long>")
+
 
+def equal_neighbours(rows: DataFrame, tag: str, order: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The (doc_id, at) of rows (key, doc_id, at) whose key another place has, by a range sort and a look at the neighbours.
 
-def equal_neighbours(rows: DataFrame, tag: str) -> DataFrame:
-    """The (doc_id, at) of rows (key, doc_id, at) whose key another row has, by a range sort and a look at the neighbours."""
+    Rows with equal keys must be equal in all columns of `order`. Repeated rows are one place."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +119,9 @@ def equal_neighbours(rows: DataFrame, tag: str) -> DataFrame:
                 first = False
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            new = np.ones(len(columns[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            columns = [c[new] for c in columns]
             same = columns[0][1:] == columns[0][:-1]
             dup = np.zeros(len(columns[0]), bool)
             dup[0] = matched
@@ -120,7 +137,8 @@ def equal_neighbours(rows: DataFrame, tag: str) -> DataFrame:
                 yield batch(held, False)
 
     parts = max(1, -(-rows.count() // SORT_ROWS))
-    dealt = rows.select("key", "doc_id", F.col("at").cast("long").alias("at")).repartitionByRange(parts, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at")
+    dealt = rows.select("key", "doc_id", F.col("at").cast("long").alias("at"), *(c for c in order if c != "key"))
+    dealt = dealt.repartitionByRange(parts, *order, "doc_id", "at").sortWithinPartitions(*order, "doc_id", "at").select("key", "doc_id", "at")
     found = materialize(dealt.mapInArrow(run, "key long, doc_id long, at long, edge boolean"), tag)
     edges = found.where("edge").select("key", "doc_id", "at").distinct()
     shared = edges.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -158,10 +176,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     copied = materialize(member.select("doc_id", "n_words", "rep"), "copied")
     others = copied.where("doc_id <> rep").select("doc_id")
     others = maybe_broadcast(others, others.count())
-    rows = every.join(others, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("key", "at")).alias("s")).select("s.key", "doc_id", "s.at")
-    kept = equal_neighbours(rows, "anchors").distinct()
-    places = kept.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(places, "doc_id")
+    rows = every.join(others, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("head", "key", "at")).alias("s")).select("s.head", "s.key", "doc_id", "s.at")
+    kept = materialize(equal_neighbours(rows, "anchors", ("head", "key")).distinct(), "kept")
+    places = materialize(kept.groupBy("doc_id").agg(F.collect_list("at").alias("places")), "places")
+    n_kept, n_docs = kept.count(), places.count()
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    if n_kept > BROADCAST_ROWS:  # the places are dealt out with the texts, of documents that have any
+        texts = texts.join(maybe_broadcast(places.select("doc_id"), n_docs), "doc_id", "left_semi")
+    texts = texts.join(maybe_broadcast(places, n_kept), "doc_id")
     runs = materialize(_extended(texts), "runs")
     again = equal_neighbours(runs, "repeats")
     starts = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))

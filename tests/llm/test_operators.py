@@ -92,6 +92,57 @@ def test_near_duplicates_chain(spark, monkeypatch):
     assert got == clusters({r[0]: word_set(r[1], 3) for r in rows}, 85)
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """5,000 texts share a template and nothing else (similarity 0.5): one cluster, no link, and texts sent in proportion to rows.
+    Every tenth has a copy with a changed word, so links must still be found among them."""
+    rng, vocab = random.Random(6), vocabulary(20_000, seed=7)
+    template = sentence(rng, 62, vocab).split()
+    rows = [(i, " ".join(template + rng.sample(vocab, 32)), "en", "s", 0) for i in range(4_500)]
+    for i in range(0, 4_500, 9):
+        words = rows[i][1].split()
+        words[-2] = "changed"
+        rows.append((10_000 + i, " ".join(words), "en", "s", 0))
+    sent, linked = [], near_dup._linked
+
+    def counted(rows, keys, k, percent):
+        sent.append(rows.count())
+        return linked(rows, keys, k, percent)
+
+    monkeypatch.setattr(near_dup, "_linked", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(8), 3, 85).collect()}
+    assert got == {i: i % 10_000 if i >= 10_000 else i for i, *_ in rows}
+    assert sent[0] > 4_900 and sum(sent) < 3 * len(rows)
+
+
+def test_near_duplicates_finds_the_links_there_are(spark):
+    """Of 600 pairs around the threshold, all links that exact sets have are found."""
+    rng, vocab = random.Random(12), vocabulary(30_000, seed=8)
+    rows = []
+    for i in range(600):
+        words = rng.sample(vocab, 160)
+        other = list(words)
+        for at in rng.sample(range(0, 156, 4), rng.randint(3, 6)):
+            other[at] = rng.choice(vocab)
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(other), "en", "s", 0)]
+    sets = {r[0]: word_set(r[1], 3) for r in rows}
+    there = {i for i in range(600) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 80).collect()}
+    found = {i for i in range(600) if got[2 * i + 1] == 2 * i}
+    assert 100 < len(there) < 600 and found <= there and len(found) >= 0.999 * len(there)
+
+
+def test_near_duplicates_odd_rows(spark):
+    """A null doc_id is in no group, whatever its text; extra columns with clashing names are ignored; repeated rows stay."""
+    text = "a b c d e f g h"
+    docs = spark.createDataFrame([(None, text, "en", "s", 1), (5, text, "en", "s", 1), (7, text.upper(), "en", "s", 1), (7, text.upper(), "en", "s", 1), (9, None, "en", "s", 1)], DOCS)
+    for name in ("label", "rep", "n", "bands", "component_id", "key"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(0, 6, None, True), (5, 6, 5, True), (7, 6, 5, False), (7, 6, 5, False), (9, 0, 9, True)]
+    kept = near_dup.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 9]
+
+
 def test_setsketch_estimates():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.85, 0.97):
@@ -124,6 +175,23 @@ def test_suffix_repeats(spark, monkeypatch):
     assert suffix_dedup.repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_repeats_of_repeated_rows_and_ties(spark):
+    """A row that occurs twice repeats nothing; a text of one word over and over repeats itself at every place; clashing columns are ignored."""
+    rng, vocab = random.Random(2), vocabulary()
+    one, tie = sentence(rng, 80, vocab), " ".join(["same"] * 130)
+    docs = spark.createDataFrame([(1, one, "en", "s", 0)] * 2 + [(2, tie, "en", "s", 0)] * 3 + [(3, sentence(rng, 5000, vocab), "en", "s", 0), (None, one, "en", "s", 0)], DOCS)
+    for name in ("key", "at", "rep", "edge", "places", "n_words"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert [(r["doc_id"], r["repeated_words"], [tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeats(docs).collect()] == [(2, 130, [(0, 130)])]
+
+
+def test_suffix_order_is_that_of_letters():
+    words = [b"b", b"a", b"\xc3\xa9t\xc3\xa9", b"ab", b"a" * 40, b"z"]
+    heads = suffix_dedup.beginnings(words, np.arange(len(words)))
+    assert heads.argsort(kind="stable").tolist() == sorted(range(len(words)), key=lambda i: b" ".join(words[i:])[:8].ljust(8, b"\0"))
+    assert not len(suffix_dedup.beginnings([], np.zeros(0, np.int64)))
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
 
@@ -359,6 +427,56 @@ def test_html_unmarked_page_keeps_short_spans():
     assert html_text.main_text(f"<h1>Title</h1><p>{'x' * 800}</p>{ad}<p>{'y' * 100}</p>") == "\n".join(["Title", "x" * 800, "y" * 100])
 
 
+@pytest.mark.parametrize("inner", ["<p class=promo>A</p>", "<p class='notice'>A</p>", "<blockquote class=comment>A</blockquote>", "<section id=discussion><p>A</p></section>", "<section id='related-work'><h2>A</h2></section>", "<form><p>A</p></form>", "<form action=x><input type=hidden><p>A</p></form>"])
+def test_html_running_text_stays(inner):
+    assert html_text.main_text(f"<article><h1>T</h1><p>Plain.</p>{inner}<p>End.</p></article>") == "T\nPlain.\nA\nEnd."
+
+
+def test_html_forms_and_bodies():
+    form = "<form><p>Get our news</p><label>Mail</label><input><button>Go</button></form>"
+    assert html_text.main_text(f"<article><h1>T</h1>{form}<div class=ad>b</div><ol class=comments><li>c</ol><p>End.</p></article>") == "T\nEnd."
+    assert html_text.main_text("<article><p>Teaser</p></article><div class='post-body'><p>Body</p></div><div>no</div>") == "Teaser\nBody"
+    whole = "x" * 300
+    assert html_text.main_text(f"<form id=page><input name=q><div id=content><h1>T</h1><p>{whole}</p></div></form>") == "T\n" + whole
+
+
+N = 40_000
+HOSTILE = {
+    "open tags": "<a " * N, "wrong ends": "<b>" * N + "</i>" * N, "cdata": "<![CDATA[" * N, "quotes": "<a b='\">" * N, "open quote": '<a b="' * N + ">", "paragraphs": "<b>" * N + "<p></p>" * N, "items": "<b>" * N + "<li>x" * N,
+    "lists": "<ul>" * N + "</b>x" * N, "titles": "<title>" * N, "angles": "<" * 5 * N, "ampersands": "&" * 5 * N, "comments": "<!--" * N, "furniture": '<div class="ad">' * N, "forms": "<form><input>" * N + "</form>" * N, "spaces": "<a " + " " * 5 * N + ">x", "equals": "<a " + "=    " * N,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_hostile_pages_take_linear_time(name):
+    """Twenty times the page may take forty times as long, not four hundred."""
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    page = HOSTILE[name]
+    small = page[: len(page) // 20] if "<p>" not in page and "</" not in page and "<li>" not in page else None
+    whole = took(page)
+    assert whole < 4 * len(page) / 1e6 + 1
+    assert small is None or whole < 40 * max(took(small), 0.01)
+
+
+def test_line_block_spans_against_brute_force():
+    """A line lies in a span if it has text, or if text before it in the span is not followed by a whole empty window."""
+    rng = random.Random(1)
+    for _ in range(300):
+        lengths = [rng.choice((0, 0, 0, 5, 9)) for _ in range(rng.randint(0, 30))]
+        inside = set()
+        for i, x in enumerate(lengths):
+            last = max((j for j in range(i + 1) if lengths[j]), default=None)
+            if last is not None and (last == i or not any(all(y == 0 for y in lengths[j : j + html_text.WINDOW]) for j in range(last + 1, i + 1))):
+                inside.add(i)
+        assert {i for a, b in html_text.spans(lengths) for i in range(a, b)} == inside
+
+
 def test_line_block_spans():
     assert html_text.spans([0, 5, 0, 4, 0, 0, 0, 7]) == [(1, 4), (7, 8)] and html_text.spans([]) == [] and html_text.spans([3]) == [(0, 1)]
 
@@ -403,8 +521,12 @@ def test_wrapped_licence_notices(spark):
     assert got["under"]["inherited"] == "MPL-2.0" and not got["MPL-2.0 line"]["is_licence_file"] and got["whole"]["is_licence_file"]
 
 
-def test_components(spark):
-    from quillstone.llm.shared import components
+@pytest.mark.parametrize("edge_rows", [1_000_000, 20])
+def test_components(spark, monkeypatch, edge_rows):
+    """Few edges a task force rounds of star contraction between the tasks."""
+    from quillstone.llm import shared
+    monkeypatch.setattr(shared, "EDGE_ROWS", edge_rows)
+    components = shared.components
 
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(5, 5), (7, 3), (3, 7), (None, 4), (900, 901)]
