@@ -95,7 +95,6 @@ def chunks(rows: DataFrame, sources: DataFrame, fields: list[str], budget: int)
 def facts(rows: DataFrame, reports: DataFrame, dimension: DataFrame) -> DataFrame:
     """Stored facts: exact key set, provenance of their report, concept and unit of their metric, value, sign and period."""
     keys = reports.select("document_id").crossJoin(F.broadcast(dimension.select("metric").distinct()))  # documents by eleven metrics
-    unexpected = rows.select("document_id", "metric").join(keys, ["document_id", "metric"], "left_anti").select(F.lit("key").alias("check"), F.concat_ws("|", "document_id", "metric").alias("key"), F.lit("unexpected").alias("reason"))
     dims = F.broadcast(dimension.select("metric", "concept", F.col("unit").alias("m_unit"), F.col("kind").alias("m_kind"), "nonnegative"))
     own = reports.select("document_id", *(F.col(c).alias(f"r_{c}") for c in ("ticker", "fiscal_year", "accession_number", "period_end")), F.lit(True).alias("known"))
     joined = rows.join(own, "document_id", "left").join(dims, ["metric", "concept"], "left")
@@ -107,7 +106,7 @@ def facts(rows: DataFrame, reports: DataFrame, dimension: DataFrame) -> DataFram
         (F.col("m_unit").isNull(), "concept is not one of the metric"), (~F.col("unit").eqNullSafe(F.col("m_unit")) | ~F.col("kind").eqNullSafe(F.col("m_kind")), "unit or kind differs"), (value.isNull(), "value is not a finite decimal"),
         (F.col("nonnegative") & (value < 0), "negative value"), ((F.col("kind") == "duration") & ~F.coalesce(days.between(350, 380), F.lit(False)), "not an annual period"), ((F.col("kind") == "instant") & F.col("period_start").isNotNull(), "instant with a start"),
     ]
-    return all_of(duplicates(rows, "key", ["document_id", "metric"]), unexpected, row_violations(joined, "fact", F.concat_ws("|", "document_id", "metric"), rules))
+    return all_of(duplicates(rows, "key", ["document_id", "metric"]), set_difference(rows, keys, "key", ["document_id", "metric"]), row_violations(joined, "fact", F.concat_ws("|", "document_id", "metric"), rules))
 
 
 def term_statistics(stats: DataFrame, posts: DataFrame) -> DataFrame:

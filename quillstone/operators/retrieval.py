@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.models import overlap_logit
 from quillstone.functions.shipping import ship
+from quillstone.session import settled, small
 
 # Defaults of the ranking formula and of the retrieval steps.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -44,16 +45,16 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(scope, term, df, idf), a negative idf replaced by EPSILON times the scope's mean idf."""
     n = chunks.groupBy("scope").agg(F.count("*").alias("n"))
-    df = document_frequencies(chunks).join(F.broadcast(n), "scope")  # one row a scope
+    df = document_frequencies(chunks).join(n, "scope")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg((F.sum(F.round("raw", 9).cast("decimal(28,9)")).cast("double") / F.count("*")).alias("mean"))
-    return raw.join(F.broadcast(mean), "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
     """(scope, doc_id, dl, avgdl)."""
     sized = chunks.select("scope", "doc_id", F.size(lexical(F.col("text"))).alias("dl"))
-    return sized.join(F.broadcast(mean_length(chunks)), "scope")
+    return sized.join(mean_length(chunks), "scope")
 
 
 def mean_length(chunks: DataFrame) -> DataFrame:
@@ -63,19 +64,39 @@ def mean_length(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, scope, doc_id, score): only documents with a query term; others score zero. Repeated query terms count again.
 
-    Documents are cut to the batch's terms (a broadcast) before anything is dealt out; only statistics of terms are counted from all.
+    Documents are cut to the batch's terms (broadcast if few) before anything is dealt out; only statistics of terms are counted from all.
     """
-    terms = queries.select("query_id", F.explode(lexical(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = F.broadcast(terms.select("term").distinct())
+    terms = query_terms(queries)
+    asked = small(terms.select("term").distinct())
     tokens = chunks.select("scope", "doc_id", lexical(F.col("text")).alias("w")).select("scope", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     hits = tokens.join(asked, "term").groupBy("scope", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     idf = term_stats(chunks).join(asked, "term").select("scope", "term", "idf")
-    hits = hits.join(F.broadcast(mean_length(chunks)), "scope").join(F.broadcast(idf), ["scope", "term"])  # scopes by the batch's terms
+    hits = hits.join(mean_length(chunks), "scope").join(idf, ["scope", "term"])
+    return _summed(hits.join(small(terms), "term"), k1, b)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(lexical(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def _summed(hits: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, scope, doc_id, score) of hits (…, tf, idf, dl, avgdl, qtf)."""
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(terms), "term").withColumn("gain", F.round(gain * F.col("qtf"), DIGITS).cast(f"decimal(28,{DIGITS})"))
+    scored = hits.withColumn("gain", F.round(gain * F.col("qtf"), DIGITS).cast(f"decimal(28,{DIGITS})"))
     return scored.groupBy("query_id", "scope", "doc_id").agg(F.sum("gain").cast("double").alias("score"))
 
 
+def bm25_of_index(index: dict[str, DataFrame], queries: DataFrame, scopes: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """The same scores from an index's tables: postings, terms and lengths are read, nothing is tokenised or counted anew.
+
+    Only postings of the batch's terms, and of its scopes where scopes (query_id, scope) are given, go on."""
+    terms = query_terms(queries)
+    asked, on = (terms.join(scopes, "query_id"), ["scope", "term"]) if scopes is not None else (terms, ["term"])
+    hits = index["postings"].join(small(asked.select(*on).distinct()), on)
+    hits = hits.join(index["terms"].select("scope", "term", "idf"), ["scope", "term"]).join(index["lengths"], ["scope", "doc_id"])
+    return _summed(hits.join(small(asked), on), k1, b)
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -83,38 +104,55 @@ def inner_product(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, scope, doc_id, score) of unit vectors: vectors (scope, doc_id, embedding) by the batch's query vectors.
 
-    The batch of queries is broadcast and met in blocks of rows: one pass over the vectors, no shuffle before the top k.
-    Vectors of other lengths or that are not finite give no score.
+    For a few queries, which are broadcast if their count allows: one pass over the vectors, no shuffle before the top k.
+    `dense_top_k` is for sets of queries that grow. Vectors of other lengths or that are not finite give no score.
     """
-    pair = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.size("embedding") == F.size("q"))
+    pair = vectors.join(small(queries.select("query_id", F.col("embedding").alias("q")), BROADCAST_QUERIES), F.size("embedding") == F.size("q"))
     score = F.round(inner_product(F.col("embedding"), F.col("q")), 6)
     return pair.select("query_id", "scope", "doc_id", score.alias("score")).where(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") < float("inf")))
 
 
-def _packed(rows: DataFrame, n: int) -> DataFrame:
-    """Blocks of at most n rows, each one Arrow stream in a binary column."""
+def _packed(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """Blocks of at most n rows, each one Arrow stream in a binary column; with `by`, of rows that stand together and agree in it."""
     ship(rows.sparkSession)
+    schema = "block binary" if by is None else f"{by} {rows.schema[by].dataType.simpleString()}, block binary"
 
     def pack(table: pa.Table) -> pa.RecordBatch:
         out = pa.BufferOutputStream()
         with pa.ipc.new_stream(out, table.schema) as stream:
             stream.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block"])
+        block = pa.array([out.getvalue().to_pybytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([block], ["block"]) if by is None else pa.RecordBatch.from_arrays([table.column(by).slice(0, 1).combine_chunks(), block], [by, "block"])
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[object, pa.RecordBatch]]:
+        if by is None:
+            yield None, batch
+            return
+        values = batch.column(by).to_pylist()
+        lo = 0
+        for i in range(1, len(values) + 1):
+            if i == len(values) or values[i] != values[lo]:
+                yield values[lo], batch.slice(lo, i - lo)
+                lo = i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                held.append(batch.slice(lo, n - size))
-                lo, size = lo + held[-1].num_rows, size + held[-1].num_rows
-                if size == n:
+            for value, part in runs(batch):
+                if held and value != last:
                     yield pack(pa.Table.from_batches(held))
                     held, size = [], 0
+                last, lo = value, 0
+                while lo < part.num_rows:
+                    held.append(part.slice(lo, n - size))
+                    lo, size = lo + held[-1].num_rows, size + held[-1].num_rows
+                    if size == n:
+                        yield pack(pa.Table.from_batches(held))
+                        held, size = [], 0
         if held:
             yield pack(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "block binary")
+    return rows.mapInArrow(run, schema)
 
 
 def _matrices(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,19 +197,29 @@ def _best_rows(tables: list[pa.Table], k: int) -> pa.Table:
     return rows.filter(pa.array(turn < k))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None) -> DataFrame:
     """(query_id, scope, doc_id, score, rank 1..k) of unit vectors, for sets of queries that grow with the vectors.
 
-    Blocks of queries meet blocks of vectors in matrix products, all against all. A task keeps the best k of each query and
+    Blocks of queries meet blocks of vectors in matrix products: all against all, or with scopes (query_id, scope) only blocks
+    of one scope, by a join on it. A task keeps the best k of each query and
     scope over its vectors, so that what is dealt out grows with the queries and tasks; beyond HELD_ROWS it hands on what it has.
     Up to BROADCAST_QUERIES the queries are broadcast, beyond it the blocks are a Cartesian product. Vectors of other lengths
     or that are not finite give no score.
     """
     spark = vectors.sparkSession
     n = queries.count()
-    asked = _packed(queries.select("query_id", "embedding").repartition(max(1, -(-n // QUERY_BLOCK))), QUERY_BLOCK).withColumnRenamed("block", "asked")
-    dealt = vectors.select("scope", "doc_id", "embedding").repartition(max(2, spark.sparkContext.defaultParallelism))
-    pairs = _packed(dealt, VECTOR_BLOCK).crossJoin(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked)
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    if scopes is None:
+        asked = _packed(queries.select("query_id", "embedding").repartition(blocks), QUERY_BLOCK).withColumnRenamed("block", "asked")
+        dealt = vectors.select("scope", "doc_id", "embedding").repartition(tasks)
+        pairs = _packed(dealt, VECTOR_BLOCK).crossJoin(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked)
+    else:
+        own = queries.select("query_id", "embedding").join(scopes.select("query_id", "scope").distinct(), "query_id")
+        asked = _packed(own.repartition(blocks, "scope").sortWithinPartitions("scope"), QUERY_BLOCK, "scope").withColumnRenamed("block", "asked")
+        some = vectors.select("scope", "doc_id", "embedding").join(small(scopes.select("scope").distinct()), "scope", "left_semi")
+        dealt = some.repartition(tasks, "scope", F.pmod(F.hash("doc_id"), F.lit(tasks))).sortWithinPartitions("scope")  # a large scope is dealt to all tasks
+        pairs = _packed(dealt, VECTOR_BLOCK, "scope").join(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked, "scope").select("block", "asked")
     kinds = {"query_id": queries.schema["query_id"].dataType, "scope": vectors.schema["scope"].dataType, "doc_id": vectors.schema["doc_id"].dataType}
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -271,7 +319,7 @@ def section_boost(found: Column, section: Column) -> Column:
     return (
         add(is_any("risk_factors", "risk", "supply_chain", "climate", "competition") & (low.contains("risk factor") | low.contains("item 1a")), 0.25)
         + add(is_any("cybersecurity") & (low.contains("item 1c") | low.contains("cybersecurity")), 0.30)
-        + F.when(is_any("business_description", "business"), F.when(item_1 & low.contains("business"), F.when(lettered, 0.0).otherwise(0.35)).when(F.trim(low).rlike(r"^item 1\.?$"), 0.20).otherwise(0.0)).otherwise(0.0)
+        + F.when(is_any("business_description", "business"), F.when(item_1 & low.contains("business"), F.when(lettered, 0.0).otherwise(0.35)).when(F.trim(low).isin("item 1", "item 1 —"), 0.20).otherwise(0.0)).otherwise(0.0)
         + add(is_any("cloud_business", "cloud") & low.contains("business") & item_1 & ~lettered, 0.25)
         + add(is_any("cloud_business", "cloud") & (low.contains("item 7") | low.contains("md&a") | (low.contains("management") & low.contains("discussion"))), 0.20)
         + add(is_any("cloud_business", "cloud") & low.contains("cloud"), 0.15)
@@ -321,35 +369,77 @@ def mean_pool(vectors: DataFrame, keys: list[str], column: str = "embedding") ->
     return mean.select(*keys, F.when(size > 0, F.transform("mean", lambda x: x / size)).alias(column))
 
 
-def token_windows(tokens: Column, size: int = 380) -> Column:
+def token_windows(tokens: Column, size: int | Column = 380) -> Column:
     """Consecutive windows of `size` tokens; no window for no token."""
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, size)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
 
 
-def reranked(shortlist: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
+def reranked(shortlist: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_logit, size: int | Column = 380) -> DataFrame:
     """shortlist (query_id, query, scope, doc_id, text) with the score of its best window: the reranker's logit of the query and each
-    window of tokens, the greatest through the sigmoid. A text without a token is one empty window."""
-    windows = token_windows(lexical(F.col("text")))
+    window of `size` tokens, the greatest through the sigmoid. A text without a token is one empty window."""
+    windows = token_windows(lexical(F.col("text")), size)
     windows = F.when(F.size(windows) > 0, F.transform(windows, lambda w: F.array_join(w, " "))).otherwise(F.array(F.lit("")))
     logits = shortlist.select("query_id", "scope", "doc_id", "query", F.explode(windows).alias("window")).select("query_id", "scope", "doc_id", reranker(F.col("query"), F.col("window")).alias("logit"))
     return shortlist.join(pooled_scores(logits, ["query_id", "scope", "doc_id"]), ["query_id", "scope", "doc_id"])
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None, reranker: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
+# Tokens that query and text share in a reranker, those that mark their ends, and the least and most of a window.
+PAIR_TOKENS, SPECIAL_TOKENS, LEAST_WINDOW, MOST_WINDOW = 512, 3, 32, 350
+
+
+def rerank_window(query: Column) -> Column:
+    """Tokens of text that fit beside the query; null where fewer than LEAST_WINDOW do, so that the question must be narrowed."""
+    left = F.least(F.lit(MOST_WINDOW), PAIR_TOKENS - SPECIAL_TOKENS - F.size(lexical(query)))
+    return F.when(left >= LEAST_WINDOW, left)
+
+
+def question_errors(queries: DataFrame, scopes: DataFrame, known: DataFrame, limit: int = FINAL_K) -> DataFrame:
+    """(query_id, reason) of questions (query_id, query) that cannot be searched: blank, too long for the reranker, without a scope, with one
+    that is not in known (scope), or with more scopes than places in the final context."""
+    counted = scopes.join(known.select("scope").distinct().withColumn("known", F.lit(True)), "scope", "left").groupBy("query_id").agg(F.count_distinct("scope").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
+    reason = (
+        F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "blank question").when(F.col("n").isNull(), "no scope").when(~F.col("all_known"), "unknown scope")
+        .when(F.col("n") > limit, "more scopes than final places").when(rerank_window(expand_query(F.col("query"))).isNull(), "question too long for the reranker")
+    )
+    return queries.join(counted, "query_id", "left").select("query_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def shortlisted(lexical_scores: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None, min_score: float = 0.0, rerank_k: int = RERANK_K) -> DataFrame:
+    """(query_id, scope, doc_id, rank): lexical and dense top k in each scope, fused, from the fused score `min_score` on."""
+    lexical_top = top_k(lexical_scores, k, positive=True).withColumn("list", F.lit("lexical"))
+    dense_top = dense_top_k(vectors, queries, k, scopes).withColumn("list", F.lit("dense"))
+    fused = rrf(lexical_top.unionByName(dense_top)).where((F.col("rank") <= rerank_k) & (F.col("score") >= min_score))
+    return fused.drop("score")
+
+
+def chosen(shortlist: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_logit, final: int | None = FINAL_K, below: float = ABSTAIN_BELOW) -> DataFrame:
+    """The final context of shortlist (query_id, query, found, scope, doc_id, section, text): reranked, boosted by section, put under the
+    threshold, scopes interleaved."""
+    boost = section_boost(F.col("found"), F.col("section"))
+    scored = reranked(shortlist, reranker, F.coalesce(rerank_window(F.col("query")), F.lit(LEAST_WINDOW)))
+    scored = scored.withColumn("score", F.round(boosted(F.col("score"), boost), DIGITS)).withColumn("relevant", boost > 0).withColumn("wrong", F.lower(F.coalesce("section", F.lit(""))).contains("front matter"))
+    kept = threshold_or_promote(scored, below)
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "doc_id")))
+    return interleave(kept, "scope", ["scope", "text"], final).select("query_id", "position", "scope", "doc_id", "score", "how")
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes: DataFrame | None = None, reranker: Callable[[Column, Column], Column] = overlap_logit, index: dict[str, DataFrame] | None = None, min_score: float = 0.0, below: float = ABSTAIN_BELOW) -> DataFrame:
     """Hybrid retrieval of a batch: queries (query_id, query, embedding). Lexical and dense top k in each scope, fused; the first
     RERANK_K of each scope reranked against the expanded query, boosted by section and put under the threshold; scopes
     interleaved, FINAL_K a query.
-    scopes (query_id, scope) names which scopes a query may look at; without it, all."""
-    only = (lambda df: df.join(F.broadcast(scopes), ["query_id", "scope"], "left_semi")) if scopes is not None else (lambda df: df)
+    scopes (query_id, scope) names which scopes a query may look at; without it, all. With `index` (postings, terms, lengths) nothing
+    is counted anew; only the texts of the shortlist are read."""
     expanded = queries.select("query_id", expand_query(F.col("query")).alias("query"), intents(F.col("query")).alias("found"))
-    lexical_top = top_k(only(bm25(chunks, expanded.select("query_id", "query"))), k, positive=True).withColumn("list", F.lit("lexical"))
-    dense_top = only(dense_top_k(vectors, queries, k)).withColumn("list", F.lit("dense"))
-    fused = rrf(lexical_top.unionByName(dense_top)).where(F.col("rank") <= RERANK_K)
-    shortlist = fused.drop("score").join(chunks.select("scope", "doc_id", "section", "text"), ["scope", "doc_id"]).join(expanded, "query_id")
-    boost = section_boost(F.col("found"), F.col("section"))
-    scored = reranked(shortlist, reranker)
-    scored = scored.withColumn("score", F.round(boosted(F.col("score"), boost), DIGITS)).withColumn("relevant", boost > 0).withColumn("wrong", F.lower(F.coalesce("section", F.lit(""))).contains("front matter"))
-    kept = threshold_or_promote(scored)
-    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "doc_id")))
-    return interleave(kept, "scope", ["scope", "text"]).select("query_id", "position", "scope", "doc_id", "score", "how")
+    asked = expanded.select("query_id", "query")
+    if index is not None:
+        lexical_scores = bm25_of_index(index, asked, scopes)
+    else:
+        own = chunks if scopes is None else chunks.join(small(scopes.select("scope").distinct()), "scope", "left_semi")
+        lexical_scores = bm25(own, asked)
+        if scopes is not None:
+            lexical_scores = lexical_scores.join(scopes.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    short = settled(shortlisted(lexical_scores, vectors, queries, k, scopes, min_score), "shortlist")
+    shortlist = chunks.select("scope", "doc_id", "section", "text").join(small(short), ["scope", "doc_id"]).join(expanded, "query_id")
+    return chosen(settled(shortlist, "shortlisted"), reranker, below=below)

@@ -76,12 +76,11 @@ def collapse_space(text: Column) -> Column:
 def heading(text: Column) -> Column:
     """`Item 1A — Title` for a block that states an item heading, else null; pipes of table cells count as spaces."""
     cleaned = F.trim(F.regexp_replace(F.translate(text, "|", " "), r"\s+", " "))
-    at = F.regexp_extract(cleaned, r"(?i)^(.{0,29}?)\bITEM\s+\d+[A-C]?", 1)
     starts = cleaned.rlike(r"(?i)^ITEM\s+\d+[A-C]?")
     number = F.upper(F.regexp_extract(cleaned, r"(?i)^ITEM\s+(\d+[A-C]?)", 1))
     title = F.trim(F.regexp_extract(cleaned, r"(?i)^ITEM\s+\d+[A-C]?\s*[.\-–:]?\s*(.*)", 1))
     named = F.concat(F.lit("Item "), number, F.lit(" — "), F.when(F.length(title) < 120, title).otherwise(""))
-    return F.when(starts & (F.length(cleaned) < 250) & at.isNotNull(), named)
+    return F.when(starts & (F.length(cleaned) < 250), named)
 
 
 def carry_sections(blocks: DataFrame, first: str = "Front matter") -> DataFrame:

@@ -129,15 +129,19 @@ def without_keys(schema: object, dropped: frozenset[str]) -> object:
     return [without_keys(v, dropped) for v in schema] if isinstance(schema, list) else schema
 
 
+def _refused(constant: str) -> None:
+    raise ValueError(f"{constant} is not a finite number")
+
+
 def canonical_digest(value: Column) -> Column:
-    """SHA-256 of a JSON text in canonical form: keys sorted, ASCII, numbers as read; null for text that is no JSON."""
+    """SHA-256 of a JSON text in canonical form: keys sorted, ASCII, numbers as read; null for text that is no JSON or holds NaN or infinity."""
     ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             try:
-                return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True).encode()).hexdigest()
+                return hashlib.sha256(json.dumps(json.loads(text, parse_constant=_refused), sort_keys=True, allow_nan=False).encode()).hexdigest()
             except (TypeError, ValueError):
                 return None
 
@@ -153,6 +157,7 @@ def provider_counts(traces: DataFrame) -> DataFrame:
 def audit_summary(audits: DataFrame) -> DataFrame:
     """The last run's audit (run_id, status, started_at, …, slots array of structs) with each slot cut to five fields."""
     keep = ["run_id", "status", "started_at", "finished_at", "updated_at", "corpus_version", "publication", "index", "pipeline_version", "resolution_policy_version", "reconciliation_policy_version", "accepted_fact_count", "unavailable_metric_count", "error_category"]
-    last = audits.withColumn("n", F.row_number().over(Window.orderBy(F.desc("started_at"), F.desc("run_id")))).where("n = 1")  # audits: one row a run
+    whole = F.struct(*audits.columns)
+    last = audits.agg(F.max_by(whole, F.struct("started_at", "run_id")).alias("r")).where("r IS NOT NULL").select("r.*")
     slot = lambda s: F.struct(*(s[c].alias(c) for c in ("ticker", "fiscal_year", "status", "stages", "error_category")))
     return last.select(*(c for c in keep if c in audits.columns), F.transform("slots", slot).alias("slots"))
