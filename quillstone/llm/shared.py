@@ -6,9 +6,6 @@ so a lost executor costs a recomputation of its tasks and nothing else.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,6 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quillstone.functions.shipping import ship
+from quillstone.session import settled as materialize
+from quillstone.session import shared_dir, sweep, table
+
+__all__ = ["as_batch", "ascii_lower", "components", "map_arrow", "map_groups", "materialize", "maybe_broadcast", "parsed", "prepare", "shared_dir", "sorted_groups", "sweep", "table"]
 
 #: Rows of small keys that a broadcast may hold; beyond it the same join is a shuffled one.
 BROADCAST_ROWS = 400_000
@@ -28,42 +29,9 @@ SLICE_ROWS = 1024
 BATCH_BYTES = "8m"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where a local session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quillstone-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage without a copy on one executor."""
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quillstone/{spark.sparkContext.applicationId}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Removes this application's intermediate tables, once results that read them have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """A broadcast hint behind a count of the rows; without it Spark shuffles and splits skewed partitions."""
-    return F.broadcast(df) if rows <= most else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def prepare(spark: SparkSession) -> None:
