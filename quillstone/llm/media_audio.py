@@ -2,7 +2,8 @@
 
 ``index_audio`` resynchronises frame headers (versions 1, 2 and 2.5, layers I to III), parses ID3v2, ID3v1 and APE tags and
 Xing/Info and VBRI variable-bitrate tables, verifies frame checksums (layers I and III) and returns exact durations, as
-samples over the sampling rate, and the byte offset of every frame.
+sums of samples over their sampling rates, and the byte offset of every frame. Version, layer and rate may change within a stream, to
+another that two frames in a row agree in.
 
 ``payload_frames`` stores bytes without loss: each 576 bytes travel as the ancillary data of one MPEG-2 layer III frame of
 576 samples (16 kHz, mono, 144 kbit/s, 648 bytes) with no audio bits, behind a checksum. A player hears silence; the frames
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +87,32 @@ def _covered(h: dict) -> int | None:
 
 
 def id3v2(data: bytes, at: int = 0) -> tuple[int, dict]:
-    """The length of a tag at a place (0: none) and its text frames."""
+    """The length of a tag at a place (0: none) and its text frames: versions 2.2 to 2.4, with extended headers and unsynchronisation."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(x & 0x80 for x in data[at + 6 : at + 10]):
         return 0, {}
     synchsafe = lambda b: sum((x & 0x7F) << 7 * i for i, x in enumerate(reversed(b)))
-    major, size = data[at + 3], synchsafe(data[at + 6 : at + 10])
-    end, p, tags = at + 10 + size, at + 10, {}
-    while major >= 3 and p + 10 <= end and data[p : p + 4].strip(b"\0"):
-        n = synchsafe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        name, body = data[p : p + 4].decode("latin-1"), data[p + 10 : min(p + 10 + n, end)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value
-        p += 10 + n
-    return 10 + size + (10 if data[at + 5] & 0x10 else 0), tags
+    major, flags, size = data[at + 3], data[at + 5], synchsafe(data[at + 6 : at + 10])
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    p, tags = 0, {}
+    if flags & 0x40 and major >= 3 and len(body) >= 4:
+        p = synchsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    name_bytes, head = (3, 6) if major == 2 else (4, 10)
+    while p + head <= len(body) and body[p : p + name_bytes].strip(b"\0"):
+        sized = body[p + name_bytes : p + 2 * name_bytes]
+        n = synchsafe(sized) if major == 4 else int.from_bytes(sized, "big")
+        name, value = body[p : p + name_bytes].decode("latin-1"), body[p + head : p + head + n]
+        if major == 4 and body[p + 9] & 2:
+            value = value.replace(b"\xff\x00", b"\xff")
+        if major == 4 and body[p + 9] & 1:
+            value = value[4:]  # the frame's own length stands ahead of it
+        if name[0] == "T" and value:
+            text = value[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1"), "replace").rstrip("\0")
+            key, _, said = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
+            tags[key] = said
+        p += head + n
+    return 10 + size + (10 if flags & 0x10 else 0), tags
 
 
 def vbr_table(frame: bytes, h: dict) -> dict | None:
@@ -121,6 +134,17 @@ def vbr_table(frame: bytes, h: dict) -> dict | None:
     return None
 
 
+def _equal_headers(rows: np.ndarray) -> int:
+    """How many rows from the first on begin with its four bytes; looks at no more than twice as many."""
+    done, step = 1, 1
+    while done < len(rows):
+        equal = (rows[done : done + step, :4] == rows[0, :4]).all(1)
+        if not equal.all():
+            return done + int(equal.argmin())
+        done, step = done + len(equal), 2 * step
+    return len(rows)
+
+
 def index_stream(data: bytes) -> dict:
     """Frames, tags, tables, checksums and exact duration of a stream; junk between frames is skipped and counted."""
     tags, start, end = {}, 0, len(data)
@@ -137,12 +161,14 @@ def index_stream(data: bytes) -> dict:
     offsets: list[np.ndarray] = []
     out = {"tags": tags, "vbr": None, "frames": 0, "samples": 0, "rate": 0, "checked": 0, "bad": 0, "skipped": 0, "kbps": set()}
     p, base, first, at_end = start, None, True, end
+    seconds = Fraction(0)
     while p + 4 <= at_end:
         h = header(data[p : p + 4])
         same = h and (base is None or (h["version"], h["layer"], h["rate"]) == base)
-        if same and p + h["length"] <= at_end and base is None and p + h["length"] + 4 <= at_end:
-            n = header(data[p + h["length"] : p + h["length"] + 4])  # a first frame must be followed by another of its kind
-            same = bool(n) and (n["version"], n["layer"], n["rate"]) == (h["version"], h["layer"], h["rate"])
+        if h and not same or same and base is None:  # a first frame, or a first of another kind, must be followed by one like it
+            n = header(data[p + h["length"] : p + h["length"] + 4])
+            alone = base is None and p + h["length"] + 4 > at_end
+            same = alone or bool(n) and (n["version"], n["layer"], n["rate"]) == (h["version"], h["layer"], h["rate"])
         if not same or p + h["length"] > at_end:
             nxt = data.find(b"\xff", p + 1, at_end)
             nxt = at_end if nxt < 0 else nxt
@@ -151,9 +177,7 @@ def index_stream(data: bytes) -> dict:
         length = h["length"]
         run = 1
         if (most := (at_end - p) // length) > 1:  # frames with this very header stand in a row of equal strides
-            rows = view[p : p + most * length].reshape(most, length)
-            equal = (rows[:, :4] == rows[0, :4]).all(1)
-            run = most if equal.all() else int(equal.argmin())
+            run = _equal_headers(view[p : p + most * length].reshape(most, length))
         if first and (vbr := vbr_table(data[p : p + length], h)):
             out["vbr"], run, first, base = vbr, 1, False, (h["version"], h["layer"], h["rate"])
             p += length
@@ -171,6 +195,7 @@ def index_stream(data: bytes) -> dict:
             offsets.append(p + length * np.arange(run, dtype=np.int64))
             out["frames"], out["samples"], out["rate"] = out["frames"] + run, out["samples"] + run * h["samples"], h["rate"]
             out["kbps"].add(h["kbps"])
+            seconds += Fraction(run * h["samples"], h["rate"])
             p += run * length
         if not good.all():
             nxt = data.find(b"\xff", p + 1, at_end)
@@ -179,6 +204,7 @@ def index_stream(data: bytes) -> dict:
     out["skipped"] += at_end - p if p < at_end else 0
     out["offsets"] = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
     out["kbps"] = sorted(out["kbps"])
+    out["seconds"] = float(seconds)
     return out
 
 
@@ -227,7 +253,7 @@ def index_audio(media: DataFrame, key: str = "doc_id", column: str = "media") ->
     def run(batch: pa.RecordBatch) -> dict:
         got = [index_stream(x or b"") for x in batch.column(1).to_pylist()]
         return {key: batch.column(0)} | {k: [g[k] for g in got] for k in ("frames", "samples", "rate", "checked", "bad", "skipped")} | {
-            "seconds": [g["samples"] / g["rate"] if g["rate"] else 0.0 for g in got], "seek_offsets": [g["offsets"] for g in got], "tags": [list(g["tags"].items()) for g in got],
+            "seconds": [g["seconds"] for g in got], "seek_offsets": [g["offsets"] for g in got], "tags": [list(g["tags"].items()) for g in got],
             "vbr_kind": [g["vbr"] and g["vbr"]["kind"] for g in got], "vbr_frames": [g["vbr"] and g["vbr"].get("frames") for g in got],
         }
 
