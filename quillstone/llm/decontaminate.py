@@ -7,7 +7,7 @@ prefix, and windows with a shingle that occurs nowhere are out. Document positio
 candidate is kept if the window fits between the document's ends (length and position bounds), and verified word by word.
 
 All of it is DataFrame operations. The keys of the benchmark are broadcast if their counted number allows; otherwise the
-same joins shuffle, and Spark splits the partitions of frequent shingles.
+same joins shuffle positions with the few words around each, and Spark splits the partitions of frequent shingles.
 
 Defined results: null text has no words; rows that repeat a document each get the same result; null ids are allowed (a null
 item_id hits words but is not listed); an empty benchmark leaves every document clean; other columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import shared
 from quillstone.llm.shared import ascii_lower, materialize, maybe_broadcast, table
 
 WINDOW, SHINGLE = 10, 3
@@ -46,13 +47,18 @@ def window_shingles(wins: DataFrame) -> DataFrame:
     return placed.select("window", "len", "k", "at", key.alias("key"))
 
 
-def positions(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """Every position of every document with the key of its k-word shingle; `w` are the document's words."""
+def positions(docs: DataFrame, k: int, keep: list[str], width: int | None = None) -> DataFrame:
+    """Every position of every document with the key of its k-word shingle, the document's words `w` and their number `n`; with a width only
+    the words that a window of that width around the position may have, the first of which is the document's word `base`."""
     found = docs.select(*keep, words(F.col("text")).alias("w"))  # shorter texts make keys of fewer words, which no window of k has
     shifted = [F.col("w")] + [F.slice("w", i + 1, F.size("w")) for i in range(1, k)]
     zipped = F.arrays_zip(*(s.alias(f"s{i}") for i, s in enumerate(shifted)))
     placed = found.select(*keep, "w", F.posexplode(zipped).alias("pos", "s"))
-    return placed.select(*keep, "w", "pos", F.xxhash64(*(F.col("s")[f"s{i}"] for i in range(k))).alias("key"))
+    key = F.xxhash64(*(F.col("s")[f"s{i}"] for i in range(k))).alias("key")
+    if width is None:
+        return placed.select(*keep, "w", F.size("w").alias("n"), F.lit(0).alias("base"), "pos", key)
+    base = F.greatest(F.col("pos") - (width - k), F.lit(0))
+    return placed.select(*keep, F.slice("w", base + 1, 2 * width - k).alias("w"), F.size("w").alias("n"), base.alias("base"), "pos", key)
 
 
 def matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
@@ -67,9 +73,12 @@ def matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
         counted = positions(keyed.select("text"), k, []).select("key").join(maybe_broadcast(keys, keys.count()), "key").groupBy("key").agg(F.count("*").alias("n"))
         rarest = own.join(counted, "key", "left").groupBy("window", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "at")).alias("m"))
         prefix = materialize(rarest.where("m.n > 0").select("window", "len", "m.key", "m.at"), "prefix")
-        found = positions(keyed, k, ["doc_id", "digest"]).join(maybe_broadcast(prefix, prefix.count()), "key")
+        n_prefix = prefix.count()
+        # A broadcast prefix filters positions where they are made; else positions are dealt out, each with the few words around it.
+        width = None if n_prefix <= shared.BROADCAST_ROWS else wins.agg(F.max("len")).first()[0]
+        found = positions(keyed, k, ["doc_id", "digest"], width).join(maybe_broadcast(prefix, n_prefix), "key")
         start = F.col("pos") - F.col("at")
-        found = found.where((start >= 0) & (start + F.col("len") <= F.size("w"))).where(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ") == F.col("window"))
+        found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).where(F.array_join(F.slice("w", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.col("len")), " ") == F.col("window"))
         found = found.select("doc_id", "digest", start.cast("long").alias("start"), (start + F.col("len")).cast("long").alias("end"), "window")
         out = found if out is None else out.union(found)
     if out is None:
