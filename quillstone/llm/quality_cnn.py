@@ -5,12 +5,13 @@ WIDTH bytes and cover the whole document; each filter's rectified output is max-
 the chunks' maxima are combined by a logistic unit into one probability.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents of each label, those of least hashed doc_id among texts of at most
-TRAIN_LONGEST bytes, whole, until TRAIN_BYTES are full, on the driver; rows whose
-crc32(doc_id) mod 4 is 2 are never among them. Because labels are balanced this way, the bias is set back to the true rate.
+TRAIN_LONGEST bytes, whole, one text for each doc_id, until TRAIN_BYTES are full; they are chosen by sizes alone, so that no more than that
+reaches the driver. Rows whose crc32(doc_id) mod 4 is 2 are never among them. Because labels are balanced this way, the bias is set back to the true rate.
 Scoring is one pass over Arrow batches with the few thousand weights in the task's closure.
 
 Null or empty text is scored as a chunk of zero bytes; without two labels to learn from every score is the known rate (or 0.5).
-Each row gives one row, whatever its id or its repetitions.
+Each row gives one row, whatever its id or its repetitions; an empty table gives none; where labels of one doc_id differ the greater counts;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.llm.lang_hd import held_out
-from quillstone.llm.shared import map_arrow, table
+from quillstone.llm.shared import map_arrow, materialize, maybe_broadcast, table
 
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK = 6, 16, 4, 24, 4096
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_LONGEST, EPOCHS, BATCH = 1500, 8_000_000, 200_000, 12, 32
@@ -117,20 +119,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     rate = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if len(counts) < 2:
         return {"rate": float(rate)}
-    # A hash below a cut keeps about `rows` of each label; the driver then takes the least.
+    # Sizes first, without texts: rows by hash, one text for each id, until a label's rows or bytes are used up. Then the texts of these alone.
     cut = F.when(F.col("quality") == 1, F.lit(min(1.0, 1.2 * rows / counts[1] + 1e-6))).otherwise(F.lit(min(1.0, 1.2 * rows / counts[0] + 1e-6)))
-    few = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).where(F.col("h") <= cut)
-    got = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_LONGEST).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "h", "text").collect()
-    texts: list[str] = []
-    ys: list[int] = []
-    for label in (0, 1):
-        size = 0
-        for r in sorted((r for r in got if r["quality"] == label), key=lambda r: (r["h"], r["doc_id"]))[:rows]:
-            size += len(r["text"])
-            if size > TRAIN_BYTES:  # a bound on the driver's memory; texts are never cut
-                break
-            texts.append(r["text"])
-            ys.append(label)
+    few = materialize(known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).where(F.col("h") <= cut), "few")  # about 1.2 times `rows` of each label
+    sized = docs.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("of")).where(F.col("size") <= TRAIN_LONGEST).join(maybe_broadcast(few, few.count()), "doc_id")
+    sized = sized.groupBy("doc_id", "quality", "h").agg(F.min(F.struct("size", "of")).alias("t")).select("doc_id", "quality", "h", "t.*")
+    order = Window.partitionBy("quality").orderBy("h", "doc_id")
+    placed = sized.withColumns({"n": F.row_number().over(order), "sum": F.sum("size").over(order)}).where((F.col("n") <= rows) & (F.col("sum") <= TRAIN_BYTES))
+    chosen = materialize(placed.select("doc_id", "quality", "h", "of"), "chosen")
+    texts_ = docs.select("doc_id", "text", F.xxhash64("text").alias("of")).join(maybe_broadcast(chosen, 2 * rows), ["doc_id", "of"]).dropDuplicates(["doc_id"])
+    got = sorted(texts_.select("doc_id", "quality", "h", "text").collect(), key=lambda r: (r["quality"], r["h"], r["doc_id"]))  # at most 2 * TRAIN_BYTES
+    texts, ys = [r["text"] for r in got], [r["quality"] for r in got]
     return fit(texts, ys, rate) if 0 < sum(ys) < len(ys) else {"rate": float(rate)}
 
 
