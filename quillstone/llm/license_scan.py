@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-Segments of a file are each line that holds a term of ``TRIGGERS``, all these lines together, the lines around each (up to
-``BEFORE`` and ``AFTER`` of its paragraph, in every combination), each paragraph with a trigger, the leading comment, and the whole
-text of files with a name of ``FILE_NAMES``. A trigger may wrap within a paragraph or comment. A file is a *licence file* where its
+Segments of a file are its leading comment and, for files with a name of ``FILE_NAMES``, the whole text; and from elsewhere in a file each
+line that holds a term of ``TRIGGERS``, all these lines together, the lines around each (up to ``BEFORE`` and ``AFTER`` of its paragraph, in
+every combination) and each paragraph with a trigger, which may wrap within it. A file is a *licence file* where its
 name is one of ``FILE_NAMES``, or its trigger lines or the segment of the stated licence make up most of its words. Segments and
 templates are sparse vectors of term counts times inverse document frequency over the templates; terms of a segment that no
 template has count with the weight of a term that one template has. The best template at a cosine of at least ``THRESHOLD``
@@ -63,6 +63,18 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
 
@@ -123,13 +135,13 @@ def _around(paragraph: Column) -> Column:
 
 
 def segments(text: Column, path: Column, lines: Column) -> Column:
-    """The distinct segments of a text whose trigger lines are given; none if nothing in it is a trigger."""
+    """The distinct segments of a text whose trigger lines are given. Header comments and licence files need no trigger."""
     name = F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit(""))
     paragraphs = F.filter(F.split(text, _BLANK), lambda p: p.rlike(WRAPPED))
-    whole = F.filter(F.array(_leading_comment(text), F.when(name.rlike(FILE_NAMES), text).otherwise("")), lambda x: x.rlike(WRAPPED))
+    whole = F.array_distinct(F.filter(F.array(_leading_comment(text), F.when(name.rlike(FILE_NAMES), text).otherwise("")), lambda x: x.rlike(r"[\p{L}\p{N}]")))
     own = F.when(F.size(lines) > 0, F.array_append(lines, F.array_join(lines, "\n"))).otherwise(F.array().cast("array<string>"))
     found = F.array_distinct(F.concat(own, F.flatten(F.transform(paragraphs, _around)), paragraphs, whole))
-    return F.when(text.rlike(WRAPPED), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(WRAPPED), found).otherwise(whole)
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "file_id") -> DataFrame:

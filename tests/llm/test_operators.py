@@ -225,6 +225,20 @@ def test_decontamination(spark):
     assert decontaminate.contamination(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_above_the_broadcast_bound(spark, monkeypatch):
+    """Where no side may be broadcast, positions travel with the words around them: the same rows, also at both ends of long texts."""
+    rng, vocab = random.Random(12), vocabulary(80)
+    items = [(i, sentence(rng, n, vocab)) for i, n in enumerate([30, 10, 9, 3, 2, 1, 14])]
+    texts = [sentence(rng, 60, vocab) for _ in range(6)] + [f"{items[i][1]} {sentence(rng, 20, vocab)} {items[i][1]}" for i in range(len(items))] + [sentence(rng, 20_000, vocab) + " " + items[0][1], None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: sorted((r["doc_id"], r["n_hit"], r["items_sha256"], [tuple(x) for x in r["hit_windows"] or []]) for r in decontaminate.contamination(docs, bench).collect())
+    expected = run()
+    assert sum(n > 0 for _, n, *_ in expected) >= 8
+    monkeypatch.setattr("quillstone.llm.shared.BROADCAST_ROWS", 0)
+    assert run() == expected
+
+
 def test_line_dedup(spark):
     rng, vocab = random.Random(4), vocabulary()
     common = [sentence(rng, 5, vocab) for _ in range(6)]
@@ -247,6 +261,11 @@ def test_line_dedup(spark):
         kept = [x for p, x in enumerate(ls) if not (x.strip(" ") and len(sites[x.strip(" ")]) >= line_dedup.MIN_SITES and first[x.strip(" ")] != (d, p))]
         assert (got[d]["q_text"], got[d]["q_lines"], got[d]["q_removed"]) == ("\n".join(kept) if text is not None else None, len(ls), len(ls) - len(kept))
     assert sum(r["q_removed"] for r in got.values()) > 50
+    repeated = {r["doc_id"]: r["q_text"] for r in line_dedup.cleaned(docs.union(docs.where("doc_id < 30"))).collect()}
+    assert {d: repeated[d] for d in got} == {d: r["q_text"] for d, r in got.items()} and line_dedup.cleaned(docs.union(docs.where("doc_id < 30"))).count() == len(rows) + 30
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    whole = line_dedup.cleaned(docs.limit(0).union(spark.createDataFrame([(1, long, "en", "s", 0), (None, long, "en", "t", 0)], DOCS).withColumn("line", F.lit("")).withColumn("h", F.lit(0)))).collect()
+    assert [r["q_text"] for r in whole] == [long, long]
     stage = line_dedup.stage(spark, docs, "")
     assert stage.columns == docs.columns and {r["doc_id"] for r in stage.collect()} == {d for d, text, *_ in rows if got[d]["q_removed"] == 0 or got[d]["q_text"].strip()}
     assert line_dedup.cleaned(spark.createDataFrame([], DOCS)).count() == 0
@@ -265,7 +284,52 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
     none = lang_hd.predict(odd, lang_hd.train(odd.where("false"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
-    assert lang_hd.stage(spark, both.withColumn("score", F.lit("clash")), "").count() == both.count() - 3
+    kept = lang_hd.stage(spark, both.withColumn("score", F.lit("clash")), "")
+    assert kept.count() == both.count() - 3 and kept.columns == [*both.columns, "score"]
+
+
+def test_language_stage_follows_the_model(spark):
+    """Texts of a language that was not learned go, whatever their column lang says; with a model that knows it they stay."""
+    rng = random.Random(4)
+    greek, latin = "αβγδεζηθικλμνξοπρστυφχψω", vocabulary(60, seed=2)
+    words = ["".join(rng.choice(greek) for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(latin) for _ in range(80)), "la", "s", 0) for i in range(60)] + [(100 + i, " ".join(rng.choice(words) for _ in range(80)), None, "s", 0) for i in range(20)] + [(200, words[0], None, "s", 0), (201, "12 !", "la", "s", 0), (202, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["doc_id"] for r in lang_hd.stage(spark, docs, "").collect()) == [*range(60), 200]  # one word is too little to reject
+    both = docs.withColumn("lang", F.when((F.col("doc_id") >= 100) & (F.col("doc_id") < 110), "gr").otherwise(F.col("lang")))
+    assert sorted(r["doc_id"] for r in lang_hd.stage(spark, both, "").collect()) == [*range(60), *range(100, 120), 200]
+    unknown = (docs.withColumn("lang", F.lit(None).cast("string")))
+    assert lang_hd.stage(spark, unknown, "").count() == len(rows) - 2
+
+
+def test_language_ties_repeats_and_bundles_by_hand(spark):
+    """Prediction against a plain version, gram by gram; equal prototypes tie by name; repeated rows teach once and each get a row."""
+    rng, vocab = random.Random(5), vocabulary(40, seed=3)
+    rows = [(i, sentence(rng, 30, vocab), "bb" if i % 2 else "aa", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:5], DOCS).withColumn("lang_pred", F.lit("clash"))
+    langs, matrix = lang_hd.train(docs)
+
+    def plain(text):
+        codes = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+        total = np.zeros(lang_hd.DIM)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            total += lang_hd._letter_vector(a).astype(float) * np.roll(lang_hd._letter_vector(b), 1) * np.roll(lang_hd._letter_vector(c), 2)
+        return total / np.linalg.norm(total)
+
+    taught = {}
+    for i, t, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            taught[lang] = taught.get(lang, 0) + plain(t)
+    expected = np.array([taught[x] / np.linalg.norm(taught[x]) for x in langs])
+    assert langs == ["aa", "bb"] and np.abs(expected - matrix).max() < 1e-4
+    got = lang_hd.predict(docs, (langs, matrix)).collect()
+    assert len(got) == len(rows) + 5
+    by = {r["doc_id"]: r for r in got}
+    for i, t, *_ in rows:
+        cos = expected @ plain(t)
+        assert by[i]["score"] == pytest.approx(max(0, cos.max()), abs=1e-3) and (abs(cos[0] - cos[1]) < 1e-3 or by[i]["lang_pred"] == langs[int(cos.argmax())])
+    tied = lang_hd.predict(docs, (["x", "y"], np.stack([matrix[0], matrix[0]]))).collect()
+    assert {r["lang_pred"] for r in tied} == {"x"} and lang_hd.predict(docs.limit(0), (langs, matrix)).count() == 0
 
 
 def test_language_never_learns_from_held_out_rows(spark):
@@ -287,6 +351,46 @@ def test_quality(spark):
     assert quality_cnn.train(docs, labels.where("false")) == {"rate": 0.5}
 
 
+def test_quality_network_window_by_window(spark):
+    """The score against a plain version that goes window by window; odd rows get rows, an empty table none."""
+    model = {k: v.astype(np.float64) for k, v in quality_cnn.start(2).items()}
+
+    def plain(data):
+        tops = []
+        for chunk in quality_cnn.chunks(data):
+            best = [0.0] * quality_cnn.FILTERS
+            for lo in range(0, len(chunk) - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                x = [v for b in chunk[lo : lo + quality_cnn.WIDTH] for v in model["embed"][b]]
+                for f in range(quality_cnn.FILTERS):
+                    best[f] = max(best[f], sum(a * w for a, w in zip(x, model["filters"][:, f])) + model["shift"][f])
+            tops.append(best)
+        pooled = np.array(tops)
+        return 1 / (1 + np.exp(-float(np.concatenate([pooled.max(0), pooled.mean(0)]) @ model["out"] + model["bias"][0])))
+
+    texts = ["short", "x" * 300, "bytes é 日本 " * 400, "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(0, "short", "en", "s", 0)], DOCS).withColumn("score", F.lit("clash"))
+    got = quality_cnn.score(docs, model).collect()
+    assert len(got) == len(texts) + 1 and quality_cnn.score(docs.limit(0), model).count() == 0
+    for r in got:
+        assert r["score"] == pytest.approx(plain((texts[r["doc_id"]] or "").encode()), abs=1e-9)
+
+
+def test_quality_sample_is_bounded_before_the_driver(spark, monkeypatch):
+    """Rows of repeated doc_ids count once, and what is collected stays within the bounds on rows and bytes."""
+    rows = [(i, f"text number {i} " * 20, "en", "s", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows * 3 + [(500, "long " * 100_000, "en", "s", 0)], DOCS).withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(500, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, ys, rate: seen.append((texts, ys)) or {"rate": rate})
+    quality_cnn.train(docs, labels, rows=30)
+    texts, ys = seen.pop()
+    assert 30 <= len(texts) <= 60 and len(set(texts)) == len(texts) and 0 < sum(ys) < len(ys)
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 2_000)
+    quality_cnn.train(docs, labels, rows=30)
+    texts, ys = seen.pop()
+    assert all(sum(len(t) for t, y in zip(texts, ys) if y == label) <= 2_000 for label in (0, 1))
+
+
 def test_quality_chunks_cover_whole_texts():
     for n in (0, 1, 15, 16, 17, 4095, 4096, 4097, 9000):
         data = bytes(i % 251 for i in range(n))
@@ -338,6 +442,17 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_of_repeated_rows_and_clashing_columns(spark):
+    """Each row is packed, repeated ones too; columns named as the operator's own are ignored."""
+    docs = spark.createDataFrame([(1, "same words here", "en", "s", 0)] * 3 + [(2, "ids " * 3000, "en", "s", 0), (None, None, None, None, None)], DOCS)
+    for name in ("n", "ids", "start", "sequence_id", "offset", "length", "doc_tokens"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    out = packing.pack(docs).collect()
+    assert sum(r["doc_id"] == 1 and r["start"] == 0 for r in out) == 3
+    of = {r["doc_id"]: r["doc_tokens"] for r in out}
+    assert of[None] == 1 and sum(r["length"] for r in out) == 3 * of[1] + of[2] + 1
+
+
 def test_hilbert_curve_is_continuous_and_complete():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T
@@ -385,6 +500,42 @@ def test_audio_headers():
     assert index["frames"] == 9 and index["kbps"] == [128, 192] and index["skipped"] == 0
 
 
+def test_audio_index_of_long_streams_is_linear():
+    """44.1 kHz frames whose padding bit alternates change their header at every frame; 100,000 of them take under two seconds."""
+    import time
+
+    plain, wide = (h + bytes(media_audio.header(h)["length"] - 4) for h in (b"\xff\xfb\x90\x00", b"\xff\xfb\x92\x00"))
+    media = (plain + wide) * 50_000
+    began = time.process_time()
+    index = media_audio.index_stream(media)
+    assert time.process_time() - began < 6 and index["frames"] == 100_000 and index["skipped"] == 0
+    assert index["seconds"] == pytest.approx(100_000 * 1152 / 44100, abs=1e-9) and index["offsets"][1] == len(plain)
+
+
+def test_audio_rate_changes_within_a_stream():
+    frames = {h: h + bytes(media_audio.header(h)["length"] - 4) for h in (b"\xff\xfb\x90\x00", b"\xff\xfb\x94\x00")}
+    a, b = frames.values()
+    index = media_audio.index_stream(a * 10 + b * 20)
+    assert index["frames"] == 30 and index["skipped"] == 0 and index["seconds"] == pytest.approx(10 * 1152 / 44100 + 20 * 1152 / 48000)
+
+
+def test_audio_tags_of_all_versions():
+    size = lambda n: bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
+    body = b"TT2" + (6).to_bytes(3, "big") + b"\0Title"
+    assert media_audio.id3v2(b"ID3\x02\0\0" + size(len(body)) + body) == (10 + len(body), {"TT2": "Title"})
+    raw = "\ufeffé".encode("utf-16-le")
+    frame = b"TIT2" + (len(raw) + 1).to_bytes(4, "big") + b"\0\0\x01" + raw
+    sent = frame.replace(b"\xff", b"\xff\x00")
+    assert media_audio.id3v2(b"ID3\x03\0\x80" + size(len(sent)) + sent)[1] == {"TIT2": "é"}
+    extended = (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (2).to_bytes(4, "big") + b"\0\0\0x"
+    assert media_audio.id3v2(b"ID3\x03\0\x40" + size(len(extended)) + extended)[1] == {"TIT2": "x"}
+
+
+def test_audio_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert media_audio.digest_audio(media_audio.encode_texts(empty)).count() == 0 == media_audio.index_audio(media_audio.encode_texts(empty)).count()
+
+
 def test_audio_index_of_a_table(spark):
     media = media_audio.payload_frames(b"z" * 576 * 3, 1728)
     rows = media_audio.index_audio(spark.createDataFrame([(1, bytearray(media)), (2, None)], "doc_id long, media binary")).collect()
@@ -505,6 +656,19 @@ NOTICES = {
 }
 
 
+def test_licence_file_titles_ties_and_long_texts(spark):
+    """Titles of licence files, a folder with two licence files, a text of two hundred thousand words, clashing columns."""
+    lgpl = "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below."
+    mpl = "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software."
+    rows = [("lgpl", "a/COPYING.LESSER", lgpl), ("mpl", "b/LICENSE", mpl), ("bsd", "c/LICENSE.md", "BSD 3-Clause License\n\nCopyright (c) 2020, A"), ("mit1", "d/LICENSE", "Released under the MIT License"), ("mit2", "d/LICENSE.apache", "Licensed under the Apache License, Version 2.0"), ("d", "d/x/y.c", "int x;"), ("long", "e/f.txt", "word " * 200_000), ("twice", "a/z.c", "int y;"), ("twice", "a/z.c", "int y;")]
+    files = spark.createDataFrame(rows, "file_id string, path string, text string")
+    for name in ("term", "digest", "folder", "stated", "segments", "template"):
+        files = files.withColumn(name, F.lit("clash"))
+    out = license_scan.scan(files).collect()
+    got = {r["file_id"]: (r["stated"], r["inherited"]) for r in out}
+    assert len(out) == len(rows) and got == {"lgpl": ("LGPL", None), "mpl": ("MPL-2.0", None), "bsd": ("BSD-3-Clause", None), "mit1": ("MIT", None), "mit2": ("Apache-2.0", None), "d": (None, "Apache-2.0"), "long": (None, None), "twice": (None, "LGPL")}
+
+
 def test_wrapped_licence_notices(spark):
     """Standard notices wrap: as line comments, as a block comment without marks inside, and between lines of code."""
     code = "\n".join(f"value_{i} = compute({i}, other_{i})" for i in range(60))
