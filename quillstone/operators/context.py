@@ -59,10 +59,10 @@ def prepare(records: DataFrame, questions: DataFrame, characters: int = 24_000,
 
     Facts (rows with a fact_id) and the best record of each company and year stay. A byte counts as a token."""
     spent = questions.select(by, framed_bytes(F.col("question"), F.col("calculations")).alias("_spent"))
-    rows = records.withColumn("record", F.to_json(record(records.columns, text))).join(spent, by)
     is_fact = F.col("fact_id").isNotNull() if "fact_id" in records.columns else F.lit(False)
+    rows = records.withColumns({"record": F.to_json(record(records.columns, text)), "_fact": is_fact}).join(spent, by)
     measures = [(F.char_length(text), F.lit(characters)), (F.octet_length("record") + 1, F.lit(tokens) - F.col("_spent"))]
-    return fit(rows, [by], ["ticker", "fiscal_year"], measures, protected=is_fact).drop("_spent")
+    return fit(rows, [by], ["ticker", "fiscal_year", "_fact"], measures, protected=F.col("_fact")).drop("_spent", "_fact")
 
 
 def summary(prepared: DataFrame, questions: DataFrame, characters: int = 24_000, tokens: int = 28_720, by: str = "query_id", text: str = "text") -> DataFrame:

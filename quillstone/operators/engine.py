@@ -7,15 +7,20 @@ chunks: (ticker, fiscal_year, doc_id, section, text); vectors: (ticker, fiscal_y
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import models
-from quillstone.operators import evidence, routing
+from quillstone.functions.shipping import ship
+from quillstone.operators import context, evidence, routing, views
 from quillstone.operators import facts as fact_ops
 from quillstone.operators import retrieval as find
+from quillstone.operators.index import build as build_of
+from quillstone.session import settled, small
 
 _FACT = ("ticker", "cik", "metric", "value", "unit", "fiscal_year", "period_start", "period_end", "accession_number")
 
@@ -35,7 +40,7 @@ def structured(routes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
     missing = found.where("value IS NULL").groupBy("query_id").agg(F.min(F.concat_ws(" ", "ticker", "fiscal_year", "metric")).alias("m")).select("query_id", F.concat(F.lit("unavailable: "), "m").alias("reason"))
     used = found.where("value IS NOT NULL")
     asked = routes.select("query_id", F.col("metric").alias("asked"), "operation")
-    joined = used.join(F.broadcast(asked), "query_id")
+    joined = used.join(small(asked), "query_id")
     one = F.struct(*_FACT)
     grown = joined.where("operation IS NOT NULL AND role = 0").groupBy("query_id", "ticker", "operation").agg(F.transform(F.array_sort(F.collect_list(F.struct("fiscal_year", one.alias("f")))), lambda x: x["f"]).alias("inputs"), F.max("fiscal_year").alias("fiscal_year"))
     grown = grown.select("query_id", "ticker", "fiscal_year", F.col("operation").alias("metric"), "inputs")
@@ -54,63 +59,139 @@ def lines(used: DataFrame, calculations: DataFrame, routes: DataFrame) -> DataFr
     good = calculations.where("error IS NULL")
     two = good.select("query_id", F.lit(1).alias("kind"), "ticker", "fiscal_year", F.concat("ticker", F.lit(" · "), spoken(F.col("metric")), F.lit(": "), fact_ops.display(F.col("value"), F.col("unit"))).alias("line"))
     many = routes.where(F.col("operation").isNotNull() & (F.size("tickers") > 1)).select("query_id", "operation")
-    top = fact_ops.leaders(good.join(F.broadcast(many), "query_id"), ["query_id", "operation", "unit"], "ticker")
+    top = fact_ops.leaders(good.join(small(many), "query_id"), ["query_id", "operation", "unit"], "ticker")
     three = top.select("query_id", F.lit(2).alias("kind"), F.lit("").alias("ticker"), F.lit(0).alias("fiscal_year"), F.concat(F.lit("Highest "), "operation", F.lit(": "), "leaders", F.lit(" ("), fact_ops.display(F.col("value"), F.col("unit")), F.lit(").")).alias("line"))
     every = one.union(two).union(three)
     return every.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "ticker", "fiscal_year", "line"))), lambda x: x["line"]).alias("lines"))
 
 
-def narrative(routes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(evidence, failures) of retrieval routes: chunks for every company and year asked for, or none."""
-    asked = routes.where(F.col("path").isin("rag", "mixed"))
-    scope = F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string"))
-    queries = models.embed(asked.select("query_id", F.col("question").alias("query")), "query")
-    scopes = asked.select("query_id", F.explode("tickers").alias("ticker"), "years").select("query_id", "ticker", F.explode("years").alias("fiscal_year")).select("query_id", "ticker", "fiscal_year", scope.alias("scope")).persist()
-    found = find.retrieve(chunks.withColumn("scope", scope), vectors.withColumn("scope", scope), queries, scopes=scopes.select("query_id", "scope"))
-    picked = found.join(scopes, ["query_id", "scope"]).join(chunks.select("ticker", "fiscal_year", "doc_id", "section", "text"), ["ticker", "fiscal_year", "doc_id"]).persist()
-    bare = scopes.join(picked.select("query_id", "scope").distinct(), ["query_id", "scope"], "left_anti").groupBy("query_id").agg(F.min("scope").alias("s")).select("query_id", F.concat(F.lit("no evidence for "), "s").alias("reason"))
-    return picked, bare
+def scopes_of(routes: DataFrame) -> DataFrame:
+    """(query_id, ticker, fiscal_year, scope): the filings that retrieval routes ask for."""
+    cells = routes.where(F.col("path").isin("rag", "mixed")).select("query_id", F.explode("tickers").alias("ticker"), "years")
+    return cells.select("query_id", "ticker", F.explode("years").alias("fiscal_year")).withColumn("scope", _scope()).distinct()
+
+
+def _scope() -> Column:
+    return F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string"))
+
+
+def narrative(routes: DataFrame, chunks: DataFrame, vectors: DataFrame, index: dict[str, DataFrame] | None = None, **how: object) -> tuple[DataFrame, DataFrame]:
+    """(evidence, failures) of retrieval routes: chunks for every company and year asked for, or none. Questions that cannot be searched fail."""
+    scopes = settled(scopes_of(routes), "scopes")
+    asked = routes.where(F.col("path").isin("rag", "mixed")).select("query_id", F.col("question").alias("query"))
+    known = (index["lengths"] if index is not None else chunks.withColumn("scope", _scope())).select("scope").distinct()
+    errors = settled(find.question_errors(asked, scopes, known).where("reason <> 'unknown scope'"), "errors")  # an unknown scope has no evidence, which is said below
+    queries = models.embed(asked.join(small(errors.select("query_id")), "query_id", "left_anti"), "query")
+    scoped = chunks.withColumn("scope", _scope()) if "scope" not in chunks.columns else chunks
+    found = find.retrieve(scoped, vectors if "scope" in vectors.columns else vectors.withColumn("scope", _scope()), queries, scopes=scopes.select("query_id", "scope"), index=index, **how)
+    found = settled(found.join(scopes, ["query_id", "scope"]), "found")
+    picked = scoped.select("scope", "doc_id", "section", "text").join(small(found), ["scope", "doc_id"])
+    bare = scopes.join(found.select("query_id", "scope").distinct(), ["query_id", "scope"], "left_anti").groupBy("query_id").agg(F.min("scope").alias("s")).select("query_id", F.concat(F.lit("no evidence for "), "s").alias("reason"))
+    return picked, errors.union(bare).groupBy("query_id").agg(F.min("reason").alias("reason"))
 
 
 def extractive(records: DataFrame) -> DataFrame:
     """The stand-in for a text provider: for each question and scope one claim that names the section of its best evidence."""
-    best = records.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "ticker", "fiscal_year").orderBy("position"))).where("n = 1")
+    texts = records.where("fact_id IS NULL")
+    best = texts.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "ticker", "fiscal_year").orderBy("ord"))).where("n = 1")
     said = F.concat(F.lit("The filing discusses this under "), F.regexp_replace(F.coalesce("section", F.lit("its text")), "[^A-Za-z ]", ""), F.lit("."))
-    return best.select("query_id", F.col("position").alias("claim"), said.alias("text"), F.array("evidence_id").alias("citation_ids"), "fiscal_year")
+    return best.select("query_id", F.col("ord").alias("claim"), said.alias("text"), F.array("evidence_id").alias("citation_ids"))
+
+
+def by_provider(provider: models.WithFallback) -> Callable[[DataFrame], DataFrame]:
+    """A synthesis by a text provider: one call a question, with its evidence and calculations as data. Failures come as rows with a category."""
+
+    def synthesize(records: DataFrame) -> DataFrame:
+        ship(records.sparkSession)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "record"))), lambda x: x["record"])
+        grouped = records.groupBy("query_id").agg(F.first("question").alias("question"), F.first("calculations").alias("calculations"), ordered.alias("evidence"))
+        asked = grouped.select("query_id", views.messages(context.INSTRUCTIONS, F.col("question"), F.col("evidence"), F.col("calculations")).alias("messages"))
+
+        @F.pandas_udf("struct<claims:array<struct<text:string,citation_ids:array<string>>>,failure:string>")
+        def call(messages: pd.Series) -> pd.DataFrame:
+            out = []
+            for m in messages:
+                try:
+                    claims, _ = provider.generate(json.loads(m))
+                    out.append((claims, None))
+                except models.ProviderFailure as failure:
+                    out.append((None, failure.category))
+            return pd.DataFrame(out, columns=["claims", "failure"], dtype=object)
 
+        answers = asked.select("query_id", call("messages").alias("a")).select("query_id", F.posexplode_outer("a.claims").alias("claim", "c"), F.col("a.failure").alias("failure"))
+        return answers.select("query_id", F.coalesce("claim", F.lit(0)).alias("claim"), F.col("c.text").alias("text"), F.col("c.citation_ids").alias("citation_ids"), "failure")
 
-def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: DataFrame, synthesize: Callable[[DataFrame], DataFrame] = extractive, characters: int = 24_000) -> DataFrame:
+    return synthesize
+
+
+def evidence_of(used: DataFrame, picked: DataFrame) -> DataFrame:
+    """Facts, then chunks, as records of one kind with their order in each question (`ord`) and evidence ids."""
+    facts = views.fact_records(used.drop("role").dropDuplicates(["query_id", "ticker", "fiscal_year", "metric"]))
+    facts = facts.withColumns({"fact_id": F.concat_ws("|", "ticker", F.col("fiscal_year").cast("string"), "metric"), "kind_": F.lit(0), "score": F.lit(1.0), "at": F.lit(0)})
+    chunks = picked.withColumns({"kind_": F.lit(1), "at": F.col("position").cast("int"), "doc_id": F.col("doc_id").cast("string")}).drop("position", "scope", "how")
+    both = facts.withColumn("doc_id", F.col("fact_id")).unionByName(chunks, allowMissingColumns=True)
+    own = Window.partitionBy("query_id").orderBy("kind_", "at", "ticker", "fiscal_year", F.coalesce("metric", F.lit("")), "doc_id")
+    placed = both.withColumns({"ord": F.row_number().over(own), "request_id": F.col("query_id").cast("string")}).drop("kind_", "at")
+    return evidence.register(placed, "request_id", ("ord",))
+
+
+def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: DataFrame, synthesize: Callable[[DataFrame], DataFrame] = extractive, characters: int = 24_000, tokens: int = 28_720, index: dict[str, DataFrame] | None = None, **how: object) -> DataFrame:
     """(query_id, question_type, path, answer, abstained, reason, grounding_status, grounded, n_facts, n_calculations, evidence_ids, citations).
 
-    What several branches of the plan read (a few rows for each question) is persisted, to be computed once."""
-    routes = routing.route(questions).persist()
+    Facts used are evidence, as retrieved chunks are. What a provider writes is kept only if every citation is known, the prose states no numbers
+    and the cited evidence covers every company and year asked for. With `index`, chunks and vectors are those of the index.
+    Tables of a few rows for each question are written to the shared folder, so that each is computed once and nothing stays in memory;
+    `session.sweep` removes them. how: what `retrieval.retrieve` takes (reranker, min_score, below)."""
+    routes = settled(routing.route(questions), "routes")
     used, calculations, failed = structured(routes, facts)
-    used, calculations = used.persist(), calculations.persist()
-    picked, bare = narrative(routes, chunks, vectors)
-    records = evidence.register(picked.withColumn("request_id", F.col("query_id").cast("string")), "request_id", ("position",))
-    records = evidence.fit_budget(records, characters, ["query_id"], ["ticker", "fiscal_year"], F.char_length("text")).where("fits").persist()
-    claims = synthesize(records).withColumn("request_id", F.col("query_id").cast("string")).withColumn("allowed_years", F.array("fiscal_year")).persist()
-    registry = records.select("request_id", "evidence_id", "ticker", "fiscal_year")
-    cited = evidence.citation_errors(claims, registry).groupBy("request_id").agg(F.min("reason").alias("why"))
-    unsafe = evidence.unsafe_requests(claims).select("request_id", F.col("reason").alias("why"))
-    rejected = cited.union(unsafe).groupBy("request_id").agg(F.min("why").alias("reason")).select(F.col("request_id").alias("r_id"), "reason")
-    told = claims.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("claim", "text"))), lambda x: x["text"]).alias("claims"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("citation_ids")))).alias("citations"))
-    ids = records.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+    used, calculations = settled(used, "used"), settled(calculations, "calculations")
+    failed = settled(failed.groupBy("query_id").agg(F.min("reason").alias("reason")), "failed")
+    picked, bare = narrative(routes.join(small(failed.select("query_id")), "query_id", "left_anti"), chunks, vectors, index, **how)
+    whole = settled(evidence_of(used, picked), "evidence")
+    rag = F.col("path").isin("rag", "mixed")
+    said = views.compact(calculations.where("error IS NULL"), ("query_id",))
+    made = said.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*(c for c in said.columns if c != "query_id"))))).alias("calculations"))
+    asked = settled(routes.where(rag).join(made, "query_id", "left").select("query_id", "question", F.coalesce("calculations", F.lit("[]")).alias("calculations"), "years"), "asked")
+    prepared = context.prepare(whole, asked, characters, tokens).join(asked, "query_id")
+    over = context.summary(prepared, asked, characters, tokens).where("reason IS NOT NULL").select("query_id", "reason")
+    prepared = settled(prepared.join(over, "query_id", "left_anti").where(F.col("fits")), "prepared")
+    claims = synthesize(prepared)
+    claims = claims if "failure" in claims.columns else claims.withColumn("failure", F.lit(None).cast("string"))
+    claims = settled(claims.select(F.col("query_id").cast("string").alias("request_id"), "claim", "text", "citation_ids", "failure"), "claims")
+    told_by = claims.where("failure IS NULL")
+    registry = prepared.select("request_id", "evidence_id", "ticker", "fiscal_year")
+    years = told_by.select("request_id", F.explode("citation_ids").alias("evidence_id")).join(registry, ["request_id", "evidence_id"]).groupBy("request_id").agg(F.collect_set("fiscal_year").alias("cited"))
+    years = years.join(asked.select(F.col("query_id").cast("string").alias("request_id"), "years"), "request_id").select("request_id", F.array_intersect(F.transform("cited", lambda y: y.cast("int")), F.transform("years", lambda y: y.cast("int"))).alias("allowed_years"))
+    judged = told_by.join(years, "request_id", "left").withColumn("allowed_years", F.coalesce("allowed_years", F.array().cast("array<int>")))
+    requested = scopes_of(routes).select(F.col("query_id").cast("string").alias("request_id"), "ticker", "fiscal_year")
+    asked_ids = told_by.select("request_id").distinct()
+    gaps = evidence.uncovered(requested.join(asked_ids, "request_id", "left_semi"), told_by, registry).groupBy("request_id").agg(F.min(F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string"))).alias("g"))
+    first = lambda df, n: df.select("request_id", F.struct(F.lit(n).alias("n"), F.col("why")).alias("w"))
+    rejected = (
+        first(claims.where("failure IS NOT NULL").select("request_id", F.concat(F.lit("provider: "), "failure").alias("why")), 0)
+        .union(first(evidence.citation_errors(told_by, registry).select("request_id", F.col("reason").alias("why")), 1))
+        .union(first(evidence.unsafe_requests(judged).select("request_id", F.col("reason").alias("why")), 2))
+        .union(first(gaps.select("request_id", F.concat(F.lit("citations do not cover "), "g").alias("why")), 3))
+    )
+    rejected = rejected.groupBy("request_id").agg(F.min("w").alias("w")).select(F.col("request_id").alias("r_id"), F.col("w.why").alias("f3"))
+    told = told_by.groupBy(F.col("request_id").alias("t_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("claim", "text"))), lambda x: x["text"]).alias("claims"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("citation_ids")))).alias("cited"))
+    ids = whole.join(routes.where(~rag).select("query_id"), "query_id", "left_semi").select("query_id", "evidence_id").union(prepared.select("query_id", "evidence_id"))
+    ids = ids.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
     counts = used.groupBy("query_id").agg(F.count("*").alias("n_facts")).join(calculations.groupBy("query_id").agg(F.count("*").alias("n_calculations")), "query_id", "full_outer")
     fail = lambda df, name: df.select("query_id", F.col("reason").alias(name))
-    out = routes.join(fail(failed, "f1"), "query_id", "left").join(fail(bare, "f2"), "query_id", "left").join(rejected.withColumnRenamed("reason", "f3"), F.col("query_id").cast("string") == F.col("r_id"), "left")
-    out = out.join(lines(used, calculations, routes), "query_id", "left").join(told, "query_id", "left").join(ids, "query_id", "left").join(counts, "query_id", "left")
-    rag = F.col("path").isin("rag", "mixed")
-    reason = F.coalesce("reason", "f1", "f2", F.when(rag, F.col("f3")), F.when(rag & F.col("claims").isNull(), F.lit("nothing was written")))
+    out = routes.join(fail(failed, "f1"), "query_id", "left").join(fail(bare, "f2"), "query_id", "left").join(fail(over, "f4"), "query_id", "left").join(rejected, F.col("query_id").cast("string") == F.col("r_id"), "left")
+    out = out.join(lines(used, calculations, routes), "query_id", "left").join(told, F.col("query_id").cast("string") == F.col("t_id"), "left").join(ids, "query_id", "left").join(counts, "query_id", "left")
+    reason = F.coalesce("reason", "f1", "f2", "f4", F.when(rag, F.col("f3")), F.when(rag & F.col("claims").isNull(), F.lit("nothing was written")))
     out = out.withColumn("why", reason).withColumn("abstained", reason.isNotNull())
     kept = lambda c, other: F.when(~F.col("abstained"), c).otherwise(other)
     empty = F.array().cast("array<string>")
     answer = F.array_join(F.concat(F.coalesce("lines", empty), F.when(rag, F.coalesce("claims", empty)).otherwise(empty)), "\n")
     status: Column = F.when(F.col("abstained"), "abstained").when(F.col("path") == "structured", "facts_validated").otherwise("citations_validated_semantics_unverified")
+    citations = F.when(rag, F.coalesce("cited", empty)).otherwise(F.coalesce("evidence_ids", empty))
     return out.select(
         "query_id", "question_type", "path", kept(answer, F.lit("Unable to provide a validated answer.")).alias("answer"), "abstained", F.col("why").alias("reason"), status.alias("grounding_status"),
         (~F.col("abstained") & (F.col("path") == "structured")).alias("grounded"), kept(F.coalesce("n_facts", F.lit(0)), F.lit(0)).cast("long").alias("n_facts"), kept(F.coalesce("n_calculations", F.lit(0)), F.lit(0)).cast("long").alias("n_calculations"),
-        kept(F.coalesce("evidence_ids", empty), empty).alias("evidence_ids"), kept(F.coalesce("citations", empty), empty).alias("citations"),
+        kept(F.coalesce("evidence_ids", empty), empty).alias("evidence_ids"), kept(citations, empty).alias("citations"),
     )
 
 
@@ -133,10 +214,8 @@ def resolve_reports(seen: DataFrame, reports: DataFrame, inline: DataFrame) -> t
 
 
 def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a retrieval index of chunks (ticker, fiscal_year, doc_id, section, text): postings, terms, lengths, vectors."""
-    scoped = chunks.withColumn("scope", F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string")))
-    posts = find.postings(scoped)
-    return {"chunks": chunks, "postings": posts, "terms": find.term_stats(scoped), "lengths": find.doc_stats(scoped), "vectors": models.embed(chunks.select("ticker", "fiscal_year", "doc_id", "text")).drop("text")}
+    """The tables of a retrieval index of chunks (ticker, fiscal_year, doc_id, section, text), which `ask` takes as index."""
+    return build_of(chunks.withColumn("scope", _scope()))
 
 
 def prepare_references(questions: DataFrame, facts: DataFrame, version: str) -> DataFrame:
@@ -153,5 +232,5 @@ def prepare_references(questions: DataFrame, facts: DataFrame, version: str) ->
 
 def review_packet(questions: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Candidates for human labels: what retrieval offers for each narrative question, unlabelled, with the ids in scope."""
-    picked, _ = narrative(routing.route(questions), chunks, vectors)
+    picked, _ = narrative(settled(routing.route(questions), "routes"), chunks, vectors)
     return picked.select("query_id", "position", "ticker", "fiscal_year", "doc_id", "section", "text", F.lit(None).cast("boolean").alias("relevant"))

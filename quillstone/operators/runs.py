@@ -113,7 +113,7 @@ def resolved(seen: DataFrame, reports: DataFrame, inline: DataFrame) -> tuple[Da
     """(facts, issues, records): the three ways a metric of a report can go, and for each metric the record of its reconciliation."""
     facts, issues = engine.resolve_reports(seen, reports, inline)
     spark = seen.sparkSession
-    inputs = facts.select("document_id", "metric", "concept", F.col("value").cast("decimal(38,6)").alias("value"), "unit", "cik", "kind", "period_start", "period_end")
+    inputs = facts.select("document_id", "metric", store.qualified(F.col("concept")).alias("concept"), F.col("value").try_cast("decimal(38,6)").alias("value"), "unit", "cik", "kind", "period_start", "period_end")
     checked = fact_ops.reconcile(inputs, inline)
     candidate = facts.select("document_id", "metric", F.struct(*(F.col(c) for c in store.CANDIDATE_FIELDS)).alias("candidate"))
     grid = reports.select("document_id").crossJoin(F.broadcast(fact_ops.metric_dimension(spark).select("metric").distinct()))  # documents by eleven metrics
@@ -147,7 +147,7 @@ def graded(dataset: DataFrame, responses: DataFrame, expected: DataFrame, actual
     r = responses.withColumnsRenamed({"question_type": "actual_type"})
     rows = dataset.select("query_id", "question_type").join(r, "query_id", "left").join(same, "query_id", "left").join(valid, F.col("query_id").cast("string") == F.col("v_id"), "left")
     rows = rows.join(scores, "query_id", "left").join(labelled, "query_id", "left").join(ranked, "query_id", "left")
-    rag = F.col("path").isin("rag", "mixed")
+    rag = F.coalesce(F.col("path").isin("rag", "mixed"), F.lit(False))
     status = (
         F.when(F.col("labelled").isNull(), "skipped_no_reviewed_retrieval_labels").when(~rag, "skipped_non_retrieval_route").when(F.col("ranked").isNull(), "retrieval_failed").otherwise("retrieval_executed")
         if retrieval_only else F.when(rag & F.lit(not allow_llm), "skipped_llm_disabled").when(F.col("actual_type").isNull(), "failed").otherwise("executed")

@@ -73,13 +73,17 @@ def version_violations(store: dict[str, DataFrame], policies: dict[str, str]) ->
     return all_of(one, stated, documents, duplicates(store["records"], "record", ["document_id", "metric"]), set_difference(store["records"], expected, "record", ["document_id", "metric"]))
 
 
+def qualified(concept: Column) -> Column:
+    """A concept with its taxonomy, as observations have it."""
+    return F.when(concept.contains(":"), concept).otherwise(F.concat(F.lit("us-gaap:"), concept))
+
+
 def reconciliation_violations(store: dict[str, DataFrame]) -> DataFrame:
     """Facts whose reconciliation, computed anew from the filings' own observations, is not what was stored.
 
     records: (document_id, metric, status, reason, eligible, blockers, candidate struct of CANDIDATE_FIELDS)."""
     facts, records = store["facts"], store["records"]
-    concept = F.when(F.col("concept").contains(":"), F.col("concept")).otherwise(F.concat(F.lit("us-gaap:"), F.col("concept")))
-    inputs = facts.select("document_id", "metric", concept.alias("concept"), F.col("value").cast("decimal(38,6)").alias("value"), "unit", "cik", "kind", F.col("period_start").cast("date").alias("period_start"), F.col("period_end").cast("date").alias("period_end"))
+    inputs = facts.select("document_id", "metric", qualified(F.col("concept")).alias("concept"), F.col("value").try_cast("decimal(38,6)").alias("value"), "unit", "cik", "kind", F.col("period_start").try_cast("date").alias("period_start"), F.col("period_end").try_cast("date").alias("period_end"))
     now = fact_ops.reconcile(inputs, store["observations"]).select("document_id", "metric", *(F.col(c).alias(f"now_{c}") for c in ("status", "reason", "eligible", "blockers")))
     joined = facts.join(now, ["document_id", "metric"], "left").join(records.select("document_id", "metric", "status", F.col("reason").alias("r_reason"), "eligible", "blockers", "candidate", F.lit(True).alias("linked")), ["document_id", "metric"], "left")
     differs = F.lit(False)

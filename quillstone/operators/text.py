@@ -57,6 +57,21 @@ def html_blocks(pages: DataFrame, key: str, column: str) -> DataFrame:
     return pages.select(F.col(key).alias("document_id"), F.explode(blocks(F.col(column))).alias("b")).select("document_id", "b.*")
 
 
+def page_blocks(files: DataFrame, key: str, column: str, reader: Callable[[bytes], list[str]]) -> DataFrame:
+    """(document_id, ord, text, location, is_table): one block for each page with text of paged documents; `reader` gives the pages' texts."""
+    ship(files.sparkSession)
+
+    @F.pandas_udf(_BLOCK_SCHEMA)
+    def read(raw: pd.Series) -> pd.Series:
+        def one(content: bytes | None) -> list[dict]:
+            texts = [markup.normalize(t or "") for t in reader(bytes(content))] if content else []
+            return [{"ord": i, "text": t, "location": f"page-{i + 1}", "is_table": False} for i, t in enumerate(texts) if t]
+
+        return raw.map(one)
+
+    return files.select(F.col(key).alias("document_id"), F.explode(read(F.col(column))).alias("b")).select("document_id", "b.*")
+
+
 def normalize(text: Column) -> Column:
     """NFKC by an Arrow UDF, as there is no built-in."""
     ship(SparkSession.active())

@@ -103,10 +103,10 @@ CALCULATION_FIELDS = ["calculation_id", "calculation_policy_version", "ticker",
 INPUT_FIELDS = ["fact_id", "ticker", "cik", "fiscal_year", "accession_number", "metric", "concept", "value", "unit", "period_start", "period_end"]
 
 
-def compact(calculations: DataFrame) -> DataFrame:
-    """Calculations and their inputs cut to the fields above, where they exist."""
+def compact(calculations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Calculations and their inputs cut to the fields above, where they exist; `keep` columns go along."""
     has = [f.name for f in calculations.schema["inputs"].dataType.elementType.fields]
-    return calculations.select(*(c for c in CALCULATION_FIELDS if c in calculations.columns), F.transform("inputs", lambda x: F.struct(*(x[f].alias(f) for f in INPUT_FIELDS if f in has))).alias("inputs"))
+    return calculations.select(*keep, *(c for c in CALCULATION_FIELDS if c in calculations.columns), F.transform("inputs", lambda x: F.struct(*(x[f].alias(f) for f in INPUT_FIELDS if f in has))).alias("inputs"))
 
 
 def fact_records(facts: DataFrame) -> DataFrame:

@@ -23,11 +23,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("doc_id"), "embedding")
 
 
-def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors 0 to 4 are the queries."""
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = ops.postings(_chunks(spark, sf_dir))
     return posts.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
@@ -43,8 +38,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ops.dense(_vectors(spark, sf_dir), _probes(spark, sf_dir))
-    return ops.top_k(scored).select("query_id", "scope", "doc_id", F.round("score", 4).alias("score"))
+    """Every hundredth vector against all vectors, in the JVM: the best 20 of each label."""
+    scored = ops.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    return ops.top_k(scored).select("query_id", "scope", "doc_id", "score")
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +71,7 @@ def promote_or_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleave_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ops.dense(_vectors(spark, sf_dir), _probes(spark, sf_dir))
+    scored = ops.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
     return ops.interleave(ops.top_k(scored), "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
 
 
@@ -103,17 +99,36 @@ def expand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined with vectors of the same number."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """All documents, each with the vector whose number is that of the document modulo the number of vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg(F.max("vec_id") + 1).first()[0]
+    docs = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") % n == F.col("vec_id"))
     section = F.when(F.col("lang") == "en", "Item 1A. Risk Factors").otherwise("Item 1. Business")
     return docs.select(F.col("lang").alias("scope"), "doc_id", "text", section.alias("section"), "embedding")
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined with vectors of the same number, by the probes' vectors and questions."""
+    """Four questions, with vectors 1 to 4 as theirs, to all documents."""
     chunks = _embedded(spark, sf_dir)
     asked = _questions(spark).select(F.regexp_extract("query_id", r"\d+", 0).cast("long").alias("vec_id"), "query_id", "query").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked.drop("vec_id"))
+    found = ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked.drop("vec_id"))
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four questions to an index's tables instead of the documents."""
+    chunks = _chunks(spark, sf_dir)
+    tables = {"postings": ops.postings(chunks), "terms": ops.term_stats(chunks), "lengths": ops.doc_stats(chunks)}
+    scored = ops.bm25_of_index(tables, _questions(spark)).withColumn("score", F.round("score", 5))
+    return ops.top_k(scored, positive=True).select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against the vectors of its own label alone: blocks of one label meet."""
+    asked = _every_hundredth(table(spark, sf_dir, "embeddings"), "vec_id")
+    scopes = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"))
+    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), scopes=scopes)
+    return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _every_hundredth(frame: DataFrame, key: str) -> DataFrame:
@@ -145,13 +160,16 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth document, with the vector of its number, as a question to all documents that have a vector."""
+    """Every hundredth document, with its vector, as a question to all documents."""
     chunks = _embedded(spark, sf_dir)
     asked = _every_hundredth(chunks, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
     return ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked)
 
 
 _QUESTIONS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in QUESTIONS) + ") AS q(query_id, query)"
+#: The questions with what their intents add, their vectors, and what English and other sections gain.
+_EXPANDED_SQL = """(VALUES ('q1', 'the and risk of supply chain Item 1A Risk Factors supply chain suppliers manufacturing outsourcing partners', 1, 0.25, 0.0), ('q2', 'licensed under the apache license', 2, 0.0, 0.0),
+  ('q3', 'und der die cloud business Item 1 Business Item 7 Management Discussion cloud services Azure AWS', 3, 0.0, 0.60), ('q4', 'la que de los the the', 4, 0.0, 0.0)) AS x(query_id, query, probe, boost_en, boost_other)"""
 _POSTS_SQL = """
 WITH toks AS (SELECT lang AS scope, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 posts AS (SELECT scope, doc_id, term, count(*) AS tf FROM (SELECT scope, doc_id, unnest(w) AS term FROM toks) GROUP BY ALL),
@@ -160,21 +178,53 @@ raw AS (SELECT df.*, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN (SELECT
 idf AS (SELECT scope, term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN (SELECT scope, sum(CAST(round(raw, 9) AS DECIMAL(28,9)))::DOUBLE / count(*) AS m FROM raw GROUP BY 1) USING (scope))
 """
 _DENSE_SQL = """
-WITH s AS (SELECT q.vec_id AS query_id, d.label AS scope, d.vec_id AS doc_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id < 5) q),
+WITH s AS (SELECT q.vec_id AS query_id, d.label AS scope, d.vec_id AS doc_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20)
 """
 _SECTION_SQL = "WITH s AS (SELECT source AS scope, doc_id, CASE lang WHEN 'en' THEN 'Item 1A. Risk Factors' WHEN 'fr' THEN 'Item 1. Business' WHEN 'de' THEN 'Front Matter' ELSE 'Item 7. MD&A' END AS section, round((n_chars % 1000) / 1000.0, 3)::DOUBLE AS base FROM documents)"
 
-QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, dense_search, interleave_search, bm25_search, hybrid_search)}
-ORACLE_SQL = {
-    "term_frequencies": _POSTS_SQL + "SELECT scope, term, df, CAST(total AS BIGINT) AS total, most FROM df",
-    "term_idf": _POSTS_SQL + "SELECT scope, term, df, round(idf, 6) AS idf FROM idf",
-    "bm25_topk": _POSTS_SQL + f""", dl AS (SELECT scope, doc_id, len(w) AS dl, avg(len(w)) OVER (PARTITION BY scope) AS avgdl FROM toks),
+_BM25_SQL = _POSTS_SQL + f""", dl AS (SELECT scope, doc_id, len(w) AS dl, avg(len(w)) OVER (PARTITION BY scope) AS avgdl FROM toks),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {_QUESTIONS_SQL}) GROUP BY ALL),
 g AS (SELECT query_id, scope, doc_id, round(sum(CAST(round(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qtf, 9) AS DECIMAL(28,9)))::DOUBLE, 5) AS score
       FROM posts JOIN qt USING (term) JOIN idf USING (scope, term) JOIN dl USING (scope, doc_id) GROUP BY ALL)
-SELECT query_id, scope, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 20 AND score > 0""",
-    "dense_topk": _DENSE_SQL + "SELECT query_id, scope, doc_id, round(score, 4) AS score FROM top",
+SELECT query_id, scope, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 20 AND score > 0"""
+_HYBRID_SQL = _POSTS_SQL + f""", dl AS (SELECT scope, doc_id, w, len(w) AS dl, avg(len(w)) OVER (PARTITION BY scope) AS avgdl FROM toks),
+q AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words, least(350, 512 - 3 - len(regexp_extract_all(lower(query), '[a-z0-9]+'))) AS size FROM {_EXPANDED_SQL}),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q) GROUP BY ALL),
+g AS (SELECT query_id, scope, doc_id, sum(CAST(round(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qtf, 9) AS DECIMAL(28,9)))::DOUBLE AS score FROM posts JOIN qt USING (term) JOIN idf USING (scope, term) JOIN dl USING (scope, doc_id) GROUP BY ALL),
+lex AS (SELECT query_id, scope, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 20 AND score > 0),
+v AS (SELECT lang AS scope, doc_id, embedding FROM documents JOIN embeddings ON doc_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id),
+den AS (SELECT query_id, scope, doc_id, row_number() OVER (PARTITION BY query_id, scope ORDER BY round(list_inner_product(v.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, doc_id) AS rank FROM v, q JOIN embeddings e ON e.vec_id = q.probe QUALIFY rank <= 20),
+summed AS (SELECT query_id, scope, doc_id, sum(CAST(round(1.0::DOUBLE / (60 + rank), 12) AS DECIMAL(20,12))) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY query_id, scope, doc_id),
+fused AS (SELECT query_id, scope, doc_id FROM summed QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) <= 8),
+wins AS (SELECT query_id, scope, doc_id, boost_en, boost_other, words, w[s + 1 : s + size] AS win FROM (SELECT query_id, scope, doc_id, boost_en, boost_other, words, w, size, unnest(range(0, greatest(len(w), 1), size)) AS s FROM fused JOIN q USING (query_id) JOIN dl USING (scope, doc_id))),
+scored AS (SELECT query_id, scope, doc_id, round(greatest(0, least(1, 1 / (1 + exp(-max(len(list_intersect(words, win)) / len(words) * 8 - 4))) + any_value(CASE scope WHEN 'en' THEN boost_en ELSE boost_other END))), 9) AS score FROM wins GROUP BY query_id, scope, doc_id),
+kept AS (SELECT s.*, text, row_number() OVER (PARTITION BY query_id, s.scope ORDER BY score DESC, doc_id) AS rank FROM scored s JOIN documents d USING (doc_id) WHERE score >= 0.25),
+once AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, scope, text ORDER BY rank, scope, doc_id) = 1)
+SELECT query_id, position, scope, doc_id, score, 'threshold' AS how FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS position FROM once) WHERE position <= 6"""
+QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, bm25_index, scoped_search, dense_search, interleave_search, bm25_search, hybrid_search)}
+_WORDS = ["cyber security", "risk factor", "risk", "business", "cloud", "cloud business", "supply chain", "climate", "competitive", "business description", "plain"]
+_EXPAND_SQL = f"""WITH q AS (SELECT 'What about ' || word || ' for ' || lower(s) || '?' AS question FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT unnest({_WORDS}) AS word)), l AS (SELECT question, lower(question) AS t FROM q)
+SELECT question, concat_ws(' ', question, CASE WHEN contains(t, 'cyber security') OR contains(t, 'cybersecurity') THEN 'Item 1C Cybersecurity risk management' END, CASE WHEN contains(t, 'risk factor') THEN 'Item 1A Risk Factors' END,
+  CASE WHEN contains(t, 'business description') THEN 'Item 1 Business Company Background products services operations' END, CASE WHEN contains(t, 'cloud') AND contains(t, 'business') THEN 'Item 1 Business Item 7 Management Discussion cloud services Azure AWS' END,
+  CASE WHEN contains(t, 'supply chain') THEN 'Item 1A Risk Factors supply chain suppliers manufacturing outsourcing partners' END, CASE WHEN contains(t, 'climate') THEN 'Item 1A Risk Factors climate environmental sustainability' END,
+  CASE WHEN contains(t, 'compet') THEN 'Item 1A Risk Factors competition competitive market' END, CASE WHEN contains(t, 'risk') AND NOT contains(t, 'risk factor') THEN 'Item 1A Risk Factors' END, CASE WHEN contains(t, 'about business for') THEN 'Item 1 Business' END) AS expanded,
+  concat_ws(',', CASE WHEN contains(t, 'cyber security') THEN 'cybersecurity' END, CASE WHEN contains(t, 'risk factor') THEN 'risk_factors' WHEN contains(t, 'risk') THEN 'risk' END, CASE WHEN contains(t, 'business description') THEN 'business_description' END, CASE WHEN contains(t, 'business') THEN 'business' END,
+  CASE WHEN contains(t, 'cloud') AND contains(t, 'business') THEN 'cloud_business' WHEN contains(t, 'cloud') THEN 'cloud' END, CASE WHEN contains(t, 'supply chain') THEN 'supply_chain' END, CASE WHEN contains(t, 'climate') THEN 'climate' END, CASE WHEN contains(t, 'compet') THEN 'competition' END) AS intents FROM l"""
+_SEARCH_SQL = _DENSE_SQL.replace("SELECT q.vec_id AS query_id", "SELECT q.vec_id AS query_id, q.label AS own")
+_BM25_SEARCH_SQL = _BM25_SQL.replace(_QUESTIONS_SQL, "(SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0)")
+ORACLE_SQL = {
+    "expand_questions": _EXPAND_SQL,
+    "hybrid_retrieve": _HYBRID_SQL,
+    "dense_search": _DENSE_SQL + "SELECT query_id, scope, doc_id, score, rank FROM top",
+    "scoped_search": _SEARCH_SQL + "SELECT query_id, scope, doc_id, score, rank FROM top WHERE own = scope",
+    "interleave_search": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top) WHERE p <= 6",
+    "term_frequencies": _POSTS_SQL + "SELECT scope, term, df, CAST(total AS BIGINT) AS total, most FROM df",
+    "term_idf": _POSTS_SQL + "SELECT scope, term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_topk": _BM25_SQL,
+    "bm25_search": _BM25_SEARCH_SQL,
+    "bm25_index": _BM25_SQL,
+    "dense_topk": _DENSE_SQL + "SELECT query_id, scope, doc_id, score FROM top",
     "rrf_fuse": """WITH r AS (SELECT c_mktsegment AS scope, c_custkey AS doc_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS a, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS b FROM customer),
 f AS (SELECT scope, doc_id, round(sum(round(1.0::DOUBLE / (60 + r), 12)), 9) AS score FROM (SELECT scope, doc_id, a AS r FROM r WHERE a <= 20 UNION ALL SELECT scope, doc_id, b FROM r WHERE b <= 20) GROUP BY ALL)
 SELECT scope, doc_id, score, row_number() OVER (PARTITION BY scope ORDER BY score DESC, doc_id) AS rank FROM f""",

@@ -5,10 +5,12 @@ These go beyond batch evaluation; the same functions work on batch DataFrames wh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -35,6 +37,25 @@ def insert_once(events: DataFrame, key: str, late: str = "1 hour", at: str = "ts
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def throttled(requests: DataFrame, by: str = "host", key: str = "request_id", at: str = "ts", spacing: float = 0.25) -> DataFrame:
+    """When each request of a stream (key, by, at) may go out: no sooner than it came, and `spacing` seconds after the one before to the
+    same host. The last time of each host is the state; requests of one micro-batch go in order of time and key."""
+    kind = requests.schema[key].dataType.simpleString()
+
+    def place(host: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values([at, key], kind="stable")
+        times = []
+        for came in rows[at]:
+            stamp = came.timestamp()
+            last = stamp if last is None else max(stamp, last + spacing)
+            times.append(last)
+        state.update((last,))
+        yield pd.DataFrame({by: host[0], key: rows[key].to_numpy(), "go_at": times})
+
+    return requests.groupBy(by).applyInPandasWithState(place, f"{by} string, {key} {kind}, go_at double", "last double", "append", "NoTimeout")
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands each micro-batch to a function, once all that is there has been read."""
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
