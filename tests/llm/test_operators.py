@@ -247,7 +247,8 @@ def test_line_dedup(spark):
         ls = [sentence(rng, 6, vocab) for _ in range(3)] + [c for j, c in enumerate(common) if rng.random() < 0.15 * (j + 1)] + [""]
         rng.shuffle(ls)
         rows.append((i, "\n".join(ls), "en", f"s{i % 12}" if i % 3 else "hot", 0))
-    rows += [(500, None, "en", "s1", 0), (501, "", "en", "s1", 0), (502, common[5] + "\n\n" + common[5], "en", None, 0), (503, "\n\n", "en", "s1", 0)]
+    rows += [(500, None, "en", "s1", 0), (501, "", "en", "s1", 0), (502, common[5] + "\n\n" + common[5], "en", None, 0), (503, "\n\n", "en", "s1", 0), (504, common[4], "en", "s9", 0)]
+    nameless = (None, "own line of a nameless text\n" + common[4] + "\n" + common[5], "en", "s3", 0)
     sites, first = defaultdict(set), {}
     for d, text, _, site, _ in sorted(rows, key=lambda r: r[0]):
         for p, line in enumerate((text or "").split("\n")):
@@ -266,6 +267,8 @@ def test_line_dedup(spark):
     long = "\n".join(f"line {i}" for i in range(30_000))
     whole = line_dedup.cleaned(docs.limit(0).union(spark.createDataFrame([(1, long, "en", "s", 0), (None, long, "en", "t", 0)], DOCS).withColumn("line", F.lit("")).withColumn("h", F.lit(0)))).collect()
     assert [r["q_text"] for r in whole] == [long, long]
+    after = line_dedup.cleaned(docs.union(spark.createDataFrame([(*nameless[:4], nameless[4], "clash", 0)], docs.schema))).where("doc_id IS NULL").collect()
+    assert len(after) == 1 and after[0]["q_text"].startswith("own line") and after[0]["q_lines"] == 3  # a null id comes first: its lines are first occurrences
     stage = line_dedup.stage(spark, docs, "")
     assert stage.columns == docs.columns and {r["doc_id"] for r in stage.collect()} == {d for d, text, *_ in rows if got[d]["q_removed"] == 0 or got[d]["q_text"].strip()}
     assert line_dedup.cleaned(spark.createDataFrame([], DOCS)).count() == 0

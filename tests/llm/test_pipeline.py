@@ -8,6 +8,7 @@ from pathlib import Path
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillstone.llm import line_dedup, registry
@@ -52,6 +53,23 @@ def test_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in packed} == set(clean) and len(rows) > len(clean) > 50
 
 
+def test_stages_take_odd_rows(spark):
+    """Null ids, texts, languages and sources, repeated rows and long texts go through all stages; extra columns stay until the last."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    kind = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    whole = " ".join(f"plain words number {i} of a long text" for i in range(5_000))
+    odd = spark.createDataFrame([(None, "a text without any number stands here for once", None, None, None), (10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, whole, "en", "s", len(whole)), (10**6 + 3, "one row that is there twice, word for word", "en", "s", 9)], kind)
+    docs = docs.union(odd).union(odd.where("doc_id = 1000003")).withColumn("label", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert None in kept and 10**6 + 2 in kept and kept.count(10**6 + 3) == 2 and not {10**6, 10**6 + 1} & set(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r["start"] == 0 for r in packed) == len(kept)
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
@@ -76,9 +94,16 @@ def test_one_query_for_each_operator():
 
 
 def test_the_rest_lives_without_this_subpackage(tmp_path):
+    """Without the pipeline module, and without both folders: the other queries are there, and the other tests import and pass."""
     root = Path(__file__).resolve().parents[2]
-    subprocess.run(["cp", "-r", str(root / "quillstone"), str(root / "__spark_entry__.py"), str(tmp_path)], check=True)
+    subprocess.run(["cp", "-r", str(root / "quillstone"), str(root / "tests"), str(root / "__spark_entry__.py"), str(tmp_path)], check=True)
     code = "import __spark_entry__ as e; assert 'metric_ratios' in e.queries() and not any(n.startswith('op') for n in e.queries()), list(e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=False)  # without the pipeline module
-    subprocess.run(["rm", "-rf", str(tmp_path / "quillstone/llm")], check=True)
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=False).returncode == 0
+    subprocess.run(["rm", "-rf", str(tmp_path / "quillstone/llm"), str(tmp_path / "tests/llm")], check=True)
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=False).returncode == 0
+    assert "quillstone.llm" not in "".join(p.read_text() for p in (tmp_path / "quillstone").rglob("*.py"))
+    ran = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=tmp_path, capture_output=True, text=True, check=False)
+    found = ran("tests", "--collect-only")
+    assert found.returncode == 0, found.stdout[-2000:]
+    some = ran("tests", "-k", "test_numbers or test_prose or test_entry or test_settings or metric_ratios or chat_provider")
+    assert some.returncode == 0, some.stdout[-2000:]
