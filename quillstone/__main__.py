@@ -1,8 +1,9 @@
-"""Command lines: `python -m quillstone ingest|index|prepare|evaluate|export-review|apply-review|ask --help`. Tables are folders of Parquet."""
+"""Command lines: `python -m quillstone ingest|index|prepare|evaluate|export-review|apply-review|ask --help`. Tables are folders of Parquet; settings are read from the environment (QUILL_…)."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import uuid
 from collections.abc import Sequence
@@ -56,10 +57,10 @@ def run(arguments: Sequence[str] | None = None, spark: SparkSession | None = Non
             print(state)
             return 0 if state.startswith("completed") else 1
         if a.command == "index":
+            s = Settings.read(os.environ)
             chunks = read(a.chunks)
             scoped = chunks if "scope" in chunks.columns else chunks.withColumn("scope", F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string")))
             corpus = store.digest(artifacts.published(spark, a.corpus, "reports")).first()["digest"]
-            s = Settings()
             index.publish(index.build(scoped), a.index, a.version, {"chunk_tokens": s.chunk_tokens, "chunk_overlap": s.chunk_overlap}, corpus)
         elif a.command == "prepare":
             questions = read(a.questions)
@@ -76,7 +77,9 @@ def run(arguments: Sequence[str] | None = None, spark: SparkSession | None = Non
                 return 1
             _write(done, a.output, a.dataset, a.overwrite)
         else:
-            _write(engine.ask(read(a.questions), read(a.facts), read(a.chunks), read(a.vectors)), a.output, a.questions)
+            s = Settings.read(os.environ)
+            how = {"characters": s.context_characters, "tokens": s.input_tokens, "min_score": s.min_score, "below": s.abstain_below, "k": max(s.dense_top_k, s.sparse_top_k)}
+            _write(engine.ask(read(a.questions), read(a.facts), read(a.chunks), read(a.vectors), **how), a.output, a.questions)
         return 0
     except ValueError as error:
         print(error, file=sys.stderr)

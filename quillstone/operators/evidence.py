@@ -55,11 +55,6 @@ def fit_budget(records: DataFrame, budget: int, by: list[str], group: list[str],
     return rows.where(F.col("kept_always") | (F.col("fixed") + F.col("upto") <= budget)).drop("fixed", "upto")
 
 
-def token_bound(json: Column, reserve: int = 1024) -> Column:
-    """An upper bound of tokens: UTF-8 bytes and a reserve."""
-    return F.octet_length(json) + reserve
-
-
 # The words of the guard, after folding.
 ADDRESS_ENDINGS = frozenset("com org net gov edu io co invalid".split())
 CURRENCY_WORDS = frozenset("dollar dollars euro euros rupee rupees usd eur inr gbp jpy".split())
@@ -231,8 +226,3 @@ def unsafe_requests(claims: DataFrame) -> DataFrame:
     marked = judged.withColumns({"_amount": F.coalesce(amount, F.lit(False)), "_moved": F.coalesce(has(MOVEMENTS), F.lit(False))})
     bad = marked.groupBy("request_id").agg((F.bool_or(F.col("category") != "qualitative_or_reference") | (F.bool_or("_amount") & F.bool_or("_moved"))).alias("bad"))
     return bad.where("bad").select("request_id", F.lit("narrative holds numbers, changes or addresses").alias("reason"))
-
-
-def trusted(records: DataFrame, fields: list[str], text: str = "text") -> DataFrame:
-    """Records as (evidence_id, metadata struct of the fields that exist, untrusted_text)."""
-    return records.select("evidence_id", F.struct(*(f for f in fields if f in records.columns)).alias("metadata"), F.col(text).alias("untrusted_text"))

@@ -125,11 +125,16 @@ def split_text(text: str, size: int, overlap: int, count: Callable[[str], int])
     n, start = len(text), 0
     ends = [m.end() for m in re.finditer(r"\s+", text)]
     starts = {0, *ends}
+    reach = 8 * size  # characters looked at, doubled until they exceed the budget: never the whole rest for each range
     while start < n:
-        if count(text[start:]) <= size:
+        most = min(n, start + reach)
+        while most < n and count(text[start:most]) <= size:
+            reach *= 2
+            most = min(n, start + reach)
+        if most == n and count(text[start:n]) <= size:
             end = n
         else:
-            fits = bisect.bisect_right(range(start + 1, n + 1), size, key=lambda e: count(text[start:e])) + start
+            fits = bisect.bisect_right(range(start + 1, most + 1), size, key=lambda e: count(text[start:e])) + start
             if fits == start:
                 raise ValueError("a character exceeds the token budget")
             low = start + max(1, (fits - start) // 2)

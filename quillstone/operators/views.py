@@ -52,6 +52,24 @@ def shown(value: Column, unit: Column) -> Column:
     return F.when(number.isNull(), "Unavailable").otherwise(out)
 
 
+#: The metrics of each statement, in the order in which a reader sees them; what is derived stands last.
+STATEMENTS = {
+    "income": ["revenue", "gross_profit", "operating_income", "net_income", "eps", "operating_margin", "net_margin"], "balance": ["assets", "liabilities", "equity", "cash"],
+    "cash_flow": ["operating_cash_flow", "capex", "free_cash_flow", "fcf_margin"], "growth": ["revenue_growth", "revenue_cagr"],
+}
+
+
+def statement_of(metric: Column) -> Column:
+    """The statement that a metric belongs to, null for one of none."""
+    known = F.create_map(*(F.lit(x) for name, metrics in STATEMENTS.items() for m in metrics for x in (m, name)))
+    return F.try_element_at(known, metric)
+
+
+def compared_metrics() -> list[str]:
+    """The metrics that companies are compared by: all but growth, which has its own view."""
+    return [m for name, metrics in STATEMENTS.items() if name != "growth" for m in metrics]
+
+
 #: What a reader is told about a failure category.
 FAILURES = {
     "model_or_endpoint_unavailable": "The text model could not be reached; evidence that was found can still be read.", "authentication": "The text provider refused the credentials.", "missing_api_key": "No text provider is set up; facts and calculations work without one.",

@@ -55,6 +55,26 @@ def test_blocks_and_sections(spark):
     ]
 
 
+def test_chunks_of_long_runs_do_not_count_the_rest_each_time():
+    """What is counted grows with the text, not with its square; the ranges are those of a plain version."""
+    counted = [0]
+
+    def count(piece):
+        counted[0] += len(piece)
+        return len(piece.split())
+
+    long = "some words here " * 4_000
+    ranges = list(text.split_text(long, 50, 10, count))
+    assert len(ranges) > 290 and counted[0] < 400 * len(long) and ranges[0][0] == 0 and ranges[-1][1] == len(long)
+    assert all(len(long[a:b].split()) <= 50 for a, b in ranges) and all(b1 > b0 and a1 < b0 for (_, b0), (a1, b1) in zip(ranges, ranges[1:]))
+
+
+def test_statements():
+    from quillstone.operators import views
+
+    assert "revenue" in views.compared_metrics() and "revenue_growth" not in views.compared_metrics()
+
+
 def test_chunk_examples():
     assert list(text.split_text("a b c d e", 5, 2, text.words)) == [(0, 9)]
     words = " ".join(f"w{i}" for i in range(30))
