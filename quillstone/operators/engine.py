@@ -34,9 +34,10 @@ def inputs_of(routes: DataFrame) -> DataFrame:
 
 
 def structured(routes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts used, calculations, failures) of a batch; a missing fact or a failed calculation fails its question."""
-    need = inputs_of(routes)
-    found = need.join(facts, ["ticker", "fiscal_year", "metric"], "left")
+    """(facts used, calculations, failures) of a batch; a missing fact or a failed calculation fails its question.
+
+    The facts are read once, cut to what the batch needs."""
+    found = settled(inputs_of(routes).join(facts, ["ticker", "fiscal_year", "metric"], "left"), "inputs")
     missing = found.where("value IS NULL").groupBy("query_id").agg(F.min(F.concat_ws(" ", "ticker", "fiscal_year", "metric")).alias("m")).select("query_id", F.concat(F.lit("unavailable: "), "m").alias("reason"))
     used = found.where("value IS NOT NULL")
     asked = routes.select("query_id", F.col("metric").alias("asked"), "operation")
@@ -47,7 +48,7 @@ def structured(routes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
     made = joined.where(F.col("asked").isin(*fact_ops.ROLES) & F.col("operation").isNull()).groupBy("query_id", "ticker", "fiscal_year", "asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("role", one.alias("f")))), lambda x: x["f"]).alias("inputs"))
     made = made.select("query_id", "ticker", "fiscal_year", F.col("asked").alias("metric"), "inputs")
     refused = routes.where(F.col("operation").isNotNull() & F.col("metric").isin(*fact_ops.ROLES)).select("query_id", F.lit("growth of derived metrics is unsupported").alias("reason"))
-    calculations = fact_ops.calculate(grown.union(made))
+    calculations = settled(fact_ops.calculate(grown.union(made)), "calculations")
     failed = calculations.where("error IS NOT NULL").groupBy("query_id").agg(F.min("error").alias("reason"))
     return used, calculations, refused.union(missing).union(failed).groupBy("query_id").agg(F.min("reason").alias("reason"))
 
@@ -144,8 +145,7 @@ def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: Data
     `session.sweep` removes them. how: what `retrieval.retrieve` takes (reranker, min_score, below)."""
     routes = settled(routing.route(questions), "routes")
     used, calculations, failed = structured(routes, facts)
-    used, calculations = settled(used, "used"), settled(calculations, "calculations")
-    failed = settled(failed.groupBy("query_id").agg(F.min("reason").alias("reason")), "failed")
+    failed = settled(failed, "failed")
     picked, bare = narrative(routes.join(small(failed.select("query_id")), "query_id", "left_anti"), chunks, vectors, index, **how)
     whole = settled(evidence_of(used, picked), "evidence")
     rag = F.col("path").isin("rag", "mixed")
@@ -221,7 +221,7 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
 def prepare_references(questions: DataFrame, facts: DataFrame, version: str) -> DataFrame:
     """Expected answers of questions (query_id, question, tickers, years, annotation_status, reviewed_version): reviewed ones of this
     corpus stay, unsupported ones expect abstention, structured ones what the facts give, all else is unresolved."""
-    routes = routing.route(questions)
+    routes = settled(routing.route(questions), "routes")
     used, calculations, failed = structured(routes, facts)
     values = used.select("query_id", F.struct("ticker", "fiscal_year", "metric", "value", "unit").alias("x")).union(calculations.where("error IS NULL").select("query_id", F.struct("ticker", "fiscal_year", "metric", "value", "unit")))
     expected = values.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("expected"))
