@@ -586,6 +586,15 @@ def test_html_running_text_stays(inner):
     assert html_text.main_text(f"<article><h1>T</h1><p>Plain.</p>{inner}<p>End.</p></article>") == "T\nPlain.\nA\nEnd."
 
 
+def test_html_furniture_within_a_page_of_a_blog():
+    page = """<body class="home blog"><header class="site-header"><p>Logo</p></header><a class="skip-link" href="#c">Skip</a><div id="page"><main id="c"><article class="post">
+      <header class="entry-header"><h1>Title &mdash; one</h1></header><div class="entry-content"><p>First <em>text</em>.</p><figure><img src=x><figcaption>A caption</figcaption></figure><blockquote>Quoted</blockquote>
+      <div class="advert">buy</div><ul><li>one<li>two</ul><div class="share-buttons">Share</div><table class="data"><tr><td>c1<td>c2</table><pre>code  here</pre></div><footer class="entry-footer">Tags</footer></article>
+      <section class="related-posts"><h2>More</h2></section><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment"><p>Nice</p></ol><div id="respond"><form><input><p>Leave a reply</p></form></div></div></main>
+      <aside class="widget-area">Side</aside></div><div class="cookie-notice">We use cookies</div><footer>End</footer></body>"""
+    assert html_text.main_text(page) == "Title — one\nFirst text.\nA caption\nQuoted\none\ntwo\nc1\nc2\ncode here"
+
+
 def test_html_forms_and_bodies():
     form = "<form><p>Get our news</p><label>Mail</label><input><button>Go</button></form>"
     assert html_text.main_text(f"<article><h1>T</h1>{form}<div class=ad>b</div><ol class=comments><li>c</ol><p>End.</p></article>") == "T\nEnd."
