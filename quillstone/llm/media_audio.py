@@ -1,7 +1,7 @@
 """MPEG audio media columns: encode bytes as frames, and index any MPEG audio stream.
 
 ``index_audio`` resynchronises frame headers (versions 1, 2 and 2.5, layers I to III), parses ID3v2, ID3v1 and APE tags and
-Xing/Info and VBRI variable-bitrate tables, verifies frame checksums (layers I and III) and returns exact durations, as
+Xing/Info and VBRI variable-bitrate tables, verifies frame checksums (of all three layers) and returns exact durations, as
 sums of samples over their sampling rates, and the byte offset of every frame. Version, layer and rate may change within a stream, to
 another that two frames in a row agree in.
 
@@ -15,6 +15,7 @@ indexing; every input row gives one output row, repeated rows and equal or null
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from fractions import Fraction
@@ -86,6 +87,52 @@ def _covered(h: dict) -> int | None:
     return None
 
 
+# Fixed values of layer II: bits of a band's allocation, from the lowest band on, by table; the lower sampling rates have their own.
+_ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19,
+}
+
+
+@functools.cache
+def _layer2_fields(version: int, rate: int, kbps: int, mono: bool, bound: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """(bits, fields) of a layer II frame's allocation: for each field its distance from the end, its mask, and how many channels it is for."""
+    per_channel = kbps if mono else kbps // 2
+    name = "low" if version != 3 else ("d" if rate == 32000 else "c") if per_channel < 56 else "a" if rate == 48000 or per_channel <= 80 else "b"
+    widths = []
+    for band, bits in enumerate(_ALLOCATION[name]):
+        widths += [(bits, 1)] if mono else [(bits, 1), (bits, 1)] if band < bound else [(bits, 2)]
+    total, at, fields = sum(w for w, _ in widths), 0, []
+    for bits, channels in widths:
+        at += bits
+        fields.append((total - at, (1 << bits) - 1, channels))
+    return total, fields
+
+
+@functools.cache
+def _crc_byte(value: int) -> int:
+    crc = value << 8
+    for _ in range(8):
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if crc & 0x8000 else 0)
+    return crc
+
+
+def layer2_good(frame: bytes, h: dict) -> bool:
+    """Whether the checksum of a layer II frame is that of its header, its allocation and its scale factor selection, two bits for each allocated band and channel."""
+    total, fields = _layer2_fields(h["version"], h["rate"], h["kbps"], h["mono"], h["bound"])
+    held = (total + 7) // 8
+    allocation = int.from_bytes(frame[6 : 6 + held], "big") >> (8 * held - total)
+    bits = total + 2 * sum(channels for shift, mask, channels in fields if allocation >> shift & mask)
+    if len(frame) < 6 + (bits + 7) // 8:
+        return False
+    crc = 0xFFFF
+    for byte in frame[2:4] + frame[6 : 6 + bits // 8]:
+        crc = crc << 8 & 0xFFFF ^ _crc_byte(crc >> 8 ^ byte)
+    for i in range(bits % 8):
+        bit = frame[6 + bits // 8] >> (7 - i) & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc == int.from_bytes(frame[4:6], "big")
+
+
 def id3v2(data: bytes, at: int = 0) -> tuple[int, dict]:
     """The length of a tag at a place (0: none) and its text frames: versions 2.2 to 2.4, with extended headers and unsynchronisation."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(x & 0x80 for x in data[at + 6 : at + 10]):
@@ -162,6 +209,7 @@ def index_stream(data: bytes) -> dict:
     out = {"tags": tags, "vbr": None, "frames": 0, "samples": 0, "rate": 0, "checked": 0, "bad": 0, "skipped": 0, "kbps": set()}
     p, base, first, at_end = start, None, True, end
     seconds = Fraction(0)
+    reach = 16  # frames taken together; doubled while all are good, so that damaged streams are not looked at again and again
     while p + 4 <= at_end:
         h = header(data[p : p + 4])
         same = h and (base is None or (h["version"], h["layer"], h["rate"]) == base)
@@ -176,7 +224,7 @@ def index_stream(data: bytes) -> dict:
             continue
         length = h["length"]
         run = 1
-        if (most := (at_end - p) // length) > 1:  # frames with this very header stand in a row of equal strides
+        if (most := min(reach, (at_end - p) // length)) > 1:  # frames with this very header stand in a row of equal strides
             run = _equal_headers(view[p : p + most * length].reshape(most, length))
         if first and (vbr := vbr_table(data[p : p + length], h)):
             out["vbr"], run, first, base = vbr, 1, False, (h["version"], h["layer"], h["rate"])
@@ -188,9 +236,13 @@ def index_stream(data: bytes) -> dict:
         if h["protected"] and (n := _covered(h)) is not None and length >= 6 + n:
             good = crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + n]], axis=1)) == rows[:, 4].astype(np.uint32) * 256 + rows[:, 5]
             out["checked"] += run
-            if not good.all():  # a false sync or a damaged frame: take what stands before it, then look on from the next byte
-                run = int(good.argmin())
-                out["bad"] += 1
+        elif h["protected"] and h["layer"] == 2:
+            good = np.array([layer2_good(rows[i].tobytes(), h) for i in range(run)])
+            out["checked"] += run
+        reach = 2 * reach if good.all() else 16
+        if not good.all():  # a false sync or a damaged frame: take what stands before it, then look on from the next byte
+            run = int(good.argmin())
+            out["bad"] += 1
         if run:
             offsets.append(p + length * np.arange(run, dtype=np.int64))
             out["frames"], out["samples"], out["rate"] = out["frames"] + run, out["samples"] + run * h["samples"], h["rate"]

@@ -515,6 +515,17 @@ def test_audio_index_of_long_streams_is_linear():
     assert index["seconds"] == pytest.approx(100_000 * 1152 / 44100, abs=1e-9) and index["offsets"][1] == len(plain)
 
 
+def test_audio_index_of_damaged_streams_is_linear():
+    """Forty thousand protected frames with wrong checksums: each is looked at a few times, not as often as there are frames."""
+    import time
+
+    frame = bytearray(media_audio.payload_frames(b"q" * 576, 576)[-648:])
+    frame[8] ^= 1
+    began = time.process_time()
+    index = media_audio.index_stream(bytes(frame) * 40_000)
+    assert time.process_time() - began < 60 and index["bad"] >= 40_000 - 1 and index["frames"] < 5
+
+
 def test_audio_rate_changes_within_a_stream():
     frames = {h: h + bytes(media_audio.header(h)["length"] - 4) for h in (b"\xff\xfb\x90\x00", b"\xff\xfb\x94\x00")}
     a, b = frames.values()
@@ -534,6 +545,40 @@ def test_audio_tags_of_all_versions():
     assert media_audio.id3v2(b"ID3\x03\0\x40" + size(len(extended)) + extended)[1] == {"TIT2": "x"}
 
 
+@pytest.mark.parametrize(("second", "third", "fourth"), [(0xFC, 0xA0, 0x00), (0xFC, 0xA0, 0x50), (0xFC, 0x40, 0xC0), (0xFC, 0x24, 0x00), (0xF4, 0x80, 0x40), (0xFC, 0x18, 0xC0)])
+def test_audio_checksums_of_layer_two(second, third, fourth):
+    """Frames with random allocations, checked bit by bit in a plain version; a bit changed in what the checksum covers is found."""
+    rng = random.Random(second + third + fourth)
+    head = bytes([0xFF, second, third, fourth])
+    h = media_audio.header(head)
+    per = h["kbps"] // (1 if h["mono"] else 2)
+    key = "low" if h["version"] != 3 else ("d" if h["rate"] == 32000 else "c") if per < 56 else "a" if h["rate"] == 48000 or per <= 80 else "b"
+    frames, covered = [], []
+    for _ in range(12):
+        body = "".join(rng.choice("0001") for _ in range(8 * (h["length"] - 6)))
+        at = n = 0
+        for band, width in enumerate(media_audio._ALLOCATION[key]):
+            fields = 1 if h["mono"] or band >= h["bound"] else 2
+            for _ in range(fields):
+                if "1" in body[at : at + width]:
+                    n += 2 * (1 if h["mono"] or fields == 2 else 2)
+                at += width
+        stream = "".join(f"{b:08b}" for b in head[2:]) + body[: at + n]
+        crc = 0xFFFF
+        for bit in stream:
+            high = crc >> 15 ^ int(bit)
+            crc = (crc << 1 & 0xFFFF) ^ (0x8005 if high else 0)
+        frames.append(head + crc.to_bytes(2, "big") + int(body, 2).to_bytes(len(body) // 8, "big"))
+        covered.append(at + n)
+    assert h["layer"] == 2 and h["protected"]
+    media = b"".join(frames)
+    index = media_audio.index_stream(media)
+    assert (index["frames"], index["checked"], index["bad"]) == (12, 12, 0)
+    damaged = bytearray(media)
+    damaged[5 * h["length"] + 6 + (covered[5] - 1) // 8] ^= 0x80 >> (covered[5] - 1) % 8
+    assert media_audio.index_stream(bytes(damaged))["frames"] < 12
+
+
 def test_audio_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert media_audio.digest_audio(media_audio.encode_texts(empty)).count() == 0 == media_audio.index_audio(media_audio.encode_texts(empty)).count()
