@@ -71,6 +71,12 @@ def decimal38_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(grown.select("entity", "fiscal_year", "growth", "cagr"), ["entity", "fiscal_year"])
 
 
+def decimal38_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same strings of 38 digits, rounded to nine places, beside what doubles give."""
+    out = decimal38_ratios(spark, sf_dir)
+    return out.select("entity", "fiscal_year", *(F.round(F.col(c).cast("decimal(38,20)"), 9).cast("double").alias(c) for c in ("operating_margin", "net_margin", "fcf_margin", "growth", "cagr")))
+
+
 def availability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _facts(spark, sf_dir)
     years = facts.select("fiscal_year").distinct()
@@ -157,7 +163,7 @@ FROM (SELECT n_name AS entity, fiscal_year, metric FROM nation, (SELECT DISTINCT
 LEFT JOIN facts f ON f.entity = g.entity AND f.fiscal_year = g.fiscal_year AND f.metric = g.metric)
 """
 
-QUERIES = {f.__name__: f for f in (annual_facts, growth_yoy, growth_cagr, metric_ratios, decimal38_ratios, availability_map, analytics_rows, rank_competition, growth_leaders, resolver_agreement, reconcile_status, display_format, date_span, calculation_errors)}
+QUERIES = {f.__name__: f for f in (annual_facts, growth_yoy, growth_cagr, metric_ratios, decimal38_ratios, decimal38_rounded, availability_map, analytics_rows, rank_competition, growth_leaders, resolver_agreement, reconcile_status, display_format, date_span, calculation_errors)}
 ORACLE_SQL = {
     "annual_facts": _WIDE_SQL + "SELECT entity, fiscal_year, metric, CAST(value AS VARCHAR) AS value FROM facts",
     "growth_yoy": _WIDE_SQL + _GROWN + "SELECT * FROM yoy",
@@ -169,6 +175,10 @@ FROM facts f LEFT JOIN facts b ON b.entity = f.entity AND b.metric = f.metric AN
   round(CASE WHEN revenue > 0 THEN CAST(operating_income AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS operating_margin,
   round(CASE WHEN revenue > 0 THEN CAST(net_income AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS net_margin,
   round(CASE WHEN revenue > 0 THEN CAST(operating_cash_flow - capex AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS fcf_margin FROM wide""",
+    "decimal38_rounded": _WIDE_SQL + f"""SELECT w.entity, w.fiscal_year, round(CAST(operating_income AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS operating_margin, round(CAST(net_income AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS net_margin,
+  round(CAST(operating_cash_flow - capex AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS fcf_margin, round(CAST(w.revenue - p.revenue AS DOUBLE) / CAST(p.revenue AS DOUBLE) * 100, 9) AS growth,
+  round(CASE WHEN w.fiscal_year > {BASE_YEAR} THEN (pow(CAST(w.revenue AS DOUBLE) / CAST(b.revenue AS DOUBLE), 1 / (w.fiscal_year - {BASE_YEAR})) - 1) * 100 END, 9) AS cagr
+FROM wide w LEFT JOIN (SELECT entity, fiscal_year, revenue FROM wide) p ON p.entity = w.entity AND p.fiscal_year = w.fiscal_year - 1 LEFT JOIN (SELECT entity, revenue FROM wide WHERE fiscal_year = {BASE_YEAR}) b ON b.entity = w.entity""",
     "availability_map": _WIDE_SQL + _CELLS + "SELECT * FROM cells",
     "analytics_rows": _WIDE_SQL + _CELLS + """SELECT entity, fiscal_year, coalesce(string_agg(metric || '=' || value, ';' ORDER BY metric) FILTER (value IS NOT NULL), '') AS available,
   coalesce(string_agg(metric || '=' || reason, ';' ORDER BY metric) FILTER (value IS NULL), '') AS unavailable,
