@@ -28,6 +28,7 @@ from quillstone.llm.shared import map_arrow, materialize, maybe_broadcast, table
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK = 6, 16, 4, 24, 4096
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_LONGEST, EPOCHS, BATCH = 1500, 8_000_000, 200_000, 12, 32
 THRESHOLD = 0.7
+HELD_BYTES = 128_000
 
 
 def chunks(data: bytes) -> list[np.ndarray]:
@@ -86,6 +87,36 @@ def gradients(model: dict, state: list, error: float, into: dict) -> None:
         np.add.at(into["embed"], windows[at[live]], back)
 
 
+def forward_all(model: dict, texts: list[bytes]) -> tuple[np.ndarray, dict]:
+    """Logits of several texts by one matrix product, with what their gradients need."""
+    parts = [chunks(t) for t in texts]
+    counts = np.array([len(p) for p in parts])
+    flat = [c for p in parts for c in p]
+    data, sizes = np.concatenate(flat), np.array([len(c) for c in flat])
+    windows = (sizes - WIDTH) // STRIDE + 1
+    begins, firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.concatenate([[0], np.cumsum(windows)[:-1]])
+    starts = np.repeat(begins - STRIDE * firsts, windows) + STRIDE * np.arange(windows.sum())
+    x = np.lib.stride_tricks.sliding_window_view(model["embed"][data].reshape(-1), WIDTH * EMBED)[starts * EMBED]
+    y = x @ model["filters"] + model["shift"]
+    pooled = np.maximum(np.maximum.reduceat(y, firsts, axis=0), 0)
+    ends = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    features = np.concatenate([np.maximum.reduceat(pooled, ends, axis=0), np.add.reduceat(pooled, ends, axis=0) / counts[:, None]], axis=1)
+    return features @ model["out"] + model["bias"][0], {"x": x, "y": y, "data": data, "starts": starts, "firsts": firsts, "windows": windows, "pooled": pooled, "ends": ends, "counts": counts, "features": features}
+
+
+def gradients_all(model: dict, state: dict, errors: np.ndarray) -> dict:
+    """The sums of the texts' gradients for the errors of their logits."""
+    pooled, counts, ends = state["pooled"], state["counts"], state["ends"]
+    at = np.array([state["y"][a : a + n].argmax(0) + a for a, n in zip(state["firsts"], state["windows"], strict=True)])
+    top = np.concatenate([np.arange(n)[:, None] == pooled[a : a + n].argmax(0) for a, n in zip(ends, counts, strict=True)])
+    error = np.repeat(errors, counts)[:, None]
+    g = (error * (model["out"][:FILTERS] * top + model["out"][FILTERS:] / np.repeat(counts, counts)[:, None]) * (pooled > 0)).astype(state["x"].dtype)
+    embed = np.zeros_like(model["embed"])
+    back = (model["filters"].T[None] * g[:, :, None]).reshape(-1, EMBED)
+    np.add.at(embed, state["data"][state["starts"][at][:, :, None] + np.arange(WIDTH)].reshape(-1), back)
+    return {"embed": embed, "filters": np.einsum("cfk,cf->kf", state["x"][at], g), "shift": g.sum(0), "out": errors @ state["features"], "bias": np.array([errors.sum()])}
+
+
 def fit(texts: list[str], labels: list[int], rate: float, epochs: int = EPOCHS) -> dict:
     """Adam over shuffled mini-batches; the bias is moved from the sample's rate of label 1 to the given one."""
     model = start()
@@ -95,14 +126,12 @@ def fit(texts: list[str], labels: list[int], rate: float, epochs: int = EPOCHS)
     for epoch in range(epochs):
         order = rng.permutation(len(data))
         for lo in range(0, len(order), BATCH):
-            grads = {k: np.zeros_like(v) for k, v in model.items()}
             part = order[lo : lo + BATCH]
-            for i in part:
-                logit, state = forward(model, data[i])
-                gradients(model, state, 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i], grads)
+            logits, state = forward_all(model, [data[i] for i in part])
+            grads = gradients_all(model, state, 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y[part])
             n += 1
             for k, g in grads.items():
-                g /= len(part)
+                g = (g / len(part)).astype(model[k].dtype)
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -133,6 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     return fit(texts, ys, rate) if 0 < sum(ys) < len(ys) else {"rate": float(rate)}
 
 
+def _logits(model: dict, texts: list[bytes]) -> list[float]:
+    """Logits of texts together where they are short, each on its own, chunk by chunk, where they are not."""
+    if not texts:
+        return []
+    return forward_all(model, texts)[0].tolist() if sum(map(len, texts)) <= 2 * HELD_BYTES else [forward(model, t)[0] for t in texts]
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every document from its whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,7 +176,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         if "rate" in model:
             return {"doc_id": batch.column(0), "score": [model["rate"]] * batch.num_rows}
-        logits = np.array([forward(model, (t or "").encode("utf-8", "surrogatepass"))[0] for t in batch.column(1).to_pylist()])
+        logits, held = [], []
+        for t in batch.column(1).to_pylist():
+            held.append((t or "").encode("utf-8", "surrogatepass"))
+            if len(held) == BATCH or sum(map(len, held)) > HELD_BYTES:
+                logits, held = [*logits, *_logits(model, held)], []
+        logits = np.array([*logits, *_logits(model, held)])
         return {"doc_id": batch.column(0), "score": (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()}
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")

@@ -403,6 +403,21 @@ def test_quality_chunks_cover_whole_texts():
     assert quality_cnn.forward(model, text)[0] != quality_cnn.forward(model, text[:-1] + b"Z" * 60)[0]
 
 
+def test_quality_texts_together_are_those_one_by_one():
+    model = {k: v.astype(np.float64) for k, v in quality_cnn.start(3).items()}
+    rng = random.Random(1)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 15, 16, 17, 300, 4096, 9001)]
+    logits, state = quality_cnn.forward_all(model, texts)
+    errors = np.array([rng.uniform(-1, 1) for _ in texts])
+    got = quality_cnn.gradients_all(model, state, errors)
+    expected = {k: np.zeros_like(v) for k, v in model.items()}
+    for t, logit, error in zip(texts, logits, errors):
+        one, kept = quality_cnn.forward(model, t)
+        assert one == pytest.approx(logit, abs=1e-9)
+        quality_cnn.gradients(model, kept, error, expected)
+    assert all(np.allclose(got[k], expected[k], atol=1e-9) for k in model)
+
+
 def test_quality_gradient():
     model = quality_cnn.start(1)
     model = {k: v.astype(np.float64) for k, v in model.items()}
