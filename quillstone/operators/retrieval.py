@@ -29,7 +29,8 @@ VECTOR_BLOCK, QUERY_BLOCK, BROADCAST_QUERIES, HELD_ROWS = 4096, 512, 50_000, 4_0
 
 
 def lexical(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """The runs of a-z and 0-9 of the lower-cased text; splitting at what stands between them is faster than extracting them."""
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

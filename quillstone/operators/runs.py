@@ -17,8 +17,6 @@ from quillstone.operators import facts as fact_ops
 from quillstone.session import settled, utc_now
 from quillstone.sources import artifacts
 
-STAGES = ("metadata", "download", "identity", "extraction", "inline_extraction", "financial_resolution", "inline_reconciliation")
-
 
 def acquired(filings: DataFrame, contents: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reports, rejected) out of filings (ticker, accessionNumber, filingDate, reportDate, form, primaryDocument) and contents

@@ -120,14 +120,6 @@ def published(spark: SparkSession, folder: str, name: str, version: str | None =
     return spark.read.parquet(f"{folder}/version={chosen}/{name}")
 
 
-def append_checked(batch: DataFrame, path: str, violations: DataFrame) -> None:
-    """Appends a batch if there are no violations; else nothing is written. For one writer; several need a Ledger."""
-    bad = violations.limit(3).collect()
-    if bad:
-        raise ValueError("; ".join(map(str, bad)))
-    batch.write.mode("append").parquet(path)
-
-
 class Ledger:
     """A table to which several writers append in transactions.
 

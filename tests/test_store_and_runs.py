@@ -400,12 +400,24 @@ def test_command_lines(spark, tmp_path, capsys):
     path = lambda n: str(tmp_path / n)
     spark.createDataFrame([(0, "Apple revenue in 2024", [], [], None, None)], "query_id int, question string, tickers array<string>, years array<int>, annotation_status string, reviewed_version string").write.parquet(path("q"))
     spark.createDataFrame([("AAPL", "1", 2024, "revenue", "120", "USD", D(2024, 1, 1), D(2024, 12, 31), "A", "Revenues")], "ticker string, cik string, fiscal_year int, metric string, value string, unit string, period_start date, period_end date, accession_number string, concept string").write.parquet(path("f"))
-    chunks = spark.createDataFrame([("AAPL", 2024, 1, "Item 1", "words")], "ticker string, fiscal_year int, doc_id int, section string, text string")
+    chunks = spark.createDataFrame([("AAPL", 2024, 1, "Item 1", "explain apple words in 2024")], "ticker string, fiscal_year int, doc_id int, section string, text string")
     chunks.write.parquet(path("c"))
     models.embed(chunks).drop("text", "section").write.parquet(path("v"))
     assert cli.run(["ask", "--questions", path("q"), "--facts", path("f"), "--chunks", path("c"), "--vectors", path("v"), "--output", path("a")], spark) == 0
     assert "$120.00" in spark.read.parquet(path("a")).first()["answer"]
     assert cli.run(["prepare", "--questions", path("q"), "--facts", path("f"), "--output", path("p"), "--version", "v1"], spark) == 0
     assert runs.references(spark, path("p"))[0].first()["reference"] == "derived"
+    artifacts.publish({"reports": spark.createDataFrame([("d", 2024)], "document_id string, fiscal_year int")}, path("corpus"), "v1")
+    assert cli.run(["index", "--chunks", path("c"), "--corpus", path("corpus"), "--index", path("i"), "--version", "v1"], spark) == 0
+    assert artifacts.published(spark, path("i"), "postings", verify=True).count() == 5
+    review = ["export-review", "--questions", path("q2"), "--chunks", path("c"), "--vectors", path("v"), "--output", path("packet"), "--signature", "s"]
+    spark.createDataFrame([(0, "Explain Apple words in 2024", [], [])], "query_id int, question string, tickers array<string>, years array<int>").write.parquet(path("q2"))
+    assert cli.run(review, spark) == 0 and spark.read.parquet(path("packet")).first()["relevant"] is None
+    marked = spark.read.parquet(path("packet")).withColumn("relevant", F.lit(True))
+    marked.write.parquet(path("marked"))
+    spark.createDataFrame([(0, [], "unreviewed", None)], "query_id int, doc_ids array<int>, retrieval_annotation_status string, index_signature string").write.parquet(path("set"))
+    apply = lambda signature, out: cli.run(["apply-review", "--dataset", path("set"), "--original", path("packet"), "--labelled", path("marked"), "--output", path(out), "--signature", signature], spark)
+    assert apply("s", "done") == 0 and spark.read.parquet(path("done")).first()["doc_ids"] == [1]
+    assert apply("t", "no") == 1 and "another index" in capsys.readouterr().err and apply("s", "set") == 1
     with pytest.raises(SystemExit):
         cli.run(["nothing"], spark)
