@@ -109,8 +109,8 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-#: Edges of which a task holds arrays at once.
-EDGE_ROWS = 1_000_000
+#: Edges of which a task holds arrays at once, and neighbours beyond which a node's edges are not gathered by a join.
+EDGE_ROWS, HUB_EDGES = 1_000_000, 100_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +161,9 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
 
     Tasks first contract the edges they hold to stars, EDGE_ROWS at a time, without a shuffle. Where that took several tasks,
     large-star and small-star alternate with it until the edges are stars: every node with its neighbours is linked to the least
-    of them, by a grouped minimum that is combined before the shuffle and a join. Each round is written to the shared folder;
-    the driver gets one number a round. Nodes without an edge are not returned; edges may repeat.
+    of them, by a grouped minimum that is combined before the shuffle and a join; the edges of nodes with more than HUB_EDGES
+    neighbours stay where they are, as the minima of these few nodes are broadcast. Each round is written to the shared folder;
+    the driver gets a few numbers a round. Nodes without an edge are not returned; edges may repeat.
     """
     edges = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), tag)
     for _ in range(rounds):
@@ -174,10 +175,10 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
         if not _unsettled(edges):
             break
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = _joined(both, least, tag).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _joined(large, least, tag)
         edges = materialize(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v"), F.col("m"))).distinct(), tag)
     else:
         raise RuntimeError("components did not settle")
@@ -185,6 +186,16 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
     return materialize(found, tag)
 
 
+def _joined(edges: DataFrame, least: DataFrame, tag: str) -> DataFrame:
+    """Edges (u, v) with the least `m` of their node u, out of least (u, m, c); hubs by a broadcast, all others by a join."""
+    hubs = materialize(least.where(F.col("c") > HUB_EDGES).select("u", "m"), tag)
+    n = hubs.count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return edges.join(least.select("u", "m"), "u")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("c") <= HUB_EDGES).select("u", "m"), "u")
+    return rest.unionByName(edges.join(F.broadcast(hubs), "u"))
+
+
 def _unsettled(edges: DataFrame) -> int:
     """Nodes that are linked to two others, or linked and linked to."""
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("of")).union(edges.select(F.col("v"), F.lit(None)))

@@ -757,11 +757,12 @@ def test_wrapped_licence_notices(spark):
     assert got["under"]["inherited"] == "MPL-2.0" and not got["MPL-2.0 line"]["is_licence_file"] and got["whole"]["is_licence_file"]
 
 
-@pytest.mark.parametrize("edge_rows", [1_000_000, 20])
-def test_components(spark, monkeypatch, edge_rows):
-    """Few edges a task force rounds of star contraction between the tasks."""
+@pytest.mark.parametrize(("edge_rows", "hub"), [(1_000_000, 100_000), (20, 100_000), (20, 3)])
+def test_components(spark, monkeypatch, edge_rows, hub):
+    """Few edges a task force rounds of star contraction between the tasks, with and without hubs."""
     from quillstone.llm import shared
     monkeypatch.setattr(shared, "EDGE_ROWS", edge_rows)
+    monkeypatch.setattr(shared, "HUB_EDGES", hub)
     components = shared.components
 
     rng = random.Random(8)
