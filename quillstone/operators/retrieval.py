@@ -98,21 +98,6 @@ def bm25_of_index(index: dict[str, DataFrame], queries: DataFrame, scopes: DataF
     return _summed(hits.join(small(asked), on), k1, b)
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, scope, doc_id, score) of unit vectors: vectors (scope, doc_id, embedding) by the batch's query vectors.
-
-    For a few queries, which are broadcast if their count allows: one pass over the vectors, no shuffle before the top k.
-    `dense_top_k` is for sets of queries that grow. Vectors of other lengths or that are not finite give no score.
-    """
-    pair = vectors.join(small(queries.select("query_id", F.col("embedding").alias("q")), BROADCAST_QUERIES), F.size("embedding") == F.size("q"))
-    score = F.round(inner_product(F.col("embedding"), F.col("q")), 6)
-    return pair.select("query_id", "scope", "doc_id", score.alias("score")).where(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") < float("inf")))
-
-
 def _packed(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """Blocks of at most n rows, each one Arrow stream in a binary column; with `by`, of rows that stand together and agree in it."""
     ship(rows.sparkSession)

@@ -38,9 +38,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector against all vectors, in the JVM: the best 20 of each label."""
-    scored = ops.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
-    return ops.top_k(scored).select("query_id", "scope", "doc_id", "score")
+    """Every hundredth vector against all vectors: the best 20 of each label."""
+    return ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir)).select("query_id", "scope", "doc_id", "score")
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +70,12 @@ def promote_or_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleave_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ops.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
-    return ops.interleave(ops.top_k(scored), "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
+    """Every hundredth vector against the vectors of the labels up to its own number modulo ten: scopes in turn, six a query."""
+    asked = _vector_queries(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scope")).distinct()
+    scopes = asked.select("query_id").join(labels, F.col("scope") <= F.col("query_id") / 100 % 10)
+    found = ops.dense_top_k(_vectors(spark, sf_dir), asked, scopes=scopes)
+    return ops.interleave(found, "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
 
 
 def mean_pool_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +238,7 @@ g AS (SELECT *, over AND NOT (bool_or(relevant) OVER w AND wrong) AS ok, bool_or
 h AS (SELECT *, bool_or(ok) OVER w AS any_ok, bool_or(spare) OVER w AS any_spare, row_number() OVER (PARTITION BY scope ORDER BY spare DESC, base DESC, doc_id) AS turn FROM g WINDOW w AS (PARTITION BY scope))
 SELECT scope, doc_id, CASE WHEN ok THEN 'threshold' WHEN spare AND turn <= 8 THEN 'promoted' ELSE 'unfiltered' END AS how FROM h
 WHERE ok OR (any_over AND NOT any_ok AND spare AND turn <= 8) OR (any_over AND NOT any_ok AND NOT any_spare AND over)""",
-    "interleave_select": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top) WHERE p <= 6",
+    "interleave_select": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top WHERE scope <= query_id / 100 % 10) WHERE p <= 6",
     "mean_pool_embedding": """WITH d AS (SELECT label AS scope, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 m AS (SELECT scope, dim, sum(CAST(round(x::DOUBLE, 9) AS DECIMAL(28,9)))::DOUBLE / count(*) AS x FROM d GROUP BY ALL)
 SELECT scope, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY scope)), 5) AS x FROM m""",
