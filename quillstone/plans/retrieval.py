@@ -70,11 +70,8 @@ def promote_or_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleave_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector against the vectors of the labels up to its own number modulo ten: scopes in turn, six a query."""
-    asked = _vector_queries(spark, sf_dir)
-    labels = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scope")).distinct()
-    scopes = asked.select("query_id").join(labels, F.col("scope") <= F.col("query_id") / 100 % 10)
-    found = ops.dense_top_k(_vectors(spark, sf_dir), asked, scopes=scopes)
+    """Every hundredth vector against all vectors: labels in turn, six a query."""
+    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
     return ops.interleave(found, "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
 
 
@@ -149,12 +146,6 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def interleave_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector against all vectors: labels in turn, six a query."""
-    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
-    return ops.interleave(found, "scope", ["scope", "doc_id"]).select("query_id", F.col("position").cast("long").alias("position"), "scope", "doc_id")
-
-
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth document as a question to all documents: the best 20 of each language."""
     asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
@@ -205,7 +196,7 @@ scored AS (SELECT query_id, scope, doc_id, round(greatest(0, least(1, 1 / (1 + e
 kept AS (SELECT s.*, text, row_number() OVER (PARTITION BY query_id, s.scope ORDER BY score DESC, doc_id) AS rank FROM scored s JOIN documents d USING (doc_id) WHERE score >= 0.25),
 once AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, scope, text ORDER BY rank, scope, doc_id) = 1)
 SELECT query_id, position, scope, doc_id, score, 'threshold' AS how FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS position FROM once) WHERE position <= 6"""
-QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, bm25_index, scoped_search, dense_search, interleave_search, bm25_search, hybrid_search)}
+QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, bm25_index, scoped_search, dense_search, bm25_search, hybrid_search)}
 _WORDS = ["cyber security", "risk factor", "risk", "business", "cloud", "cloud business", "supply chain", "climate", "competitive", "business description", "plain"]
 _EXPAND_SQL = f"""WITH q AS (SELECT 'What about ' || word || ' for ' || lower(s) || '?' AS question FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT unnest({_WORDS}) AS word)), l AS (SELECT question, lower(question) AS t FROM q)
 SELECT question, concat_ws(' ', question, CASE WHEN contains(t, 'cyber security') OR contains(t, 'cybersecurity') THEN 'Item 1C Cybersecurity risk management' END, CASE WHEN contains(t, 'risk factor') THEN 'Item 1A Risk Factors' END,
@@ -221,7 +212,6 @@ ORACLE_SQL = {
     "hybrid_retrieve": _HYBRID_SQL,
     "dense_search": _DENSE_SQL + "SELECT query_id, scope, doc_id, score, rank FROM top",
     "scoped_search": _SEARCH_SQL + "SELECT query_id, scope, doc_id, score, rank FROM top WHERE own = scope",
-    "interleave_search": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top) WHERE p <= 6",
     "term_frequencies": _POSTS_SQL + "SELECT scope, term, df, CAST(total AS BIGINT) AS total, most FROM df",
     "term_idf": _POSTS_SQL + "SELECT scope, term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": _BM25_SQL,
@@ -238,7 +228,7 @@ g AS (SELECT *, over AND NOT (bool_or(relevant) OVER w AND wrong) AS ok, bool_or
 h AS (SELECT *, bool_or(ok) OVER w AS any_ok, bool_or(spare) OVER w AS any_spare, row_number() OVER (PARTITION BY scope ORDER BY spare DESC, base DESC, doc_id) AS turn FROM g WINDOW w AS (PARTITION BY scope))
 SELECT scope, doc_id, CASE WHEN ok THEN 'threshold' WHEN spare AND turn <= 8 THEN 'promoted' ELSE 'unfiltered' END AS how FROM h
 WHERE ok OR (any_over AND NOT any_ok AND spare AND turn <= 8) OR (any_over AND NOT any_ok AND NOT any_spare AND over)""",
-    "interleave_select": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top WHERE scope <= query_id / 100 % 10) WHERE p <= 6",
+    "interleave_select": _DENSE_SQL + "SELECT query_id, p AS position, scope, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS p FROM top) WHERE p <= 6",
     "mean_pool_embedding": """WITH d AS (SELECT label AS scope, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 m AS (SELECT scope, dim, sum(CAST(round(x::DOUBLE, 9) AS DECIMAL(28,9)))::DOUBLE / count(*) AS x FROM d GROUP BY ALL)
 SELECT scope, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY scope)), 5) AS x FROM m""",

@@ -54,13 +54,13 @@ def test_dense_search_asks_every_hundredth_vector(spark, tables, monkeypatch):
         assert {(r["query_id"], r["scope"], r["doc_id"], r["rank"]) for r in plans.dense_search(spark, out).collect()} == expected
 
 
-def test_interleave_search(spark, tables):
+def test_interleave_select(spark, tables):
     out, rows, _ = tables
     turns = defaultdict(list)
     for q, scope, doc, rank in nearest(rows):
         turns[q].append((rank, scope, doc))
     expected = {(q, n, scope, doc) for q, t in turns.items() for n, (_, scope, doc) in enumerate(sorted(t)[:6], 1)}
-    assert {(r["query_id"], r["position"], r["scope"], r["doc_id"]) for r in plans.interleave_search(spark, out).collect()} == expected
+    assert {(r["query_id"], r["position"], r["scope"], r["doc_id"]) for r in plans.interleave_select(spark, out).collect()} == expected
 
 
 def test_bm25_search_asks_every_hundredth_document(spark, tables):
