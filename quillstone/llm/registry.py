@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillstone.llm import decontaminate, html_text, lang_hd, license_scan, line_dedup, media_audio, near_dup, packing, quality_cnn, suffix_dedup
+from quillstone.llm import bit_sliced, decontaminate, html_text, lang_hd, license_scan, line_dedup, media_audio, near_dup, packing, quality_cnn, spelling, suffix_dedup, whitening
 
 QUERIES: dict = {
     "op1_prefix_join": decontaminate.query,
@@ -16,6 +16,9 @@ QUERIES: dict = {
     "op8_sparse_suffixes": suffix_dedup.query,
     "op9_licence_tfidf": license_scan.query,
     "op10_setsketch": near_dup.query,
+    "op11_errata_trie": spelling.query,
+    "op12_bit_sliced": bit_sliced.query,
+    "op13_tiled_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict = {
@@ -24,4 +27,5 @@ ORACLE_SQL: dict = {
     "op8_sparse_suffixes": suffix_dedup.ORACLE,
     "op9_licence_tfidf": license_scan.ORACLE,
     "op10_setsketch": near_dup.ORACLE,
+    "op11_errata_trie": spelling.ORACLE,
 }

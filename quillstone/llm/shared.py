@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,7 +20,7 @@ from quillstone.functions.shipping import ship
 from quillstone.session import settled as materialize
 from quillstone.session import shared_dir, sweep, table
 
-__all__ = ["as_batch", "ascii_lower", "components", "map_arrow", "map_groups", "materialize", "maybe_broadcast", "parsed", "prepare", "shared_dir", "sorted_groups", "sweep", "table"]
+__all__ = ["as_batch", "ascii_lower", "components", "forest", "map_arrow", "map_groups", "materialize", "maybe_broadcast", "parsed", "prepare", "shared_dir", "sorted_groups", "sweep", "table", "whole_runs"]
 
 #: Rows of small keys that a broadcast may hold; beyond it the same join is a shuffled one.
 BROADCAST_ROWS = 400_000
@@ -103,6 +104,35 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict], s
     return dealt.sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows with equal keys, from batches in which they stand together, of about `rows` rows; with the places where groups start.
+
+    A task holds that many rows and one group more. Keys hold no nulls."""
+
+    def of(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        found = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(found.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = found.column(k)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, found.num_rows - 1)).to_numpy()
+        return found, np.flatnonzero(new)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            found, starts = of(held)
+            cut = int(starts[-1])
+            if cut:
+                yield found.slice(0, cut), starts[:-1]
+            held, n = found.slice(cut).to_batches(), found.num_rows - cut
+    if n:
+        yield of(held)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone, as lower() also maps other letters."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
