@@ -45,9 +45,12 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
 
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(scope, term, df, idf), a negative idf replaced by EPSILON times the scope's mean idf."""
-    n = chunks.groupBy("scope").agg(F.count("*").alias("n"))
-    df = document_frequencies(chunks).join(n, "scope")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return with_idf(document_frequencies(chunks), chunks.groupBy("scope").agg(F.count("*").alias("n")))
+
+
+def with_idf(df: DataFrame, n: DataFrame) -> DataFrame:
+    """(scope, term, df, idf) of counts (scope, term, df) and numbers of documents (scope, n)."""
+    raw = df.join(n, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg((F.sum(F.round("raw", 9).cast("decimal(28,9)")).cast("double") / F.count("*")).alias("mean"))
     return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -98,7 +101,7 @@ def bm25_of_index(index: dict[str, DataFrame], queries: DataFrame, scopes: DataF
     return _summed(hits.join(small(asked), on), k1, b)
 
 
-def _packed(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+def packed(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """Blocks of at most n rows, each one Arrow stream in a binary column; with `by`, of rows that stand together and agree in it."""
     ship(rows.sparkSession)
     schema = "block binary" if by is None else f"{by} {rows.schema[by].dataType.simpleString()}, block binary"
@@ -141,7 +144,7 @@ def _packed(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _matrices(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def matrices(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, row numbers, matrix) of the vectors of each length; vectors with a null in them give NaN."""
     vectors = table.column(column).combine_chunks()
     sizes = np.asarray(vectors.value_lengths().fill_null(-1))
@@ -150,11 +153,16 @@ def _matrices(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray, n
         yield int(size), rows, np.asarray(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), size)
 
 
-def _best_of_blocks(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[pa.Table]:
+def matrix_of(table: pa.Table, column: str) -> np.ndarray:
+    """The vectors of a column of vectors of one length, as rows."""
+    return next((x for _, _, x in matrices(table, column)), np.zeros((0, 0)))
+
+
+def best_of_blocks(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[pa.Table]:
     """(query_id, scope, doc_id, score) of the best k vectors of each scope; vectors are ordered by doc_id."""
     scopes = vectors.column("scope").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    asked = {size: (rows, matrix) for size, rows, matrix in _matrices(queries, "embedding")}
-    for size, rows, matrix in _matrices(vectors, "embedding"):
+    asked = {size: (rows, matrix) for size, rows, matrix in matrices(queries, "embedding")}
+    for size, rows, matrix in matrices(vectors, "embedding"):
         if size not in asked:
             continue
         q_rows, q_matrix = asked[size]
@@ -172,7 +180,7 @@ def _best_of_blocks(vectors: pa.Table, queries: pa.Table, k: int) -> Iterator[pa
             yield pa.table(cols, ["query_id", "scope", "doc_id", "score"])
 
 
-def _best_rows(tables: list[pa.Table], k: int) -> pa.Table:
+def best_rows(tables: list[pa.Table], k: int) -> pa.Table:
     """The best k rows of each (query_id, scope)."""
     rows = pa.concat_tables(tables)
     rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("scope", "ascending"), ("score", "descending"), ("doc_id", "ascending")]))
@@ -197,15 +205,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes:
     blocks = max(1, -(-n // QUERY_BLOCK))
     tasks = max(2, spark.sparkContext.defaultParallelism)
     if scopes is None:
-        asked = _packed(queries.select("query_id", "embedding").repartition(blocks), QUERY_BLOCK).withColumnRenamed("block", "asked")
+        asked = packed(queries.select("query_id", "embedding").repartition(blocks), QUERY_BLOCK).withColumnRenamed("block", "asked")
         dealt = vectors.select("scope", "doc_id", "embedding").repartition(tasks)
-        pairs = _packed(dealt, VECTOR_BLOCK).crossJoin(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked)
+        pairs = packed(dealt, VECTOR_BLOCK).crossJoin(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked)
     else:
         own = queries.select("query_id", "embedding").join(scopes.select("query_id", "scope").distinct(), "query_id")
-        asked = _packed(own.repartition(blocks, "scope").sortWithinPartitions("scope"), QUERY_BLOCK, "scope").withColumnRenamed("block", "asked")
+        asked = packed(own.repartition(blocks, "scope").sortWithinPartitions("scope"), QUERY_BLOCK, "scope").withColumnRenamed("block", "asked")
         some = vectors.select("scope", "doc_id", "embedding").join(small(scopes.select("scope").distinct()), "scope", "left_semi")
         dealt = some.repartition(tasks, "scope", F.pmod(F.hash("doc_id"), F.lit(tasks))).sortWithinPartitions("scope")  # a large scope is dealt to all tasks
-        pairs = _packed(dealt, VECTOR_BLOCK, "scope").join(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked, "scope").select("block", "asked")
+        pairs = packed(dealt, VECTOR_BLOCK, "scope").join(F.broadcast(asked) if n <= BROADCAST_QUERIES else asked, "scope").select("block", "asked")
     kinds = {"query_id": queries.schema["query_id"].dataType, "scope": vectors.schema["scope"].dataType, "doc_id": vectors.schema["doc_id"].dataType}
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -218,10 +226,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scopes:
                 rows = pa.ipc.open_stream(block.as_buffer()).read_all().sort_by("doc_id")
                 of = pa.ipc.open_stream(asks.as_buffer()).read_all()
                 key = hashlib.blake2b(asks.as_buffer(), digest_size=16).digest()
-                found = list(_best_of_blocks(rows, of, k))
+                found = list(best_of_blocks(rows, of, k))
                 if not found:
                     continue
-                held[key] = _best_rows([held[key], *found] if key in held else found, k)
+                held[key] = best_rows([held[key], *found] if key in held else found, k)
                 if sum(t.num_rows for t in held.values()) > most:
                     for best in held.values():
                         yield from best.combine_chunks().to_batches()

@@ -151,17 +151,25 @@ def split_text(text: str, size: int, overlap: int, count: Callable[[str], int])
         start = max(after, start + 1)
 
 
+#: What a chunk never crosses; own_table is the location of a block that is a table.
+SCOPE = ("section", "subsection", "page", "own_table", "is_table")
+
+
 def words(text: str) -> int:
     return len(text.split())
 
 
-def chunk(blocks: DataFrame, size: int = 700, overlap: int = 100, count: Callable[[str], int] = words, scope: tuple[str, ...] = ("section", "is_table")) -> DataFrame:
-    """Chunks of blocks (document_id, ord, text, location, section, is_table), never across a change of scope.
+def chunk(blocks: DataFrame, size: int = 700, overlap: int = 100, count: Callable[[str], int] = words, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """Chunks of blocks (document_id, ord, text, location, section, is_table[, subsection, page]), never across a change of scope: by
+    default a section, subsection, page, or table.
 
     Runs of equal scope are joined by newlines in the JVM; only the cutting is a UDF, over one run at a time. source_spans name the
-    blocks that a chunk touches, with character ranges in them and, for tables, the rows; chunk_id is a digest of all that.
+    blocks that a chunk touches, with their page, character ranges in them and, for tables, the rows; chunk_id is a digest of all that.
+    A row belongs to a span from its first character on, the newline that ends it included.
     """
     ship(blocks.sparkSession)
+    absent = {name: F.lit(None).cast(kind) for name, kind in (("subsection", "string"), ("page", "int")) if name not in blocks.columns}
+    blocks = blocks.withColumns(absent | {"own_table": F.when(F.col("is_table"), F.col("location"))})
 
     @F.pandas_udf("array<struct<first:int,last:int,tokens:int>>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -170,23 +178,24 @@ def chunk(blocks: DataFrame, size: int = 700, overlap: int = 100, count: Callabl
     runs = islands(blocks, ["document_id"], ["ord"], list(scope), "run")
     own = Window.partitionBy("document_id", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("at", F.coalesce(F.sum(F.char_length("text") + 1).over(own), F.lit(0)).cast("int"))
-    part = F.struct("ord", "at", "text", "location", "is_table")
-    joined = placed.groupBy("document_id", "run", "section").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
-    cuts = joined.select("document_id", "run", "section", "parts", "text", F.posexplode(cut(F.col("text"))).alias("n", "c"))
+    part = F.struct("ord", "at", "text", "location", "page", "is_table")
+    of_run = [F.first(c).alias(c) for c in ("section", "subsection", "page")] + [F.bool_and("is_table").alias("is_table")]
+    joined = placed.groupBy("document_id", "run").agg(*of_run, F.array_sort(F.collect_list(part)).alias("parts")).withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
+    cuts = joined.select("document_id", "run", "section", "subsection", "page", "is_table", "parts", "text", F.posexplode(cut(F.col("text"))).alias("n", "c"))
 
     def span(p: Column) -> Column:
         left = F.greatest(F.col("c.first"), p["at"]) - p["at"]
         right = F.least(F.col("c.last"), p["at"] + F.char_length(p["text"])) - p["at"]
         rows = lambda upto: F.char_length(F.substring(p["text"], F.lit(1), upto)) - F.char_length(F.replace(F.substring(p["text"], F.lit(1), upto), F.lit("\n"), F.lit(""))) + 1
         return F.struct(
-            p["location"].alias("location"), left.alias("character_start"), right.alias("character_end"), p["is_table"].alias("table"),
-            F.when(p["is_table"], rows(left)).alias("table_row_start"), F.when(p["is_table"], rows(right)).alias("table_row_end"),
+            p["location"].alias("location"), left.alias("character_start"), right.alias("character_end"), p["page"].alias("page"), p["is_table"].alias("table"),
+            F.when(p["is_table"], rows(left)).alias("table_row_start"), F.when(p["is_table"], rows(F.greatest(left, right - 1))).alias("table_row_end"),
             F.when(p["is_table"], (left > 0) & (F.substring(p["text"], left, F.lit(1)) != "\n")).alias("starts_mid_row"),
-            F.when(p["is_table"], (right < F.char_length(p["text"])) & (F.substring(p["text"], right + 1, F.lit(1)) != "\n")).alias("ends_mid_row"),
+            F.when(p["is_table"], (right < F.char_length(p["text"])) & (F.substring(p["text"], right, F.lit(1)) != "\n")).alias("ends_mid_row"),
         )
 
     spans = F.filter(F.transform("parts", span), lambda s: s["character_end"] > s["character_start"])
     body = F.substring(F.col("text"), F.col("c.first") + 1, F.col("c.last") - F.col("c.first"))
-    out = cuts.select("document_id", "run", "n", "section", body.alias("text"), F.col("c.tokens").alias("token_count"), spans.alias("source_spans"))
+    out = cuts.select("document_id", "run", "n", "section", "subsection", "page", "is_table", body.alias("text"), F.col("c.tokens").alias("token_count"), spans.alias("source_spans"))
     out = out.where(F.size("source_spans") > 0).withColumn("location", F.array_join(F.array_distinct(F.transform("source_spans", lambda s: s["location"])), ", "))
     return out.withColumn("chunk_id", F.left(F.sha2(F.to_json(F.struct("document_id", "n", "run", "section", "source_spans", "text")), 256), F.lit(24)))

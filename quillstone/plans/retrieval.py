@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators import cells, pruned, segments
 from quillstone.operators import retrieval as ops
 from quillstone.session import table
 
@@ -141,16 +142,18 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector against all vectors: the best 20 of each label."""
-    found = ops.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    """Every hundredth vector against an index of all vectors: the best 20 of each label, exactly."""
+    vectors = _vectors(spark, sf_dir)
+    centroids = cells.fit(vectors)
+    found = cells.search(cells.build(vectors, centroids), _vector_queries(spark, sf_dir), centroids)
     return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth document as a question to all documents: the best 20 of each language."""
     asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    scored = ops.bm25(_chunks(spark, sf_dir), asked).withColumn("score", F.round("score", 5))
-    return ops.top_k(scored, positive=True).select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    found = pruned.search(pruned.impacts(pruned.counted(_chunks(spark, sf_dir))), asked, digits=5)
+    return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +163,27 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.retrieve(chunks.drop("embedding"), chunks.select("scope", "doc_id", "embedding"), asked)
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An index that grew: two segments of all documents by parity, a third with new editions of every eleventh, and every seventh removed."""
+    chunks = _chunks(spark, sf_dir)
+    parts = [segments.segment(chunks.where(F.pmod("doc_id", F.lit(2)) == k), f"half{k}") for k in (0, 1)]
+    newer = chunks.where("doc_id % 11 = 5").withColumn("text", F.concat("text", F.lit(" revised edition")))
+    index = segments.replace(segments.joined(*parts), segments.segment(newer, "editions"))
+    return segments.live(segments.remove(index, chunks.where("doc_id % 7 = 3")))
+
+
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the grown index, from the counts of its segments."""
+    return _grown(spark, sf_dir)["terms"].select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+def segmented_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document as a question to the grown index: the best 20 of each language."""
+    asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    found = pruned.search(pruned.impacts(_grown(spark, sf_dir)), asked, digits=5)
+    return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _QUESTIONS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in QUESTIONS) + ") AS q(query_id, query)"
 #: The questions with what their intents add, their vectors, and what English and other sections gain.
 _EXPANDED_SQL = """(VALUES ('q1', 'the and risk of supply chain Item 1A Risk Factors supply chain suppliers manufacturing outsourcing partners', 1, 0.25, 0.0), ('q2', 'licensed under the apache license', 2, 0.0, 0.0),
@@ -196,7 +220,7 @@ scored AS (SELECT query_id, scope, doc_id, round(greatest(0, least(1, 1 / (1 + e
 kept AS (SELECT s.*, text, row_number() OVER (PARTITION BY query_id, s.scope ORDER BY score DESC, doc_id) AS rank FROM scored s JOIN documents d USING (doc_id) WHERE score >= 0.25),
 once AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, scope, text ORDER BY rank, scope, doc_id) = 1)
 SELECT query_id, position, scope, doc_id, score, 'threshold' AS how FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, scope, doc_id) AS position FROM once) WHERE position <= 6"""
-QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, bm25_index, scoped_search, dense_search, bm25_search, hybrid_search)}
+QUERIES = {f.__name__: f for f in (term_frequencies, term_idf, bm25_topk, dense_topk, rrf_fuse, boost_threshold, promote_or_filter, interleave_select, mean_pool_embedding, sigmoid_pool, token_windows, expand_questions, hybrid_retrieve, bm25_index, scoped_search, dense_search, bm25_search, hybrid_search, segmented_terms, segmented_search)}
 _WORDS = ["cyber security", "risk factor", "risk", "business", "cloud", "cloud business", "supply chain", "climate", "competitive", "business description", "plain"]
 _EXPAND_SQL = f"""WITH q AS (SELECT 'What about ' || word || ' for ' || lower(s) || '?' AS question FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT unnest({_WORDS}) AS word)), l AS (SELECT question, lower(question) AS t FROM q)
 SELECT question, concat_ws(' ', question, CASE WHEN contains(t, 'cyber security') OR contains(t, 'cybersecurity') THEN 'Item 1C Cybersecurity risk management' END, CASE WHEN contains(t, 'risk factor') THEN 'Item 1A Risk Factors' END,
@@ -207,7 +231,11 @@ SELECT question, concat_ws(' ', question, CASE WHEN contains(t, 'cyber security'
   CASE WHEN contains(t, 'cloud') AND contains(t, 'business') THEN 'cloud_business' WHEN contains(t, 'cloud') THEN 'cloud' END, CASE WHEN contains(t, 'supply chain') THEN 'supply_chain' END, CASE WHEN contains(t, 'climate') THEN 'climate' END, CASE WHEN contains(t, 'compet') THEN 'competition' END) AS intents FROM l"""
 _SEARCH_SQL = _DENSE_SQL.replace("SELECT q.vec_id AS query_id", "SELECT q.vec_id AS query_id, q.label AS own")
 _BM25_SEARCH_SQL = _BM25_SQL.replace(_QUESTIONS_SQL, "(SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0)")
+#: The documents of the grown index.
+_GROWN_SQL = "(SELECT doc_id, lang, CASE WHEN doc_id % 11 = 5 THEN text || ' revised edition' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
 ORACLE_SQL = {
+    "segmented_terms": _POSTS_SQL.replace("FROM documents", f"FROM {_GROWN_SQL}") + "SELECT scope, term, df, round(idf, 6) AS idf FROM idf",
+    "segmented_search": _BM25_SEARCH_SQL.replace("AS w FROM documents", f"AS w FROM {_GROWN_SQL}"),
     "expand_questions": _EXPAND_SQL,
     "hybrid_retrieve": _HYBRID_SQL,
     "dense_search": _DENSE_SQL + "SELECT query_id, scope, doc_id, score, rank FROM top",
