@@ -50,7 +50,9 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = materialize(gone.groupBy(F.col("doc_id").alias("q_id"), F.col("digest").alias("q_digest")).agg(F.collect_set("pos").alias("q_gone")), "gone")
     # One plan at every size: the documents are dealt by id once and meet their removed lines in a hash table of each partition.
     joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["q_id"]) & (F.xxhash64(docs["text"]) == gone["q_digest"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("q_gone", i))
+    # The struct is bound once for each row, so that lines are split once and picked by place: linear in the lines, however many go.
+    bound = F.array(F.struct(F.split("text", "\n").alias("lines"), F.col("q_gone").alias("gone")))
+    kept = F.transform(bound, lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]), lambda i: F.get(s["lines"], i)))[0]
     text = F.when(F.col("q_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     return joined.select(*(docs[c] for c in docs.columns if c != "text"), text.alias("q_text"), n_lines.cast("long").alias("q_lines"), F.coalesce(F.size("q_gone"), F.lit(0)).cast("long").alias("q_removed"))
