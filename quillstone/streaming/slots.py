@@ -55,7 +55,7 @@ class SlotMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.slot = handle.getValueState("slot", self.kind)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         known = self.slot.get() if self.slot.exists() else None
         digest, state, attempt = known if known else (None, None, 0)
         for row in sorted(rows, key=lambda r: (r["filing_date"] or "", r["document_id"] or "")):
@@ -95,7 +95,8 @@ def outcomes(landed: DataFrame, reader: Callable[[str], dict] = read_filing) ->
 
 
 @contextmanager
-def _rocks(spark: SparkSession) -> Iterator[None]:
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State that outgrows memory, and the only store with timers: for queries that start within."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, _PROVIDER)
@@ -120,7 +121,7 @@ def start(spark: SparkSession, landing: str, folder: str, reader: Callable[[str]
             batch.unpersist()
 
     landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", per_trigger).parquet(landing)
-    with _rocks(spark):
+    with rocks(spark):
         return outcomes(landed, reader).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
