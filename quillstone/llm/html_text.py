@@ -2,29 +2,39 @@
 
 Markup is stripped into lines, one for each block of the page in page order. Text of elements that are page furniture by
 their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
-hidden parts) leaves ``WINDOW`` empty lines in its place, as does text outside the article where the page marks one; menus, that is runs
-of at least WINDOW lines that are links for their most part, or of fewer before the first or after the last other line, count as empty too where no
-article is marked. The text lengths of the lines are summed over a sliding window of
-WINDOW lines. A surge is a line with text before which the window was empty; a dive is the line after which the window is
-empty again. Text between a surge and its dive is kept. An article is marked by an article or main element or role; where there
-is none, by a class or id that names one. On pages that mark none at all, every span is kept, however short beside others.
+hidden parts) leaves ``WINDOW`` empty lines in its place, as does text outside the article where the page marks one (an article or main
+element or role; where there is none, a class or id that names one). Within an article only names that consist of furniture words count.
+
+Where an article is marked, its lines are the text. On all other pages the distribution of text over lines decides:
+
+* A line weighs the characters outside links less those in links. Lines of running text (paragraphs, quotations, headings, captions, preformatted
+  text) weigh three times that, and at least their length: a paragraph that is one link is text. Copyright notices, and rows of at least
+  WINDOW lines that are links for their most part, weigh nothing.
+* Weights are summed over a sliding window of WINDOW lines. A surge is a line with weight at which the sum reaches ``THRESHOLD`` (or half
+  of the greatest sum, on pages with little text); its dive is the next line at which the sum is below it again. Lines at the front of such a span that are
+  no running text and do not reach the threshold on their own are there for what follows them, and are cut.
+* What is kept is all between the first surge and the last dive but lines that weigh nothing, with the running text that directly goes before or comes after,
+  empty lines aside.
 
 Character references are decoded, white space (as Unicode has it) inside a block is turned into one space, blocks are
-trimmed and joined by newlines. A null or empty page gives an empty text; each row gives one row; nothing is capped.
+trimmed and joined by newlines. A null or empty page gives an empty text; each row gives one row; nothing is capped; other columns, whatever their
+names are, are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
+from itertools import dropwhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm.shared import map_arrow, table
 
-WINDOW = 3
+WINDOW, THRESHOLD = 3, 80
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ENDS = re.compile(r">|=\s*([\"'])")
@@ -49,7 +59,11 @@ _NEGATIONS = frozenset("with has no without".split())
 _CLOSES_P = _BLOCK - {"body", "html"}
 _LISTED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDERS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "div")
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
+#: What goes before and what follows furniture words in names that consist of them.
+_LEADS = _ARTICLE | frozenset("blog page reader site user".split())
+_PARTS = frozenset("area bar block box button buttons container content form group inner link left links list outer panel placeholder right section slot tools unit wrap wrapper".split())
+_NOTICE = re.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 #: A form with fewer characters of text a control is one to fill in; any other wraps text.
 FORM_TEXT = 200
 
@@ -82,8 +96,13 @@ def _dropped(tag: str, attrs: dict, in_article: bool) -> bool:
             continue
         if " ".join(words) in _NAMED_PAIRS:
             return True
+        if in_article:
+            own = list(dropwhile(_LEADS.__contains__, words))
+            if own and own[0] in _FURNITURE and own != ["advertising"] and all(x in _FURNITURE or x in _ALONE or x in _PARTS for x in own):
+                return True
+            continue
         of_article = not _ARTICLE.isdisjoint(words)
-        if words[-1] in _FURNITURE or not of_article and not _FURNITURE.isdisjoint(words) or "header" in words and not in_article and not of_article:
+        if words[-1] in _FURNITURE or not of_article and not _FURNITURE.isdisjoint(words) or "header" in words and not of_article:
             return True
     return False
 
@@ -130,7 +149,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
 
 
 def lines_of(page: str, by_name: bool = False) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in an article, is a heading) of every block; stripped furniture leaves empty lines."""
+    """(text, characters in links, in an article, is running text) of every block; stripped furniture leaves empty lines."""
     out: list[tuple[str, int, bool, bool]] = []
     buffer: list[str] = []
     linked = 0
@@ -140,15 +159,15 @@ def lines_of(page: str, by_name: bool = False) -> list[tuple[str, int, bool, boo
     forms: list[list] = []  # depth, lines before, controls, whether it wraps an article
     skip_from = -1  # depth of the element that is being dropped
     articles = links = 0
-    heading = False
+    running = False
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked, running
         text = " ".join("".join(buffer).split())
         if text:
-            out.append((text, linked, articles > 0, heading))
+            out.append((text, linked, articles > 0, running))
         buffer.clear()
-        linked, heading = 0, False
+        linked, running = 0, False
 
     def gap() -> None:
         flush()
@@ -257,59 +276,75 @@ def lines_of(page: str, by_name: bool = False) -> list[tuple[str, int, bool, boo
         push(tag, article)
         articles += article
         links += tag == "a"
-        if tag in _HEADINGS and skip_from < 0:
-            heading = True
+        if tag in _RUNNING and skip_from < 0:
+            running = True
     flush()
     while forms:
         judge()
     return out
 
 
-def spans(lengths: list[int]) -> list[tuple[int, int]]:
-    """Spans of lines between a surge and its dive: where sums over WINDOW lines rise from zero and fall to zero again."""
-    out, start, n = [], None, len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    for i in range(n):
-        if start is None and lengths[i]:
+def weights(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """What each line counts for; 0 for empty ones, notices, rows of links and single links that are no running text."""
+    out, row = [0] * len(lines), []
+    for i, (text, linked, _, running) in enumerate([*lines, ("end", 0, False, False)]):
+        if text and len(text) <= 2 * linked:
+            row.append(i)
+        elif text:
+            if len(row) >= WINDOW:
+                for k in row:
+                    out[k] = 0
+            row = []
+        if i < len(lines) and text and not _NOTICE.search(text):
+            own = max(0, len(text) - 2 * linked)
+            out[i] = max(len(text), 3 * own) if running else own
+    return out
+
+
+def spans(weight: list[int], running: list[bool]) -> list[tuple[int, int]]:
+    """Spans of lines from a surge to its dive, by sums of weights over WINDOW lines; light lines at the front are cut."""
+    n = len(weight)
+    sums = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        sums[i] = sums[i + 1] + weight[i] - (weight[i + WINDOW] if i + WINDOW < n else 0)
+    least = min(THRESHOLD, max(sums) / 2)
+    out: list[tuple[int, int]] = []
+    start = None
+    for i in range(n + 1):
+        dense = i < n and sums[i] >= least and sums[i] > 0
+        if start is None and dense and weight[i] and (running[i] or weight[i] >= least):
             start = i
-        elif start is not None and not sums[i]:
+        elif start is not None and not dense:
             out.append((start, i))
             start = None
-    return out + ([(start, n)] if start is not None else [])
+    return out
 
 
-def without_menus(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
-    """The lines' texts, empty for menus: WINDOW or more lines of links in a row, or fewer that no other text follows or precedes.
-    Text of other lines and single links between them stay. Empty lines do not end a row."""
-    out = [text for text, *_ in lines]
-    rows: list[list[int]] = [[]]  # lines of links, divided by other lines
-    for i, (text, linked, *_) in enumerate(lines):
-        if text and len(text) > 2 * linked:
-            rows.append([])
-        elif text:
-            rows[-1].append(i)
-    for n, row in enumerate(rows):
-        if len(row) >= WINDOW or n in (0, len(rows) - 1):
-            for i in row:
-                out[i] = ""
-    return out
+def dense_lines(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """Places of the lines that the distribution keeps: between the first surge and the last dive, and running text next to them."""
+    weight, running = weights(lines), [r for *_, r in lines]
+    found = spans(weight, running)
+    if not found:
+        return []
+    first, last = found[0][0], found[-1][1] - 1
+    filled = [i for i, (text, *_) in enumerate(lines) if text]
+    at, end = bisect.bisect_left(filled, first), bisect.bisect_right(filled, last)
+    while at > 0 and running[filled[at - 1]] and weight[filled[at - 1]]:
+        at -= 1
+    while end < len(filled) and running[filled[end]] and weight[filled[end]]:
+        end += 1
+    return [i for i in filled[at:end] if weight[i]]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(article for text, _, article, _ in lines if text)
-    if not marked:
+    if not any(article for text, _, article, _ in lines if text):
         lines = lines_of(page, by_name=True)
-        marked = any(article for text, _, article, _ in lines if text)
-    if marked:
-        kept = [text if article else "" for text, _, article, _ in lines]
-        found = spans([len(x) for x in kept])
-    else:
-        kept = without_menus(lines)
-        found = spans([len(x) for x in kept])
-    return "\n".join(x for a, b in found for x in kept[a:b] if x)
+    if any(article for text, _, article, _ in lines if text):
+        return "\n".join(text for text, _, article, _ in lines if text and article)
+    return "\n".join(lines[i][0] for i in dense_lines(lines))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", column: str = "html") -> DataFrame:

@@ -688,20 +688,55 @@ def test_html_hostile_pages_take_linear_time(name):
 
 
 def test_line_block_spans_against_brute_force():
-    """A line lies in a span if it has text, or if text before it in the span is not followed by a whole empty window."""
+    """Sums are those of the lines ahead; a span starts at a line that carries the surge and ends at the dive."""
     rng = random.Random(1)
-    for _ in range(300):
-        lengths = [rng.choice((0, 0, 0, 5, 9)) for _ in range(rng.randint(0, 30))]
-        inside = set()
-        for i, x in enumerate(lengths):
-            last = max((j for j in range(i + 1) if lengths[j]), default=None)
-            if last is not None and (last == i or not any(all(y == 0 for y in lengths[j : j + html_text.WINDOW]) for j in range(last + 1, i + 1))):
-                inside.add(i)
-        assert {i for a, b in html_text.spans(lengths) for i in range(a, b)} == inside
-
-
-def test_line_block_spans():
-    assert html_text.spans([0, 5, 0, 4, 0, 0, 0, 7]) == [(1, 4), (7, 8)] and html_text.spans([]) == [] and html_text.spans([3]) == [(0, 1)]
+    for _ in range(500):
+        weight = [rng.choice((0, 0, 0, 5, 30, 90, 200)) for _ in range(rng.randint(0, 25))]
+        running = [rng.random() < 0.3 for _ in weight]
+        sums = [sum(weight[i : i + html_text.WINDOW]) for i in range(len(weight))]
+        least = min(html_text.THRESHOLD, max(sums, default=0) / 2)
+        inside, runs = set(), "".join("x" if s and s >= least else " " for s in sums)
+        for m in re.finditer("x+", runs):
+            starts = [i for i in range(*m.span()) if weight[i] and (running[i] or weight[i] >= least)]
+            inside |= set(range(starts[0], m.end())) if starts else set()
+        assert {i for a, b in html_text.spans(weight, running) for i in range(a, b)} == inside
+    assert html_text.spans([], []) == [] and html_text.spans([0, 0], [True, True]) == [] and html_text.spans([3], [False]) == [(0, 1)]
+
+
+BODY = "".join(f"<p>Paragraph {i} of the story has a good many words in it, so that it is dense.</p>" for i in range(4))
+BODY_TEXT = "\n".join(f"Paragraph {i} of the story has a good many words in it, so that it is dense." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "text"),
+    [
+        ("<div><a>Home</a> | Contact us</div>", "<div>(c) 2020 Example Ltd. All rights reserved. Terms and privacy</div>", BODY_TEXT),
+        ("<h1>Title</h1>", "<p>The end.</p><div>Example Ltd, Main Street</div>", f"Title\n{BODY_TEXT}\nThe end."),
+        ("", "<p><a href=x>Read the whole report that this story rests on here</a></p>", f"{BODY_TEXT}\nRead the whole report that this story rests on here"),
+        ("<p><a href=x>First of all, read what was said before</a></p>", "<div><a href=y>Top</a></div>", f"First of all, read what was said before\n{BODY_TEXT}"),
+        ("<ul>" + "".join(f"<li><a href=x>A rather long entry of a menu, number {i}</a></li>" for i in range(8)) + "</ul>", "<p>Copyright 2021 by the makers of this page</p>", BODY_TEXT),
+        ("".join(f"<p><a href=x>Link {i}</a></p>" for i in range(5)), "<div>Terms</div><div>Privacy</div><div>Imprint</div>", BODY_TEXT),
+    ],
+)
+def test_html_density_decides_on_unmarked_pages(before, after, text, monkeypatch):
+    page = f"<body>{before}{BODY}{after}</body>"
+    assert html_text.main_text(page) == text
+    monkeypatch.setattr(html_text, "spans", lambda weight, running: [(0, len(weight))] if weight else [])
+    monkeypatch.setattr(html_text, "weights", lambda lines: [len(t) for t, *_ in lines])
+    assert (html_text.main_text(page) == text) == (text.count("\n") + 1 == page.count("</p>") + page.count("</h1>") + page.count("</div>") + page.count("</li>"))
+
+
+def test_html_density_without_paragraphs():
+    """Text in boxes and cells alone: dense boxes stay, short ones around them go, short ones between them stay."""
+    long = "Words of a story that stand in a box of their own, with no paragraph around them at all, as some pages have it."
+    page = f"<div>Home</div><div>News</div><div>{long}</div><div>Figure 1</div><div>{long}</div><div>Contact</div>"
+    assert html_text.main_text(page) == f"{long}\nFigure 1\n{long}"
+    assert html_text.main_text("<div>no</div>") == "no" and html_text.main_text("<div><a href=x>only a link</a></div>") == ""
+
+
+@pytest.mark.parametrize("name", ["class=social-history", "id=advertising", "class=menu-items"])
+def test_html_names_in_an_article_must_consist_of_furniture(name):
+    assert html_text.main_text(f"<article><h1>T</h1><div {name}><p>Plain.</p></div><div class='ad-slot'>b</div><div class='social share-buttons'>c</div></article>") == "T\nPlain."
 
 
 def test_licences(spark):
