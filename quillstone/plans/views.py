@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import views
+from quillstone.operators import guards, views
 from quillstone.session import table
 
 
@@ -53,13 +53,27 @@ def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", views.canonical_digest(F.col("props")).alias("digest"))
 
 
+def props_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in each event's properties, which two of every eight state rightly; the others as text, null, not at all, in a list, as no JSON, or not themselves there."""
+    n = F.get_json_object("props", "$.k")
+    made = [F.concat(F.lit('{"k": "'), n, F.lit('"}')), F.lit('{"k": null}'), F.lit('{"j": 1}'), F.concat(F.lit("["), n, F.lit("]")), F.lit('{"k": ')]
+    props = F.lit(None).cast("string")
+    for i, text in enumerate(made):
+        props = F.when(F.col("event_id") % 8 == i, text).otherwise(props)
+    props = F.when(F.col("event_id") % 8 > 5, F.col("props")).otherwise(props)
+    return guards.guarded(table(spark, sf_dir, "events").select("event_id", props.alias("props")), "props", {"k": ("$.k", "whole", "bigint")}).select("event_id", "k_state", F.col("k").cast("string").alias("k"))
+
+
 def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("v"), F.count("*").alias("n"))
     return rows.select("l_suppkey", F.round(views.measured_fraction(F.round("v", 9) * 12, F.col("n")), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (search_rows, shown_values, chart_bars, chart_domain, chart_grid, page_of_orders, recently_opened, canonical_digests, fractions)}
+QUERIES = {f.__name__: f for f in (search_rows, shown_values, chart_bars, chart_domain, chart_grid, page_of_orders, recently_opened, canonical_digests, props_guard, fractions)}
 ORACLE_SQL = {
+    "canonical_digests": """SELECT event_id, sha256('{"k": ' || CAST(json_extract(props, '$.k') AS BIGINT) || '}') AS digest FROM events""",
+    "props_guard": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'wrong type' WHEN 1 THEN 'null' WHEN 2 THEN 'absent' WHEN 3 THEN 'absent' WHEN 4 THEN 'no document' WHEN 5 THEN 'no document' ELSE 'ok' END AS k_state,
+  CASE WHEN event_id % 8 > 5 THEN json_extract_string(props, '$.k') END AS k FROM events""",
     "search_rows": "SELECT p_partkey, p_brand FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1') AND p_size = 7",
     "shown_values": """WITH v AS (SELECT c_custkey, c_nationkey % 3 AS k, CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_acctbal AS DECIMAL(18,2)) END AS v FROM customer),
 f AS (SELECT *, CASE WHEN v < 0 THEN '-' ELSE '' END AS s, regexp_replace(printf('%.2f', abs(v)), '(\\d)(\\d{3}\\.)', '\\1,\\2') AS a FROM v)

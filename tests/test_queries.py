@@ -50,7 +50,7 @@ def _count(name, where="true"):
 
 #: How many rows a query without SQL has; what they hold is in the tests of its operator.
 EXPECTED_ROWS = {
-    "canonical_digests": _count("events"), "narrative_documents": _count("conversations"), "normalize_text": _count("documents"), "engine_ask": lambda spark: 9, "decimal38_ratios": lambda spark: registry.QUERIES["metric_ratios"](spark, SF).count(),
+    "narrative_documents": _count("conversations"), "normalize_text": _count("documents"), "engine_ask": lambda spark: 9, "decimal38_ratios": lambda spark: registry.QUERIES["metric_ratios"](spark, SF).count(),
     "html_blocks": lambda spark: sum(len(html_blocks_of(r["html"])) for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()),
     "chunk_documents": lambda spark: _chunks(spark),
 }
