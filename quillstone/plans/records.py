@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import checks, evaluation, evidence, facts, ingestion, store, views, xbrl
@@ -13,6 +13,7 @@ from quillstone.plans import text as text_plans
 from quillstone.session import own_dir, table
 from quillstone.sources import filings
 from quillstone.streaming import events as streams
+from quillstone.streaming import slots, throttle
 
 _RULE = ("check", "key", "reason")
 
@@ -224,13 +225,55 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("k string").parquet(f"{folder}/out")
 
 
+def slot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as slots of a streamed ingestion in two runs from one checkpoint: filings that are missing, of another company or year, or no annual
+    report fail their slots; the second run brings the right filing of those of another company and reads nothing again."""
+    folder = f"{own_dir(spark)}/slots-{uuid.uuid4().hex}"
+    kind = F.col("s_suppkey") % 5
+    cik, year = F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), 2024
+
+    def landed(own: Column, stated: Column, form: Column) -> DataFrame:
+        field = lambda name, value: F.concat(F.lit(f'<ix:nonNumeric name="dei:{name}">'), value, F.lit("</ix:nonNumeric>"))
+        page = F.concat(F.lit("<html><body>"), field("DocumentType", form), field("DocumentFiscalYearFocus", stated), field("EntityCentralIndexKey", own), F.lit("<p>"), F.col("s_name"), F.lit("</p></body></html>"))
+        ticker = F.concat(F.lit("S"), F.col("s_suppkey"))
+        return table(spark, sf_dir, "supplier").select(ticker.alias("ticker"), F.lit(year).alias("fiscal_year"), ticker.alias("document_id"), cik.alias("cik"), F.lit("2025-02-01").alias("filing_date"), F.when(kind > 0, page).alias("content"))
+
+    first = landed(F.when(kind == 1, F.lit("1")).otherwise(cik), F.when(kind == 2, "2020").otherwise("2024"), F.when(kind == 3, "10-K/A").otherwise("10-K"))
+    first.repartition(4).write.parquet(f"{folder}/landing")
+    slots.start(spark, f"{folder}/landing", folder, per_trigger=2).awaitTermination()
+    landed(cik, F.lit("2024"), F.lit("10-K")).where(F.col("document_id").substr(2, 20).cast("long") % 5 == 1).write.mode("append").parquet(f"{folder}/landing")
+    slots.start(spark, f"{folder}/landing", folder, per_trigger=2).awaitTermination()
+    every = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("ticker"), F.lit(year).alias("fiscal_year"))
+    found = slots.states(spark, folder, every)
+    held = slots.blocks(spark, folder, found).groupBy("ticker").agg(F.max("text").alias("text"))
+    return found.join(held, "ticker", "left").select("ticker", "state", "reason", F.col("attempt").cast("long").alias("attempt"), "text")
+
+
+def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests to a host for each kind of event, released by timers 500 ms apart at least; a last request an hour later lets the watermark pass them all."""
+    folder = f"{own_dir(spark)}/requests-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("host"), F.lit(-1).cast("long").alias("request_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    events.coalesce(1).write.parquet(f"{folder}/in")
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = streams.read_folder(spark, f"{folder}/in", events.schema)
+    with slots.rocks(spark):
+        run = throttle.released(stream, spacing=0.5).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("host string, request_id long, go_at double").parquet(f"{folder}/out").select("host", "request_id", F.round(F.col("go_at") * 1000).cast("long").alias("go_at_ms"))
+
+
 _ALL = (
     company_slots, report_metadata, one_candidate, manifest_rules, stated_dates, identity_rules, inline_summary, fact_rules, unblocked_facts, rank_strings, chunk_counts, chunk_rules, citation_forms, label_rules, trace_order, macro_means, claims_together, abstention_texts, statements,
-    present_fields, last_audit, source_hashes, entity_rules, stream_once,
+    present_fields, last_audit, source_hashes, entity_rules, stream_once, slot_runs, timed_requests,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _STATEMENT_SQL = ", ".join(f"('{m}', '{name}', '{'EPS' if m == 'eps' else m.replace('_', ' ').title()}')" for name, ms in views.STATEMENTS.items() for m in ms) + ", ('other_metric', NULL, 'Other Metric')"
 ORACLE_SQL = {
+    "slot_runs": """SELECT 'S' || s_suppkey AS ticker, CASE WHEN s_suppkey % 5 IN (1, 4) THEN 'completed' ELSE 'failed' END AS state, CASE s_suppkey % 5 WHEN 0 THEN 'not downloaded' WHEN 2 THEN 'fiscal year differs' WHEN 3 THEN 'not an annual report' END AS reason,
+  CAST(CASE WHEN s_suppkey % 5 = 1 THEN 2 ELSE 1 END AS BIGINT) AS attempt, CASE WHEN s_suppkey % 5 IN (1, 4) THEN s_name END AS text FROM supplier""",
+    "timed_requests": """SELECT host, request_id, CAST(round(i * 500 + max(epoch_us(ts) / 1000.0 - i * 500) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS go_at_ms
+FROM (SELECT event_type AS host, event_id AS request_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)""",
     "company_slots": "SELECT ticker, company, cik, fiscal_year FROM (VALUES ('AAPL', 'Apple', '0000320193'), ('MSFT', 'Microsoft', '0000789019'), ('AMZN', 'Amazon', '0001018724')) AS c(ticker, company, cik) CROSS JOIN (SELECT unnest([2022, 2023, 2024]) AS fiscal_year)",
     "report_metadata": """SELECT o_orderkey, 'AAPL-' || a AS document_id, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || replace(a, '-', '') || '/r.htm' AS source_url, strftime(o_orderdate, '%Y-%m-%d') AS period_end
 FROM (SELECT *, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS a FROM orders)""",
