@@ -57,10 +57,10 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments and nations that were asked for and that no customer of a few urgent orders covers."""
+    """Segments and nations that were asked for and that no customer of an urgent order of 490,000 or more covers."""
     customers = table(spark, sf_dir, "customer")
     registry = customers.select(F.lit("r").alias("request_id"), F.col("c_custkey").cast("string").alias("evidence_id"), F.col("c_mktsegment").alias("ticker"), F.col("c_nationkey").alias("fiscal_year"))
-    claims = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_custkey % 97 = 3").select(F.lit("r").alias("request_id"), F.array(F.col("o_custkey").cast("string")).alias("citation_ids"))
+    claims = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice >= 490000").select(F.lit("r").alias("request_id"), F.array(F.col("o_custkey").cast("string")).alias("citation_ids"))
     asked = customers.select(F.lit("r").alias("request_id"), F.col("c_mktsegment").alias("ticker")).distinct().crossJoin(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fiscal_year"))))  # segments by nations
     return evidence.uncovered(asked, claims, registry).select(F.col("ticker").alias("segment"), F.col("fiscal_year").alias("nation"))
 
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "evidence_ids": "SELECT doc_id, 'EVIDENCE_' || lang || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS evidence_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)",
     "citation_check": "SELECT o_orderkey AS claim, 'unknown citation ' || o_custkey AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
     "coverage_missing": """SELECT s.segment, n_nationkey AS nation FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer) s, nation
-WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_custkey % 97 = 3 AND c_mktsegment = s.segment AND c_nationkey = n_nationkey)""",
+WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 490000 AND c_mktsegment = s.segment AND c_nationkey = n_nationkey)""",
     "context_reduce": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1 AS protected FROM documents),
 b AS (SELECT *, sum(CASE WHEN protected THEN n_chars ELSE 0 END) OVER (PARTITION BY source) AS fixed, sum(n_chars) OVER (PARTITION BY source, protected ORDER BY n_chars DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM a)
 SELECT doc_id, source, protected, fixed <= 50000 AS fits FROM b WHERE protected OR fixed + upto <= 50000""",

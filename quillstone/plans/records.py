@@ -81,7 +81,7 @@ def inline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reports with one stored fact each, of wrong provenance, concepts, units, values, signs or periods here and there."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     k, year = F.col("o_orderkey"), F.year("o_orderdate")
     day = lambda m, d: F.make_date(year, F.lit(m), F.lit(d))
     reports = o.select(k.cast("string").alias("document_id"), F.lit("T").alias("ticker"), year.alias("fiscal_year"), F.lit("A").alias("accession_number"), day(12, 31).cast("string").alias("period_end"))
@@ -163,7 +163,7 @@ def claims_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as claims of an answer: one tells an amount, another a movement; together they are refused."""
     x = table(spark, sf_dir, "lineitem")
     said = F.when(F.col("l_returnflag") == "R", "Revenue is described.").when(F.col("l_returnflag") == "A", "Headcount grew.").otherwise("Suppliers vary.")
-    rows = x.where("l_linenumber < 3").select(F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_linenumber").alias("claim"), said.alias("text"), F.array().cast("array<int>").alias("allowed_years"))
+    rows = x.select(F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_linenumber").alias("claim"), said.alias("text"), F.array().cast("array<int>").alias("allowed_years"))
     return evidence.unsafe_requests(rows)
 
 
@@ -285,8 +285,8 @@ FROM (SELECT *, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(ye
     "identity_rules": """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE o_orderkey % 13 WHEN 0 THEN 'identity field missing or stated in several ways' WHEN 1 THEN CASE WHEN o_custkey <> 7 THEN 'CIK differs' END WHEN 2 THEN 'not an annual report' WHEN 3 THEN 'amendment' WHEN 4 THEN 'not a full year' WHEN 5 THEN 'fiscal year differs'
   WHEN 6 THEN 'period end is no date' WHEN 7 THEN 'period end differs' WHEN 8 THEN 'filed before the period ended' END AS reason FROM orders""",
     "inline_summary": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS parsed_count, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS unresolved_count FROM orders",
-    "fact_rules": """SELECT "check", reason, count(*) AS n FROM (SELECT 'fact' AS "check", CASE o_orderkey % 7 WHEN 1 THEN 'provenance differs' WHEN 2 THEN 'concept is not one of the metric' WHEN 3 THEN 'unit or kind differs' WHEN 4 THEN 'value is not a finite decimal' WHEN 5 THEN 'negative value' WHEN 6 THEN 'not an annual period' END AS reason FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT 'key', 'missing' FROM orders, range(10) WHERE o_orderkey % 5 = 0) WHERE reason IS NOT NULL GROUP BY ALL""",
+    "fact_rules": """SELECT "check", reason, count(*) AS n FROM (SELECT 'fact' AS "check", CASE o_orderkey % 7 WHEN 1 THEN 'provenance differs' WHEN 2 THEN 'concept is not one of the metric' WHEN 3 THEN 'unit or kind differs' WHEN 4 THEN 'value is not a finite decimal' WHEN 5 THEN 'negative value' WHEN 6 THEN 'not an annual period' END AS reason FROM orders
+  UNION ALL SELECT 'key', 'missing' FROM orders, range(10)) WHERE reason IS NOT NULL GROUP BY ALL""",
     "unblocked_facts": """WITH i AS (SELECT l_orderkey, l_suppkey, l_linenumber, year(l_shipdate) AS y, l_returnflag FROM lineitem WHERE l_quantity = 50)
 SELECT l_suppkey AS ticker, year(l_shipdate) AS fiscal_year, l_returnflag AS metric, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.l_orderkey = x.l_orderkey AND i.l_returnflag = x.l_returnflag)
   AND NOT EXISTS (SELECT 1 FROM i WHERE i.l_linenumber = 1 AND i.l_suppkey = x.l_suppkey AND i.y = year(x.l_shipdate) AND i.l_returnflag = x.l_returnflag) GROUP BY ALL""",
@@ -302,7 +302,7 @@ WHERE doc_id % 9 < 5""",
     "trace_order": """WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY rank, lang, doc_id) AS position FROM r""",
     "macro_means": "SELECT event_type, round(CAST(sum(CASE WHEN value > 20 THEN CAST(round(value, 4) AS DECIMAL(18,4)) END) AS DOUBLE) / count(*) FILTER (value > 20), 4) AS v, count(*) FILTER (value > 20) AS v_n FROM events GROUP BY 1",
-    "claims_together": """SELECT CAST(l_orderkey AS VARCHAR) AS request_id, 'narrative holds numbers, changes or addresses' AS reason FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A')""",
+    "claims_together": """SELECT CAST(l_orderkey AS VARCHAR) AS request_id, 'narrative holds numbers, changes or addresses' AS reason FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A')""",
     "abstention_texts": """SELECT event_id, CASE event_type WHEN 'click' THEN 'The request took too long.' WHEN 'error' THEN 'Some Category.' WHEN 'view' THEN 'The data and evidence at hand do not support an answer.' ELSE 'Plain words.' END AS said FROM events""",
     "statements": f"SELECT metric, statement, label FROM (VALUES {_STATEMENT_SQL}) AS v(metric, statement, label)",
     "present_fields": "SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal > 0 THEN 'balance' END, CASE WHEN c_custkey % 2 = 0 THEN 'nation' END, 'segment') AS fields, c_mktsegment AS segment FROM customer",

@@ -126,7 +126,7 @@ def provider_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as a review: some excerpts changed, left out, added, unlabelled, labelled twice, or of another index."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 2000").select((F.col("doc_id") % 50).alias("query_id"), "doc_id", F.substring("text", 1, 100_000).alias("text"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("query_id"), "doc_id", "text")
     original = runs.packet(d.where("doc_id % 23 <> 5"), "v1")
     label = F.when(F.col("doc_id") % 29 != 0, F.col("doc_id") % 2 == 0)
     back = d.where("doc_id % 31 <> 7").select("query_id", "doc_id", F.when(F.col("doc_id") % 37 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), label.alias("relevant"), F.when(F.col("doc_id") % 41 == 9, "v0").otherwise("v1").alias("index_signature"))
@@ -156,8 +156,9 @@ def calculation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and years as reports, with the number of orders where there are any."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    counted = orders.where("o_orderstatus = 'P'").groupBy(F.col("c_nationkey").alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(F.count("*").alias("n"))
-    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ticker"), F.explode(F.sequence(F.lit(1992), F.lit(1998))).alias("fiscal_year"))
+    counted = orders.groupBy(F.col("c_nationkey").alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(F.count("*").alias("n"))
+    years = orders.select(F.year("o_orderdate").alias("fiscal_year")).distinct()
+    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ticker")).crossJoin(F.broadcast(years))  # nations by years
     return responses.report_rows(responses.reports(grid, grid), counted)
 
 
@@ -217,13 +218,13 @@ SELECT q AS query_id, CASE WHEN path = 'rag' THEN 'skipped_llm_disabled' WHEN sa
 SELECT q AS query_id, status, CASE status WHEN 'retrieval_executed' THEN round(r5, 9) END AS recall_5, CASE status WHEN 'retrieval_executed' THEN round(r10, 9) END AS recall_10, CASE status WHEN 'retrieval_executed' THEN round(mrr, 9) END AS mrr, CASE WHEN status LIKE 'retrieval%' THEN CAST(q % 50 AS DOUBLE) END AS retrieval_ms FROM s""",
     "stage_latency": "SELECT event_type AS stage, round(CAST(sum(CASE WHEN value > 10 THEN CAST(round(value, 6) AS DECIMAL(18,6)) END) AS DOUBLE) / count(*) FILTER (value > 10), 4) AS mean, count(*) FILTER (value > 10) AS observations FROM events GROUP BY 1",
     "provider_responses": "SELECT event_type AS provider, CASE WHEN user_id % 2 = 0 THEN 'm' ELSE '' END AS model, user_id % 3 = 0 AS fallback_used, count(*) AS response_count FROM events WHERE event_type <> 'click' GROUP BY ALL",
-    "review_rules": """WITH d AS (SELECT doc_id % 50 AS query_id, doc_id, doc_id % 23 <> 5 AS offered, doc_id % 31 <> 7 AS back FROM documents WHERE n_chars < 2000)
+    "review_rules": """WITH d AS (SELECT doc_id % 50 AS query_id, doc_id, doc_id % 23 <> 5 AS offered, doc_id % 31 <> 7 AS back FROM documents)
 SELECT query_id, doc_id, reason FROM (SELECT query_id, doc_id, CASE WHEN NOT offered AND back THEN 'not a candidate' WHEN offered AND NOT back THEN 'candidate left out' WHEN NOT back THEN NULL WHEN doc_id % 41 = 9 THEN 'reviewed against another index' WHEN doc_id % 37 = 3 THEN 'excerpt was changed'
   WHEN doc_id % 29 = 0 THEN 'not labelled' WHEN doc_id % 43 = 2 THEN 'conflicting labels' END AS reason FROM d) WHERE reason IS NOT NULL""",
     "cik_forms": "SELECT c_custkey, CASE WHEN c_custkey % 6 > 3 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS strict, CASE WHEN c_custkey % 6 > 3 OR c_custkey % 6 = 2 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS lenient FROM customer",
     "calculation_gaps": """SELECT l_orderkey, m.t AS ticker, m.y AS fiscal_year, 'v1' AS corpus_version, 24 AS id_length, CASE WHEN q <= 2 THEN 'input lacks its identity' END AS reason
 FROM (SELECT l_orderkey, max({'n': l_linenumber, 't': l_returnflag, 'y': CAST(year(l_shipdate) AS INTEGER)}) AS m, min(l_quantity) AS q FROM lineitem GROUP BY 1)""",
-    "report_rows": """SELECT n_nationkey AS ticker, y AS fiscal_year, true AS acquired, n FROM nation CROSS JOIN (SELECT unnest(range(1992, 1999)) AS y)
-LEFT JOIN (SELECT c_nationkey, year(o_orderdate) AS oy, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY ALL) ON c_nationkey = n_nationkey AND oy = y""",
+    "report_rows": """SELECT n_nationkey AS ticker, y AS fiscal_year, true AS acquired, n FROM nation CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)
+LEFT JOIN (SELECT c_nationkey, year(o_orderdate) AS oy, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) ON c_nationkey = n_nationkey AND oy = y""",
     "knowledge_state": "SELECT true AS corpus, true AS \"index\", true AS models, true AS facts, false AS coverage, 'coverage' AS missing, false AS ready, true AS rag_ready, 'partial' AS knowledge_state, false AS primary_configured, false AS fallback_enabled, false AS fallback_configured, false AS narrative_ready",
 }
