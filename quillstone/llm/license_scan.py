@@ -2,11 +2,17 @@
 
 Segments of a file are its leading comment and, for files with a name of ``FILE_NAMES``, the whole text; and from elsewhere in a file each
 line that holds a term of ``TRIGGERS``, all these lines together, the lines around each (up to ``BEFORE`` and ``AFTER`` of its paragraph, in
-every combination) and each paragraph with a trigger, which may wrap within it. A file is a *licence file* where its
-name is one of ``FILE_NAMES``, or its trigger lines or the segment of the stated licence make up most of its words. Segments and
-templates are sparse vectors of term counts times inverse document frequency over the templates; terms of a segment that no
-template has count with the weight of a term that one template has. The best template at a cosine of at least ``THRESHOLD``
-is the licence stated; ties go to the template first by name.
+every combination) and each paragraph with a trigger, which may wrap within it. Segments and templates are sparse vectors of term
+counts times inverse document frequency over the templates; terms of a segment that no template has count with the weight of a term
+that one template has. Equal segments of all files are scored once.
+
+A template counts for a segment at a cosine of at least ``THRESHOLD``, and only if the segment holds at least ``NAMED`` of the weight
+of those terms that no other licence's template has (`apache`, `affero`, `mit-style`; versions aside): a notice of a licence without a template states
+none. A segment states the licence of the best template if that of no other licence comes within ``MARGIN`` of it; else none.
+A file states the licence of its best segment; a reservation of all rights gives way to a licence, ties go to the first by name.
+
+A file is a *licence file* where its name is one of ``FILE_NAMES``, or where its name has no extension and its trigger lines or the
+segment of the stated licence make up most of its words: a source file never is one for its header's sake.
 
 A file without a stated licence inherits that of its nearest ancestor directory with a licence file: paths are joined with
 directories, from the deepest. A directory with several licence files has the one of best cosine, then first by name.
@@ -19,12 +25,15 @@ Defined results: null text states nothing; a null path has no directory and no l
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.license_templates import TEMPLATES
 from quillstone.llm.shared import materialize, maybe_broadcast, table
 
-THRESHOLD = 0.6
+THRESHOLD, NAMED, MARGIN = 0.6, 0.5, 0.02
 TRIGGERS = r"(?i)licen[cs]|copyright|all rights reserved|spdx|public domain|permission is (?:hereby )?granted|redistribution and use|warrant"
 FILE_NAMES = r"(?i)^(?:un)?(?:licen[cs]e|copying|notice)(?:[._-].*)?$"
 
@@ -34,49 +43,14 @@ BEFORE, AFTER = 2, 3
 WRAPPED = TRIGGERS.replace(" ", r"[\W_]+")
 #: An empty line, but for marks, after any line.
 _BLANK = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+#: What follows a licence's name and does not make it another one.
+VERSION = "-[0-9].*$"
+#: A name with an extension.
+_EXTENSION = r".\.[^.]*$"
 #: A leading comment between marks, and lines that are comments.
 _OPEN_COMMENT = r"(?s)^\s*(?:/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'|\(\*.*?\*\))"
 _COMMENT_LINE = r"^\s*(?:#|//|;|--|%|\*|'|!|dnl\b|rem\b|REM\b|\.\\\"|$)"
 
-#: (licence, text): the usual short notices and the opening words of licence files.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY", "Licensed under CC BY 4.0"),
-    ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-SA", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain CC0"),
-    ("GPL", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "All rights reserved"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("BSD-2-Clause", "BSD 2-Clause License"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("GPL", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("LGPL", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    ("MIT", "The MIT License (MIT)"),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
-]
-
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9+.\-]*[a-z0-9+]|[a-z0-9]"), F.lit(0))
@@ -94,22 +68,26 @@ def _idf(templates: DataFrame, n: int) -> DataFrame:
 
 
 def stated(segments: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(keys, licence, cosine): the best template for each segment (keys, terms) that reaches the threshold."""
+    """(keys, licence, cosine): the licence that each segment (keys, terms) states by the rules above."""
     spark = segments.sparkSession
     templates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template int, licence string, text string").withColumn("terms", terms(F.col("text")))
-    from math import log
-
     idf = _idf(templates, len(TEMPLATES))
     rare = round(log((1.0 + len(TEMPLATES)) / 2.0) + 1.0, 9)
     of = _weighed(templates, ["template", "licence"], idf, rare)
-    of = of.join(of.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size")), "template").select("template", "licence", "term", F.col("weight").alias("t_weight"), "size")
+    own_terms = of.groupBy("term").agg((F.count_distinct(F.regexp_replace("licence", VERSION, "")) == 1).alias("names"))
+    of = of.join(own_terms, "term").select("template", "licence", "term", F.col("weight").alias("t_weight"), F.when(F.col("names"), F.col("weight") ** 2).otherwise(0.0).alias("named"))
+    of = of.join(of.groupBy("template").agg(F.sqrt(F.sum(F.col("t_weight") ** 2)).alias("size"), F.sum("named").alias("of_named")), "template")
+    of = materialize(of, "templates")  # some thousand rows, whatever is scanned
     dealt = segments.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)  # once, as short texts; all sums below are of one segment
     own = _weighed(dealt, keys, idf, rare)
     norms = own.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("own"))
-    dots = own.join(F.broadcast(of), "term").groupBy(*keys, "template", "licence", "size").agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
-    scored = dots.join(norms, keys).select(*keys, "licence", F.round(F.col("dot") / (F.col("size") * F.col("own")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("cosine")).alias("n"), "licence")).alias("b"))
-    return best.select(*keys, F.col("b.licence").alias("licence"), (-F.col("b.n")).alias("cosine"))
+    dots = own.join(F.broadcast(of), "term").groupBy(*keys, "template", "licence", "size", "of_named").agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"), F.sum("named").alias("named"))
+    named = F.round("named", 6) >= F.round(NAMED * F.col("of_named"), 6)
+    scored = dots.where(named).join(norms, keys).select(*keys, "licence", F.round(F.col("dot") / (F.col("size") * F.col("own")), 6).alias("cosine")).where(F.col("cosine") >= threshold - MARGIN)
+    each = scored.groupBy(*keys, "licence").agg(F.max("cosine").alias("cosine"))
+    best = each.groupBy(*keys).agg(F.max(F.struct("cosine", "licence")).alias("b"), F.array_sort(F.collect_list("cosine")).alias("cosines"))  # at most one for each licence that has a template
+    second = F.when(F.size("cosines") > 1, F.element_at("cosines", -2)).otherwise(0.0)
+    return best.where((F.col("b.cosine") >= threshold) & (F.round(F.col("b.cosine") - second, 6) >= MARGIN)).select(*keys, "b.licence", "b.cosine")
 
 
 def n_words(text: Column) -> Column:
@@ -152,13 +130,15 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "f
     head = head.select("file_id", "path", "digest", segments(F.col("text"), F.col("path"), F.col("lines")).alias("segments"), "n_words", n_words(F.array_join("lines", "\n")).alias("n_head"))
     head = materialize(head, "headers")
     some = head.where(F.size("segments") > 0).select("file_id", "digest", "segments").dropDuplicates(["file_id", "digest"])
-    parts = some.select(F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("f"), "digest", F.posexplode("segments").alias("seg", "line"))
-    found = stated(parts.select("f", "digest", F.struct("seg", n_words(F.col("line")).alias("n")).alias("seg"), terms(F.col("line")).alias("terms")), ["f", "digest", "seg"])
-    best = found.groupBy("f", "digest").agg(F.min(F.struct((-F.col("cosine")).alias("n"), "licence", (-F.col("seg.n")).alias("words"))).alias("b"))
+    parts = some.select(F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("f"), "digest", F.explode("segments").alias("line")).withColumn("of", F.unhex(F.md5("line")))
+    # Each distinct segment is scored once, however many files hold it; few state a licence.
+    found = materialize(stated(parts.select("of", "line").dropDuplicates(["of"]).select("of", terms(F.col("line")).alias("terms")), ["of"]), "segments")
+    found = parts.select("f", "digest", "of", n_words(F.col("line")).alias("words")).join(maybe_broadcast(found, found.count()), "of")
+    best = found.groupBy("f", "digest").agg(F.min(F.struct((F.col("licence") == "proprietary").alias("rights"), (-F.col("cosine")).alias("n"), "licence", (-F.col("words")).alias("words"))).alias("b"))
     best = materialize(best.select("f", F.col("digest").alias("f_digest"), F.col("b.licence").alias("stated"), (-F.col("b.n")).alias("cosine"), (-F.col("b.words")).alias("n_stated")), "stated")
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/?[^/]*$", "")
     files_ = head.join(maybe_broadcast(best, best.count()), (F.coalesce(F.col("file_id").cast("string"), F.lit("")) == F.col("f")) & (F.col("digest") == F.col("f_digest")), "left")
-    is_file = F.coalesce(F.col("stated").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAMES) | (2 * F.greatest("n_head", "n_stated") > F.col("n_words"))), F.lit(False))
+    is_file = F.coalesce(F.col("stated").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAMES) | (~name.rlike(_EXTENSION) & (2 * F.greatest("n_head", "n_stated") > F.col("n_words")))), F.lit(False))
     files_ = files_.select("file_id", "digest", "path", folder.alias("folder"), "stated", "cosine", is_file.alias("is_licence_file"))
     files_ = materialize(files_, "scanned")
     folders = files_.where("is_licence_file").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("n"), F.col("stated").alias("licence"))).alias("b")).select(F.col("folder").alias("from_folder"), F.col("b.licence").alias("inherited"))
@@ -187,14 +167,18 @@ ORACLE = f"""
 WITH t AS (SELECT template, licence, unnest({_TERM_SQL.format('text')}) AS term FROM (VALUES {_TEMPLATES_SQL}) AS v(template, licence, text)),
 idf AS (SELECT term, round(ln({len(TEMPLATES) + 1.0} / (1.0 + count(DISTINCT template))) + 1.0, 9) AS idf FROM t GROUP BY term),
 tw AS (SELECT template, licence, term, count(*) * any_value(idf) AS w FROM t JOIN idf USING (term) GROUP BY ALL),
-ts AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
+names AS (SELECT term FROM t GROUP BY term HAVING count(DISTINCT regexp_replace(licence, '{VERSION}', '')) = 1),
+ts AS (SELECT template, sqrt(sum(w * w)) AS size, coalesce(sum(w * w) FILTER (term IN (SELECT term FROM names)), 0) AS of_named FROM tw GROUP BY template),
 d AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n_words,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{TRIGGERS}')) AS ls FROM documents),
 seg AS (SELECT doc_id, unnest(range(0, len(ls) + 1)) AS seg, unnest(list_append(ls, array_to_string(ls, chr(10)))) AS line FROM d WHERE len(ls) > 0),
 st AS (SELECT doc_id, seg, term, count(*) * coalesce(any_value(idf), round(ln({len(TEMPLATES) + 1.0} / 2.0) + 1.0, 9)) AS w FROM (SELECT doc_id, seg, unnest({_TERM_SQL.format('line')}) AS term FROM seg) LEFT JOIN idf USING (term) GROUP BY ALL),
 ss AS (SELECT doc_id, seg, sqrt(sum(w * w)) AS own FROM st GROUP BY ALL),
-c AS (SELECT doc_id, licence, round(sum(st.w * tw.w) / (any_value(size) * any_value(own)), 6) AS cosine FROM st JOIN tw USING (term) JOIN ts USING (template) JOIN ss USING (doc_id, seg) GROUP BY doc_id, seg, template, licence),
-b AS (SELECT doc_id, licence AS stated, cosine FROM c WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+c AS (SELECT doc_id, seg, licence, round(sum(st.w * tw.w) / (any_value(size) * any_value(own)), 6) AS cosine FROM st JOIN tw USING (term) JOIN ts USING (template) JOIN ss USING (doc_id, seg) GROUP BY doc_id, seg, template, licence
+  HAVING round(coalesce(sum(tw.w * tw.w) FILTER (term IN (SELECT term FROM names)), 0), 6) >= round({NAMED} * any_value(of_named), 6)),
+e AS (SELECT doc_id, seg, licence, max(cosine) AS cosine FROM c GROUP BY ALL),
+s AS (SELECT doc_id, licence, cosine, coalesce(lead(cosine) OVER (PARTITION BY doc_id, seg ORDER BY cosine DESC), 0) AS second, row_number() OVER (PARTITION BY doc_id, seg ORDER BY cosine DESC) AS r FROM e),
+b AS (SELECT doc_id, licence AS stated, cosine FROM s WHERE r = 1 AND cosine >= {THRESHOLD} AND round(cosine - second, 6) >= {MARGIN} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY licence = 'proprietary', cosine DESC, licence) = 1),
 f AS (SELECT d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, stated, cosine, stated IS NOT NULL AND 2 * len(regexp_extract_all(array_to_string(ls, chr(10)), '\\S+')) > n_words AS is_licence_file FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
 o AS (SELECT folder AS from_folder, stated AS inherited FROM f WHERE is_licence_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, stated) = 1),
 h AS (SELECT f.doc_id, inherited, from_folder AS inherited_from FROM f JOIN o ON stated IS NULL AND (folder = from_folder OR starts_with(folder, from_folder || '/') OR from_folder = '') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(from_folder) DESC) = 1)

@@ -816,3 +816,49 @@ def test_components(spark, monkeypatch, edge_rows, hub):
     got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+NEAR_MISSES = {
+    "eupl": ("/*\n * Licensed under the EUPL, Version 1.2\n */\nint x;", "EUPL"), "mit style": ("// Code governed by an MIT-style license\nint x;", "MIT"),
+    "agpl": ("# " + NOTICES["GPL"].replace("GNU General", "GNU Affero General").replace("\n", "\n# ") + "\nx = 1", "AGPL"),
+    "agpl copying": ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n  13. Use with the GNU General Public License.\n", "AGPL"),
+    "bsl": ("// SPDX-License-Identifier: BSL-1.0\nint x;", "BSL-1.0"), "zlib": ("// SPDX-License-Identifier: Zlib\nint x;", "Zlib"), "gpl plus": ("// SPDX-License-Identifier: GPL-2.0+\nint x;", "GPL"),
+    "unknown id": ("// SPDX-License-Identifier: Foo-1.0\nint x;", None), "unknown style": ("// Use of this source code is governed by a Foo-style license that can be found in the LICENSE file.\nint x;", None),
+    "unknown version": ("Licensed under the Foo License, Version 2.0", None), "apache 1": ("Licensed under the Apache License, Version 1.1", "Apache-1.1"), "bsd and rights": ("Copyright (c) 2020\nAll rights reserved.\n\nBSD 2-Clause License", "BSD-2-Clause"),
+}
+
+
+def test_licence_near_misses(spark):
+    """Licences near one another are told apart, unknown ones state nothing, and a source file is no licence file for its header's sake."""
+    rows = [(k, f"{k}/{'COPYING' if k == 'agpl copying' else 'x.c'}", text) for k, (text, _) in NEAR_MISSES.items()] + [(f"{k} below", f"{k}/d/y.c", "int y;") for k in NEAR_MISSES]
+    got = {r["file_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "file_id string, path string, text string")).collect()}
+    assert {k: got[k]["stated"] for k in NEAR_MISSES} == {k: v for k, (_, v) in NEAR_MISSES.items()}
+    assert {k for k, r in got.items() if r["is_licence_file"]} == {"agpl copying"} and {k for k, r in got.items() if r["inherited"]} == {"agpl copying below"}
+
+
+def test_licence_cosines_against_brute_force(spark):
+    """Every template as a segment, whole, without its last word, and with two foreign words, against plain arithmetic."""
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    cut = lambda t: Counter(re.findall(r"[a-z0-9][a-z0-9+.\-]*[a-z0-9+]|[a-z0-9]", t.lower()))
+    made = [(licence, cut(text)) for licence, text in license_scan.TEMPLATES]
+    n, df = len(made), Counter(w for _, c in made for w in c)
+    held = {w: {re.sub("-[0-9].*$", "", licence) for licence, c in made if w in c} for w in df}
+    idf = {w: log((1 + n) / (1 + d)) + 1 for w, d in df.items()}
+    segments = [s for _, t in license_scan.TEMPLATES for s in (t, t.rsplit(" ", 1)[0], t + " unheard words")]
+    want = {}
+    for i, c in enumerate(map(cut, segments)):
+        norm, best = sqrt(sum((k * idf.get(w, log((1 + n) / 2) + 1)) ** 2 for w, k in c.items())), {}
+        for licence, t in made:
+            own = [w for w in t if len(held[w]) == 1]
+            size = lambda ws, t=t: sum((t[w] * idf[w]) ** 2 for w in ws)
+            if size([w for w in own if w in c]) >= license_scan.NAMED * size(own) - 1e-6:
+                best[licence] = max(best.get(licence, 0), sum(c[w] * k * idf[w] ** 2 for w, k in t.items()) / norm / sqrt(size(t)))
+        ranked = sorted(((v, k) for k, v in best.items()), reverse=True) + [(0, "")]
+        if ranked[0][0] >= license_scan.THRESHOLD and ranked[0][0] - ranked[1][0] >= license_scan.MARGIN:
+            want[i] = (ranked[0][1], pytest.approx(ranked[0][0], abs=1e-5))
+    rows = spark.createDataFrame(list(enumerate(segments)), "seg int, line string").select("seg", license_scan.terms(F.col("line")).alias("terms"))
+    got = {r["seg"]: (r["licence"], r["cosine"]) for r in license_scan.stated(rows, ["seg"]).collect()}
+    assert got == want and all(got[3 * i][0] == licence for i, (licence, _) in enumerate(license_scan.TEMPLATES) if 3 * i in got) and len([i for i in got if i % 3 == 0]) > 0.95 * n
