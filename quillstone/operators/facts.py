@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import long_division
 from quillstone.functions.decimals import cagr38, growth38, native, order_key, ratio38
 
 # Metric, concepts in order of priority, unit, kind, whether negative values are refused.
@@ -132,10 +133,9 @@ def derived(table: DataFrame) -> DataFrame:
 
 
 def derived38(table: DataFrame) -> DataFrame:
-    """The same margins as decimal strings of 38 significant digits."""
-    s = lambda c: F.col(c).cast("string")
-    fcf = (F.col("operating_cash_flow") - F.col("capex")).cast("string")
-    return table.withColumns({"operating_margin": ratio38(s("operating_income"), s("revenue")), "net_margin": ratio38(s("net_income"), s("revenue")), "fcf_margin": ratio38(fcf, s("revenue"))})
+    """The same margins as decimal strings of 38 significant digits, without Python; the metrics are DECIMAL columns."""
+    percent = lambda x: long_division.ratio38(x, F.col("revenue"))
+    return table.withColumns({"operating_margin": percent(F.col("operating_income")), "net_margin": percent(F.col("net_income")), "fcf_margin": percent(F.col("operating_cash_flow") - F.col("capex"))})
 
 
 def growth(facts: DataFrame, entity: str = "entity", base_year: int | None = None, precise: bool = False) -> DataFrame:
@@ -143,7 +143,9 @@ def growth(facts: DataFrame, entity: str = "entity", base_year: int | None = Non
     own = Window.partitionBy(entity, "metric").orderBy("fiscal_year")
     out = facts.withColumn("b_year", F.lag("fiscal_year").over(own)).withColumn("b_value", F.lag("value").over(own))
     base = F.when(F.col("b_year") == F.col("fiscal_year") - 1, F.col("b_value"))
-    pct = growth38(base.cast("string"), F.col("value").cast("string")) if precise else F.when(base > 0, (F.col("value").cast("double") - base.cast("double")) / base.cast("double") * 100)
+    typed = dict(facts.dtypes)["value"].startswith("decimal")  # strings may have more digits than DECIMAL
+    exact = long_division.growth38(base, F.col("value")) if typed else growth38(base.cast("string"), F.col("value").cast("string"))
+    pct = exact if precise else F.when(base > 0, (F.col("value").cast("double") - base.cast("double")) / base.cast("double") * 100)
     out = out.withColumn("growth", pct).withColumn("growth_reason", F.when(F.col("value").isNull(), "value unavailable").when(base.isNull(), "no value for the year before").when(base <= 0, "base is not positive"))
     if base_year is not None:
         first = facts.where(F.col("fiscal_year") == base_year).select(F.col(entity).alias("b_entity"), F.col("metric").alias("b_metric"), F.col("value").alias("c_base"))

@@ -71,6 +71,13 @@ def decimal38_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(grown.select("entity", "fiscal_year", "growth", "cagr"), ["entity", "fiscal_year"])
 
 
+def decimal38_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins and growth of all metrics with 38 significant digits, by long division in column expressions: no Python in the plan."""
+    wide = ops.derived38(_wide(spark, sf_dir)).unpivot(["entity", "fiscal_year"], ["operating_margin", "net_margin", "fcf_margin"], "metric", "percent")
+    grown = ops.growth(_facts(spark, sf_dir), precise=True)
+    return wide.union(grown.select("entity", "fiscal_year", F.concat("metric", F.lit(" growth")).alias("metric"), F.col("growth").alias("percent")))
+
+
 def decimal38_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same strings of 38 digits, rounded to nine places, beside what doubles give."""
     out = decimal38_ratios(spark, sf_dir)
@@ -163,7 +170,7 @@ FROM (SELECT n_name AS entity, fiscal_year, metric FROM nation, (SELECT DISTINCT
 LEFT JOIN facts f ON f.entity = g.entity AND f.fiscal_year = g.fiscal_year AND f.metric = g.metric)
 """
 
-QUERIES = {f.__name__: f for f in (annual_facts, growth_yoy, growth_cagr, metric_ratios, decimal38_ratios, decimal38_rounded, availability_map, analytics_rows, rank_competition, growth_leaders, resolver_agreement, reconcile_status, display_format, date_span, calculation_errors)}
+QUERIES = {f.__name__: f for f in (annual_facts, growth_yoy, growth_cagr, metric_ratios, decimal38_ratios, decimal38_native, decimal38_rounded, availability_map, analytics_rows, rank_competition, growth_leaders, resolver_agreement, reconcile_status, display_format, date_span, calculation_errors)}
 ORACLE_SQL = {
     "annual_facts": _WIDE_SQL + "SELECT entity, fiscal_year, metric, CAST(value AS VARCHAR) AS value FROM facts",
     "growth_yoy": _WIDE_SQL + _GROWN + "SELECT * FROM yoy",
@@ -175,6 +182,20 @@ FROM facts f LEFT JOIN facts b ON b.entity = f.entity AND b.metric = f.metric AN
   round(CASE WHEN revenue > 0 THEN CAST(operating_income AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS operating_margin,
   round(CASE WHEN revenue > 0 THEN CAST(net_income AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS net_margin,
   round(CASE WHEN revenue > 0 THEN CAST(operating_cash_flow - capex AS DOUBLE) / CAST(revenue AS DOUBLE) * 100 END, 6) AS fcf_margin FROM wide""",
+    # Quotients of HUGEINT in pieces of 19 digits, 57 places in all, then cut to 38 digits, half up; no sum of the tables comes to lie in the middle.
+    "decimal38_native": _WIDE_SQL + """,
+asked AS (SELECT entity, fiscal_year, unnest(['operating_margin', 'net_margin', 'fcf_margin']) AS metric, unnest([operating_income, net_income, operating_cash_flow - capex]) AS a, revenue AS b FROM wide
+  UNION ALL SELECT f.entity, f.fiscal_year, f.metric || ' growth', f.value - p.value, p.value FROM facts f LEFT JOIN facts p ON p.entity = f.entity AND p.metric = f.metric AND p.fiscal_year = f.fiscal_year - 1),
+whole AS (SELECT entity, fiscal_year, metric, a < 0 AS below, CAST(replace(CAST(abs(a) AS VARCHAR), '.', '') AS HUGEINT) AS a, CAST(replace(CAST(b AS VARCHAR), '.', '') AS HUGEINT) AS b FROM asked),
+d0 AS (SELECT *, a // b AS q0, (a % b) * 10000000000000000000 AS r0 FROM whole WHERE b > 0),
+d1 AS (SELECT *, r0 // b AS q1, (r0 % b) * 10000000000000000000 AS r1 FROM d0),
+d2 AS (SELECT *, r1 // b AS q2, (r1 % b) * 10000000000000000000 AS r2 FROM d1),
+d3 AS (SELECT *, ltrim(q0 || lpad(CAST(q1 AS VARCHAR), 19, '0') || lpad(CAST(q2 AS VARCHAR), 19, '0') || lpad(CAST(r2 // b AS VARCHAR), 19, '0'), '0') AS s, r2 % b = 0 AS ends FROM d2),
+cut AS (SELECT *, CASE WHEN ends AND length(rtrim(s, '0')) <= 38 THEN s ELSE CAST(CAST(left(s, 38) AS HUGEINT) + CAST(substr(s, 39, 1) >= '5' AS INTEGER) AS VARCHAR) || repeat('0', length(s) - 38) END AS c FROM d3),
+-- 57 places less the two of the percentage; an exact ratio keeps its own places and two zeros for the hundred before them
+placed AS (SELECT *, lpad(c, CAST(greatest(length(c), 56) AS INTEGER), '0') AS l, CASE WHEN ends AND length(rtrim(s, '0')) <= 38 THEN greatest(0, 57 - (length(s) - length(rtrim(s, '0')))) ELSE 55 - (length(s) - 38) END AS n FROM cut)
+SELECT w.entity, w.fiscal_year, w.metric, CASE WHEN w.a = 0 AND w.b > 0 THEN '0' ELSE CASE WHEN p.below THEN '-' ELSE '' END || left(l, length(l) - 55) || CASE WHEN n > 0 THEN '.' || left(right(l, 55), n) ELSE '' END END AS percent
+FROM whole w LEFT JOIN placed p USING (entity, fiscal_year, metric)""",
     "decimal38_rounded": _WIDE_SQL + f"""SELECT w.entity, w.fiscal_year, round(CAST(operating_income AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS operating_margin, round(CAST(net_income AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS net_margin,
   round(CAST(operating_cash_flow - capex AS DOUBLE) / CAST(w.revenue AS DOUBLE) * 100, 9) AS fcf_margin, round(CAST(w.revenue - p.revenue AS DOUBLE) / CAST(p.revenue AS DOUBLE) * 100, 9) AS growth,
   round(CASE WHEN w.fiscal_year > {BASE_YEAR} THEN (pow(CAST(w.revenue AS DOUBLE) / CAST(b.revenue AS DOUBLE), 1 / (w.fiscal_year - {BASE_YEAR})) - 1) * 100 END, 9) AS cagr
