@@ -1,7 +1,7 @@
 """Percentages with 38 significant digits, half-even, as column expressions over DECIMAL: no Python in the plan.
 
 Long division, digit by digit: the remainder and the nine multiples of the divisor are two limbs of 19 digits each, as the
-remainder times ten has up to 39 digits, one more than DECIMAL holds. A quotient of 38 digits takes 39 steps and the divisor's digits.
+remainder times ten has up to 39 digits, one more than DECIMAL holds. Dividends of up to 32 digits and divisors of up to 19, as sums of money are, take three steps of 19 digits.
 Strings have the digits that decimal arithmetic with a precision of 38 gives: an exact quotient keeps as many places as the dividend's
 scale exceeds the divisor's, and no fewer than it needs.
 """
@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS, LIMB = 38, 19
+DIGITS, LIMB, SHORT = 38, 19, 32
 _LIMB = "decimal(21,0)"
 
 
@@ -43,7 +43,7 @@ def _let(value: Column, use) -> Column:
 
 
 def _quotient(dividend: Column, divisor: Column) -> Column:
-    """(q, exact): the digits of dividend / divisor, both strings of digits, with leading zeros, and whether nothing is left over."""
+    """(q, exact, zeros): the digits of dividend / divisor, both strings of digits, with leading zeros, whether nothing is left over, and how many zeros were put behind the dividend."""
     padded = F.lpad(divisor, 2 * LIMB, "0")
     limbs = F.struct(F.substring(padded, 1, LIMB).cast(_LIMB).alias("h"), F.substring(padded, LIMB + 1, LIMB).cast(_LIMB).alias("l"))
     multiples = lambda x: F.array(*(_carried(x["h"] * i, x["l"] * i) for i in range(10)))
@@ -61,7 +61,18 @@ def _digits(dividend: Column, divisor: Column, many: Column) -> Column:
 
     zero = F.struct(F.lit(0).cast(_LIMB).alias("h"), F.lit(0).cast(_LIMB).alias("l"), F.lit("").alias("q"))
     fed = F.split(F.rpad(dividend, F.length(divisor) + DIGITS + 1, "0"), "")
-    return F.aggregate(fed, zero, step, lambda s: F.struct(s["q"].alias("q"), ((s["h"] == 0) & (s["l"] == 0)).alias("exact")))
+    zeros = F.length(divisor) + DIGITS + 1 - F.length(dividend)
+    return F.aggregate(fed, zero, step, lambda s: F.struct(s["q"].alias("q"), ((s["h"] == 0) & (s["l"] == 0)).alias("exact"), zeros.alias("zeros")))
+
+
+def _short(dividend: Column, divisor: Column) -> Column:
+    """The same for a dividend of at most SHORT digits and a divisor of at most LIMB: the remainder times ten to the LIMB fits DECIMAL, so three steps do."""
+    d = divisor.cast(f"decimal({LIMB},0)")
+    whole = lambda x: ((x - x % d) / d).cast("decimal(38,0)")
+    fed = lambda x: ((x % d).cast(f"decimal({LIMB},0)") * F.lit(Decimal(10**LIMB)).cast("decimal(20,0)")).cast("decimal(38,0)")
+    piece = lambda x: F.lpad(whole(x).cast("string"), LIMB, "0")
+    all_of = lambda x0, x1, x2, x3: F.struct(F.concat(whole(x0).cast("string"), piece(x1), piece(x2), piece(x3)).alias("q"), (x3 % d == 0).alias("exact"), F.lit(3 * LIMB).alias("zeros"))
+    return _let(dividend.cast("decimal(38,0)"), lambda x0: _let(fed(x0), lambda x1: _let(fed(x1), lambda x2: _let(fed(x2), lambda x3: all_of(x0, x1, x2, x3)))))
 
 
 def _with_point(digits: Column, places: Column) -> Column:
@@ -83,11 +94,10 @@ def _percent(a: Column, b: Column, dividend: Column, divisor: Column) -> Column:
         return _let(F.regexp_replace(found["q"], "^0+", ""), lambda digits: written(found, digits))
 
     def written(found: Column, digits: Column) -> Column:
-        fed = F.length(divisor) + DIGITS + 1 - F.length(dividend)  # zeros that were put behind the dividend
-        tail, head = F.substring(digits, F.lit(DIGITS + 1), F.lit(2)), F.substring(digits, 1, DIGITS)
-        half = F.when(F.length(tail) == 1, 5).otherwise(50)
-        t = tail.cast("int")
-        up = (t > half) | ((t == half) & (~found["exact"] | (F.substring(head, -1, 1).cast("int") % 2 == 1)))
+        fed = found["zeros"]
+        tail, head = F.substring(digits, F.lit(DIGITS + 1), F.length(digits)), F.substring(digits, 1, DIGITS)
+        half = F.rpad(F.lit("5"), F.length(tail), "0")  # of the same length, so that strings compare as numbers do
+        up = (tail > half) | ((tail == half) & (~found["exact"] | (F.substring(head, -1, 1).cast("int") % 2 == 1)))
         all_nines = head == F.lit("9" * DIGITS)
         rounded = F.when(~up, head).when(all_nines, F.lit("1" + "0" * (DIGITS - 1))).otherwise((head.cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("string"))
         places = fed + kept - (F.length(digits) - DIGITS) - F.when(up & all_nines, 1).otherwise(0)
@@ -99,7 +109,8 @@ def _percent(a: Column, b: Column, dividend: Column, divisor: Column) -> Column:
         exact = _with_point(F.concat(bare, F.repeat(F.lit("0"), more + hundred)), bare_places + more + hundred - 2)
         return F.when(found["exact"] & (F.length(bare) <= DIGITS), exact).otherwise(_with_point(rounded, places - 2))
 
-    number = _let(_quotient(dividend, divisor), shown)
+    short = (F.length(dividend) <= SHORT) & (F.length(divisor) <= LIMB)
+    number = _let(F.when(short, _short(dividend, divisor)).otherwise(_quotient(dividend, divisor)), shown)
     zero = F.concat(F.lit("0"), F.when(kept > 0, F.concat(F.lit("."), F.repeat(F.lit("0"), kept))).otherwise(""))
     below = lambda x: x.cast("string").startswith("-")
     return F.when(b.isNotNull() & (divisor != "") & ~below(b), F.when(dividend == "", zero).when(a.isNotNull(), F.concat(F.when(below(a), "-").otherwise(""), number)))
