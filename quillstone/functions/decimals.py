@@ -96,8 +96,8 @@ def order_key(value: Column) -> Column:
     lead = F.length(digits) - F.length(F.regexp_replace(digits, "^0+", ""))
     stripped = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
     magnitude = F.length(whole) + exponent - lead
-    up = F.concat(F.lpad((magnitude + 50000).cast("string"), 6, "0"), F.lit(":"), stripped, F.lit(":"))
-    flipped = F.concat(F.translate(up, "0123456789:", "9876543210;"))
+    up = F.concat(F.lpad((magnitude + 50000).cast("string"), 6, "0"), F.lit(":"), stripped)  # what ends first is less: 804 before 804.16
+    flipped = F.translate(F.concat(up, F.lit(":")), "0123456789:", "9876543210;")
     negative = text.startswith("-")
     key = F.when(stripped == "", F.lit("1")).when(negative, F.concat(F.lit("0"), flipped)).otherwise(F.concat(F.lit("2"), up))
     return F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"), key)

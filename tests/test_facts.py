@@ -22,6 +22,11 @@ def test_decimal_examples():
     assert [decimals.exact(x) for x in (True, "NaN", "Infinity", "", None, "x")] == [None] * 6 and decimals.exact("1e3") == 1000
 
 
+def test_ranks_of_values_that_begin_alike(spark):
+    rows = spark.createDataFrame([(v,) for v in ("804.00", "804.16", "804.1", "80", "-804", "-804.16")], "value string").withColumns({"entity": F.col("value"), "y": F.lit(1)})
+    assert {r["entity"]: r["rank"] for r in facts.rank_competition(rows, ["y"]).collect()} == {"804.16": 1, "804.1": 2, "804.00": 3, "80": 4, "-804": 5, "-804.16": 6}
+
+
 def test_order_key(spark):
     values = ["-1e3", "-2", "-1.5", "0", "0.001", "0.5", "1", "9007199254740992", "9007199254740993", "1" + "0" * 60]
     rows = spark.createDataFrame([(v,) for v in reversed(values)], "v string")
