@@ -364,7 +364,7 @@ def mean_pool(vectors: DataFrame, keys: list[str], column: str = "embedding") ->
 
 
 def token_windows(tokens: Column, size: int | Column = 380) -> Column:
-    """Consecutive windows of `size` tokens; no window for no token."""
+    """Consecutive windows of `size` tokens; no window for no token. Give it a column of tokens: an expression is computed anew for each window."""
     size = F.lit(size) if isinstance(size, int) else size
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, size)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
@@ -373,9 +373,10 @@ def token_windows(tokens: Column, size: int | Column = 380) -> Column:
 def reranked(shortlist: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_logit, size: int | Column = 380) -> DataFrame:
     """shortlist (query_id, query, scope, doc_id, text) with the score of its best window: the reranker's logit of the query and each
     window of `size` tokens, the greatest through the sigmoid. A text without a token is one empty window."""
-    windows = token_windows(lexical(F.col("text")), size)
-    windows = F.when(F.size(windows) > 0, F.transform(windows, lambda w: F.array_join(w, " "))).otherwise(F.array(F.lit("")))
-    logits = shortlist.select("query_id", "scope", "doc_id", "query", F.explode(windows).alias("window")).select("query_id", "scope", "doc_id", reranker(F.col("query"), F.col("window")).alias("logit"))
+    words = shortlist.select("query_id", "scope", "doc_id", "query", size.alias("size") if isinstance(size, Column) else F.lit(size).alias("size"), lexical(F.col("text")).alias("words"))
+    windows = words.select("query_id", "scope", "doc_id", "query", token_windows(F.col("words"), F.col("size")).alias("windows"))
+    windows = windows.withColumn("windows", F.when(F.size("windows") > 0, F.transform("windows", lambda w: F.array_join(w, " "))).otherwise(F.array(F.lit(""))))
+    logits = windows.select("query_id", "scope", "doc_id", "query", F.explode_outer("windows").alias("window")).select("query_id", "scope", "doc_id", reranker(F.col("query"), F.col("window")).alias("logit"))
     return shortlist.join(pooled_scores(logits, ["query_id", "scope", "doc_id"]), ["query_id", "scope", "doc_id"])
 
 

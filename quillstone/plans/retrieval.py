@@ -87,9 +87,10 @@ def sigmoid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = ops.lexical(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ops.token_windows(tokens).alias("w"))
-    return rows.select("doc_id", F.posexplode("w").alias("n", "w")).select("doc_id", F.col("n").cast("long").alias("n"), F.size("w").cast("long").alias("n_tokens"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
+    words = table(spark, sf_dir, "documents").select("doc_id", ops.lexical(F.col("text")).alias("words"))
+    rows = words.select("doc_id", ops.token_windows(F.col("words")).alias("w"))
+    # An outer explode: for the other one Spark asks beforehand whether there are windows, and makes them all anew for that.
+    return rows.select("doc_id", F.posexplode_outer("w").alias("n", "w")).where("n IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n"), F.size("w").cast("long").alias("n_tokens"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
 
 
 def expand_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

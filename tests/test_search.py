@@ -101,3 +101,9 @@ def test_retrieve_reranks_windows_of_the_shortlist(spark):
 
     other = retrieval.retrieve(chunks, vectors, queries, reranker=lambda q, text: F.when(text.contains("kind"), 2.0).otherwise(-3.0)).collect()
     assert [(r["doc_id"], r["score"]) for r in other] == [(2, round(1 / (1 + math.exp(-2)), 9))]
+
+
+def test_token_windows_tokenise_a_text_once(spark, tables):
+    """The plan splits texts in one place; it did so in a filter and for each window besides."""
+    found = plans.token_windows(spark, tables[0])
+    assert found._jdf.queryExecution().executedPlan().toString().count("split(") == 1
