@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.shipping import ship
 from quillstone.operators import retrieval as ops
+from quillstone.operators.blocks import rounded
 from quillstone.session import settled, small
 
 LEVELS, SEEDS, SHARE, MARGIN = 32, 200, 0.5, 1e-4
@@ -147,7 +148,7 @@ def _scored(rows: pa.Table, queries: dict, words: pa.Array, digits: int | None)
         at += [i] * len(asks)
         dense[mine[0]] = 0
     take = pa.array(at, pa.int64())
-    values = np.array(scores, np.float64) if digits is None else np.round(np.array(scores, np.float64), digits)
+    values = np.array(scores, np.float64) if digits is None else rounded(np.array(scores, np.float64), digits)
     return pa.table([pa.array(who), rows.column("scope").take(take), rows.column("doc_id").take(take), pa.array(values)], ["query_id", "scope", "doc_id", "score"])
 
 
