@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import blocks, cells, pruned, segments
+from quillstone.operators import blocks, cells, segments
 from quillstone.operators import retrieval as ops
 from quillstone.session import table
 
@@ -182,7 +182,8 @@ def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segmented_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth document as a question to the grown index: the best 20 of each language."""
     asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    found = pruned.search(pruned.impacts(_grown(spark, sf_dir)), asked, digits=5)
+    index = _grown(spark, sf_dir)
+    found = blocks.top_k(blocks.from_index(index), index["terms"], asked, digits=5)
     return found.select("query_id", "scope", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
