@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillstone.operators import retrieval
+from quillstone.operators import blocks, retrieval
 from quillstone.plans import retrieval as plans
 
 
@@ -107,3 +107,21 @@ def test_token_windows_tokenise_a_text_once(spark, tables):
     """The plan splits texts in one place; it did so in a filter and for each window besides."""
     found = plans.token_windows(spark, tables[0])
     assert found._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+
+
+def test_many_questions_are_scored_in_blocks_with_the_same_results(spark, tables, monkeypatch):
+    rows = lambda: {tuple(r) for r in plans.hybrid_search(spark, tables[0]).collect()}
+    few, used, whole = rows(), [], blocks.top_k
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 2)
+    monkeypatch.setattr(blocks, "top_k", lambda *a, **b: used.append(1) or whole(*a, **b))
+    assert few and rows() == few and used == [1]
+
+
+def test_texts_are_not_dealt_out_to_find_their_vectors(spark, tables):
+    chunks, vectors = plans._embedded(spark, tables[0])
+    monkey = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "hashpartitioning" not in chunks._jdf.queryExecution().executedPlan().toString() and chunks.count() == vectors.count() == 450
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", monkey)
