@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.shipping import ship
+from quillstone.session import settled, small
 
 
 def register(records: DataFrame, request: str = "request_id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -218,11 +219,16 @@ def narrative(claims: DataFrame) -> DataFrame:
 
 
 def unsafe_requests(claims: DataFrame) -> DataFrame:
-    """(request_id, reason): requests of which a claim is not plain prose, or whose claims together tell a measured change."""
-    judged = narrative(claims)
+    """(request_id, reason): requests of which a claim is not plain prose, or whose claims together tell a measured change.
+
+    Each text is judged once for the years allowed, however many claims say it."""
+    key = F.struct("text", "allowed_years")
+    judged = narrative(claims.select("text", "allowed_years").distinct())
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
     has = lambda some: F.arrays_overlap(words, F.array(*(F.lit(w) for w in sorted(some))))
     amount = has(AMOUNTS) | F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" capital expenditure "))
     marked = judged.withColumns({"_amount": F.coalesce(amount, F.lit(False)), "_moved": F.coalesce(has(MOVEMENTS), F.lit(False))})
+    marked = settled(marked.select(key.alias("said"), "category", "_amount", "_moved"), "judged")
+    marked = claims.select("request_id", key.alias("own")).join(small(marked), F.col("own").eqNullSafe(F.col("said")))
     bad = marked.groupBy("request_id").agg((F.bool_or(F.col("category") != "qualitative_or_reference") | (F.bool_or("_amount") & F.bool_or("_moved"))).alias("bad"))
     return bad.where("bad").select("request_id", F.lit("narrative holds numbers, changes or addresses").alias("reason"))

@@ -163,6 +163,15 @@ def test_claims_together(spark):
     assert [r["request_id"] for r in out.collect()] == ["r"]
 
 
+def test_each_text_is_judged_once(spark, monkeypatch):
+    """200 claims of two texts, one of them without years: the guard sees three rows."""
+    seen, whole = [], evidence.narrative
+    monkeypatch.setattr(evidence, "narrative", lambda claims: seen.append(claims.count()) or whole(claims))
+    rows = [(f"r{i % 50}", i, ("Revenue is described.", "Headcount grew.")[i % 4 == 1], None if i % 4 == 3 else []) for i in range(200)]
+    out = evidence.unsafe_requests(spark.createDataFrame(rows, "request_id string, claim int, text string, allowed_years array<int>"))
+    assert {r["request_id"] for r in out.collect()} == {f"r{i}" for i in range(1, 50, 2)} and seen == [3]
+
+
 def test_citations(spark):
     registry = spark.createDataFrame([("r", "E1", "A", 2024), ("r", "E2", "B", 2024)], "request_id string, evidence_id string, ticker string, fiscal_year int")
     claims = spark.createDataFrame([("r", 1, "t", ["E1"]), ("r", 2, " ", ["E1"]), ("r", 3, "t", []), ("r", 4, "t", ["E9"])], "request_id string, claim int, text string, citation_ids array<string>")
