@@ -298,3 +298,10 @@ def test_section_carry_reads_whole_texts(spark, tmp_path):
         expected[conv, turn] = last.get(conv, "Front matter")
     assert {(r["conv_id"], r["turn"]): r["section"] for r in plans.section_carry(spark, str(tmp_path)).collect()} == expected
     assert expected[1, 1] == "Item 7 — Discussion of results" and expected[2, 1] == "Front matter"
+
+
+def test_tasks_grow_with_rows(spark):
+    """4 cores: at least 8 tasks, and no more than so many rows in one."""
+    from quillstone.session import spread
+
+    assert spread(spark.range(1000).coalesce(1), 100).rdd.getNumPartitions() == 10 and spread(spark.range(10).coalesce(1), 100).rdd.getNumPartitions() == 8
