@@ -154,6 +154,7 @@ def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: Data
     asked = settled(routes.where(rag).join(made, "query_id", "left").select("query_id", "question", F.coalesce("calculations", F.lit("[]")).alias("calculations"), "years"), "asked")
     prepared = context.prepare(whole, asked, characters, tokens).join(asked, "query_id")
     over = context.summary(prepared, asked, characters, tokens).where("reason IS NOT NULL").select("query_id", "reason")
+    over = settled(over, "over")
     prepared = settled(prepared.join(over, "query_id", "left_anti").where(F.col("fits")), "prepared")
     claims = synthesize(prepared)
     claims = claims if "failure" in claims.columns else claims.withColumn("failure", F.lit(None).cast("string"))
@@ -165,7 +166,7 @@ def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: Data
     judged = told_by.join(years, "request_id", "left").withColumn("allowed_years", F.coalesce("allowed_years", F.array().cast("array<int>")))
     requested = scopes_of(routes).select(F.col("query_id").cast("string").alias("request_id"), "ticker", "fiscal_year")
     asked_ids = told_by.select("request_id").distinct()
-    gaps = evidence.uncovered(requested.join(asked_ids, "request_id", "left_semi"), told_by, registry).groupBy("request_id").agg(F.min(F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string"))).alias("g"))
+    gaps = settled(evidence.uncovered(requested.join(asked_ids, "request_id", "left_semi"), told_by, registry), "gaps").groupBy("request_id").agg(F.min(F.concat_ws(":", "ticker", F.col("fiscal_year").cast("string"))).alias("g"))
     first = lambda df, n: df.select("request_id", F.struct(F.lit(n).alias("n"), F.col("why")).alias("w"))
     rejected = (
         first(claims.where("failure IS NOT NULL").select("request_id", F.concat(F.lit("provider: "), "failure").alias("why")), 0)
@@ -173,14 +174,17 @@ def ask(questions: DataFrame, facts: DataFrame, chunks: DataFrame, vectors: Data
         .union(first(evidence.unsafe_requests(judged).select("request_id", F.col("reason").alias("why")), 2))
         .union(first(gaps.select("request_id", F.concat(F.lit("citations do not cover "), "g").alias("why")), 3))
     )
-    rejected = rejected.groupBy("request_id").agg(F.min("w").alias("w")).select(F.col("request_id").alias("r_id"), F.col("w.why").alias("f3"))
+    rejected = settled(rejected.groupBy("request_id").agg(F.min("w").alias("w")).select(F.col("request_id").alias("r_id"), F.col("w.why").alias("f3")), "rejected")
     told = told_by.groupBy(F.col("request_id").alias("t_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("claim", "text"))), lambda x: x["text"]).alias("claims"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("citation_ids")))).alias("cited"))
+    told = settled(told, "told")
     ids = whole.join(routes.where(~rag).select("query_id"), "query_id", "left_semi").select("query_id", "evidence_id").union(prepared.select("query_id", "evidence_id"))
-    ids = ids.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+    ids = settled(ids.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids")), "ids")
     counts = used.groupBy("query_id").agg(F.count("*").alias("n_facts")).join(calculations.groupBy("query_id").agg(F.count("*").alias("n_calculations")), "query_id", "full_outer")
+    counts = settled(counts, "counts")
+    bare = settled(bare, "bare")
     fail = lambda df, name: df.select("query_id", F.col("reason").alias(name))
     out = routes.join(fail(failed, "f1"), "query_id", "left").join(fail(bare, "f2"), "query_id", "left").join(fail(over, "f4"), "query_id", "left").join(rejected, F.col("query_id").cast("string") == F.col("r_id"), "left")
-    out = out.join(lines(used, calculations, routes), "query_id", "left").join(told, F.col("query_id").cast("string") == F.col("t_id"), "left").join(ids, "query_id", "left").join(counts, "query_id", "left")
+    out = out.join(settled(lines(used, calculations, routes), "lines"), "query_id", "left").join(told, F.col("query_id").cast("string") == F.col("t_id"), "left").join(ids, "query_id", "left").join(counts, "query_id", "left")
     reason = F.coalesce("reason", "f1", "f2", "f4", F.when(rag, F.col("f3")), F.when(rag & F.col("claims").isNull(), F.lit("nothing was written")))
     out = out.withColumn("why", reason).withColumn("abstained", reason.isNotNull())
     kept = lambda c, other: F.when(~F.col("abstained"), c).otherwise(other)
