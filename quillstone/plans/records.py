@@ -250,14 +250,14 @@ def slot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as requests to a host for each kind of event, released by timers 500 ms apart at least; a last request an hour later lets the watermark pass them all."""
+    """Events as requests to a host for each kind of event, released 500 ms apart at least as the watermark passes them; a last request an hour later lets the watermark pass them all."""
     folder = f"{own_dir(spark)}/requests-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
     end = events.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("host"), F.lit(-1).cast("long").alias("request_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
-    events.coalesce(1).write.parquet(f"{folder}/in")
+    events.write.parquet(f"{folder}/in")
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = streams.read_folder(spark, f"{folder}/in", events.schema)
-    with slots.rocks(spark):
+    stream = streams.read_folder(spark, f"{folder}/in", events.schema, per_trigger=1_000_000)  # at once: events come in no order of time
+    with slots.rocks(spark, 2 * spark.sparkContext.defaultParallelism):
         run = throttle.released(stream, spacing=0.5).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("host string, request_id long, go_at double").parquet(f"{folder}/out").select("host", "request_id", F.round(F.col("go_at") * 1000).cast("long").alias("go_at_ms"))

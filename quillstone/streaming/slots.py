@@ -95,15 +95,21 @@ def outcomes(landed: DataFrame, reader: Callable[[str], dict] = read_filing) ->
 
 
 @contextmanager
-def rocks(spark: SparkSession) -> Iterator[None]:
-    """State that outgrows memory, and the only store with timers: for queries that start within."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _PROVIDER)
+def rocks(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """State that outgrows memory, and the only store for processors of state: for queries that start within. With `partitions`, state is dealt out to at
+    most so many: each costs every micro-batch a store and a Python worker, whether it holds rows or not."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER}
+    shuffle = "spark.sql.shuffle.partitions"
+    if partitions is not None:
+        wanted[shuffle] = str(min(partitions, int(spark.conf.get(shuffle))))
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def start(spark: SparkSession, landing: str, folder: str, reader: Callable[[str], dict] = read_filing, per_trigger: int = 100, each: Callable[[int], None] | None = None) -> StreamingQuery:

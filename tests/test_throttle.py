@@ -49,3 +49,22 @@ def test_a_hot_host_in_parts(spark, tmp_path, monkeypatch):
     assert got == plain(rows, 0.01)
     gone = spark.read.parquet(str(tmp_path / "out")).where("host = 'hot'").agg(F.max("go_at") - F.min("go_at")).first()[0]
     assert gone >= 0.01 * (sum(r[0] == "hot" for r in rows) - 1) - 1e-3
+
+
+def test_only_the_last_release_of_a_host_is_its_state(spark, tmp_path):
+    """A queue that crosses seconds and micro-batches: requests are sums by second before they meet their host, whose state is one row, not a row for each second or request."""
+    rng = random.Random(2)
+    first = [(rng.choice("ab"), i, rng.randrange(20_000) / 1000) for i in range(600)]
+    second = [(rng.choice("ab"), i, 40 + rng.randrange(20_000) / 1000) for i in range(600, 1200)]
+    for rows in (first, second, [("z", 9999, 3600.0)]):
+        made = spark.createDataFrame([(h, i, BASE + datetime.timedelta(seconds=s)) for h, i, s in rows], "host string, request_id long, ts timestamp")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("host string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    with slots.rocks(spark, 2):
+        query = throttle.released(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["request_id"]: round(r["go_at"], 3) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == plain(first + second, 0.25)
+    operators = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert operators and max(o["numRowsTotal"] for o in operators) <= 3
+    assert {o["numShufflePartitions"] for o in operators} == {2} and spark.conf.get("spark.sql.shuffle.partitions") == parts
