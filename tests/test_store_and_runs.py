@@ -421,3 +421,17 @@ def test_command_lines(spark, tmp_path, capsys):
     assert apply("t", "no") == 1 and "another index" in capsys.readouterr().err and apply("s", "set") == 1
     with pytest.raises(SystemExit):
         cli.run(["nothing"], spark)
+
+
+def test_words_or_windows_that_cancel_out_still_have_a_vector(spark):
+    codes = {}
+    for n in range(2_000):  # two words of one dimension and opposite signs
+        code = models._word_code(f"w{n}")
+        codes.setdefault(code % 64, {}).setdefault(code >> 63, f"w{n}")
+    one, other = (next(v for v in codes.values() if len(v) == 2)[k] for k in (0, 1))
+    texts = [f"{one} {other}", one, " ".join([one] * 380 + [other] * 380), " ", "", None]
+    got = [r["embedding"] for r in models.embed(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got[0] == got[1] == got[2] and sum(abs(x) for x in got[0]) == 1
+    assert got[3] == got[4] == got[5] == [0.0] * 64
+    with pytest.raises(ValueError, match="no unit vector"):
+        models.pooled_embedding("a b", lambda t: [0.0, 0.0], 2)
