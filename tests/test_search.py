@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.operators import blocks, retrieval
@@ -125,3 +126,23 @@ def test_texts_are_not_dealt_out_to_find_their_vectors(spark, tables):
         assert "hashpartitioning" not in chunks._jdf.queryExecution().executedPlan().toString() and chunks.count() == vectors.count() == 450
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", monkey)
+
+
+def test_overlap_of_words_is_the_reranker_of_texts(spark):
+    """The question's words are taken once for a text: the same scores as from every window's text, and no window is a row."""
+    long = " ".join(f"w{i % 37}" for i in range(200))
+    rows = [(1, "W1 w2, w3 w3 x", "a", 1, "w1 w9 w2 w3"), (1, "W1 w2, w3 w3 x", "a", 2, long), (1, "W1 w2, w3 w3 x", "b", 3, None), (2, "", "a", 1, "w1"), (2, "", "a", 4, " — "), (3, None, "a", 1, "w1"), (3, None, "a", 3, None)]
+    short = spark.createDataFrame(rows, "query_id int, query string, scope string, doc_id long, text string")
+    both = [retrieval.reranked(short, how, 5) for how in (retrieval.overlap_logit, lambda q, t: retrieval.overlap_logit(q, t))]
+    got, plain = ({(r["query_id"], r["scope"], r["doc_id"]): r["score"] for r in b.collect()} for b in both)
+    assert got == plain and len(got) == 7 and got[1, "a", 2] > got[1, "b", 3]
+    assert "Generate" not in both[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_of_a_block_by_floors():
+    """Ties go to the first rows; what stays under a floor is left out, and what reaches it stays."""
+    scores = np.array([[0.5, 0.1], [0.7, -np.inf], [0.5, 0.2], [0.5, 0.3]])
+    pick = lambda floor: sorted(zip(*(x.tolist() for x in retrieval._leading(scores, 2, floor)), strict=True))
+    assert pick(None) == [(0, 0), (1, 0), (2, 1), (3, 1)] and pick(np.array([0.6, 0.3])) == [(1, 0), (3, 1)]
+    best = pa.table({"query_id": [7, 7, 9], "scope": ["a", "a", "a"], "doc_id": [1, 2, 1], "score": [0.7, 0.5, 0.1]})
+    assert retrieval.floors_of(best, pa.table({"query_id": [9, 7]}), 2)["a"].tolist() == [-np.inf, 0.5]
